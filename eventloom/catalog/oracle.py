@@ -177,7 +177,8 @@ SENSORS = {
 
 def _chart(keys: str, where: str = "true") -> str:
     order = ", ".join(f"{k} NULLS FIRST" for k in keys.split(", "))
-    return _with(_LOGS) + f"""SELECT {keys}, count(*) AS "count" FROM logs WHERE {where}
+    named = ", ".join(f"{k} AS {k}" for k in keys.split(", "))
+    return _with(_LOGS) + f"""SELECT {named}, count(*) AS "count" FROM logs WHERE {where}
       GROUP BY ALL ORDER BY "count" DESC, {order} LIMIT 100"""
 
 
@@ -277,7 +278,7 @@ TEXT = {
 }
 
 _BARE = "SELECT event_id, ts, event_type FROM events"
-_ALL_SERVICES = """SELECT "Timestamp" AS {time}, "ServiceName", {value} AS avg_duration
+_ALL_SERVICES = """SELECT "Timestamp" AS {time}, "ServiceName", {value}
       FROM spans GROUP BY ALL"""
 
 
@@ -299,9 +300,9 @@ TIME_SERIES = {
     "conditional_all": _BARE + " WHERE event_type IN ('view', 'click')",
     "adhoc_filter": _BARE + " WHERE event_type = 'purchase'",
     "series_avg": _with(_SPANS) + _ALL_SERVICES.format(
-        time='"time"', value='round(avg("Duration"), 6)'),
+        time='"time"', value='round(avg("Duration"), 6) AS avg_duration'),
     "log_series": _with(_SPANS) + _ALL_SERVICES.format(
-        time="log_time", value="round(avg(\"Duration\"), 1)::VARCHAR"),
+        time="log_time", value='round(avg("Duration" / 1e6), 4)::VARCHAR AS avg_ms'),
 }
 
 

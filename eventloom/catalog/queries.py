@@ -202,6 +202,10 @@ def _conditional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.conditional_all(every, condition, chosen)
 
 
+def _timed_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(spark, sf_dir).withColumn("ms", F.col("Duration") / 1e6)
+
+
 TIME_SERIES: dict[str, Query] = {
     "time_filter": _on(_bare, p.time_filter, "ts", *EVENT_RANGE_MS),
     "time_filter_ms": _on(_bare, p.time_filter_ms, "ts", *EVENT_RANGE_MS),
@@ -216,7 +220,7 @@ TIME_SERIES: dict[str, Query] = {
         _on(_spans, traces.series_avg, "Timestamp", "ServiceName", "Duration", "avg_duration"),
         _rounded("avg_duration")),
     "log_series": _on(
-        _spans, traces.log_series, "Timestamp", "ServiceName", "Duration", "avg_duration", 1),
+        _timed_spans, traces.log_series, "Timestamp", "ServiceName", "ms", "avg_ms", 4),
 }
 
 
@@ -266,8 +270,9 @@ def _job(spark: SparkSession) -> JobConfig:
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return parquet_stream(spark, f"{sf_dir}/events.parquet")
+    """The table as a stream; a pattern, because a file stream only takes a folder or a pattern."""
+    schema = tables.table(spark, sf_dir, "events").schema
+    return parquet_stream(spark, f"{sf_dir}/events.parque[t]", schema)
 
 
 def _loaded(spark: SparkSession, root: str, name: str) -> DataFrame:
