@@ -39,15 +39,14 @@ _LOGS = """logs AS (
 
 _SPANS = """spans AS (
   SELECT l_shipdate AS "Timestamp", l_orderkey::VARCHAR AS "TraceId", span AS "SpanId",
-         CASE WHEN row_number() OVER lines = 1 THEN ''
-              ELSE first_value(span) OVER lines END AS "ParentSpanId",
+         CASE WHEN l_linenumber = 1 THEN ''
+              ELSE l_orderkey || '-' || (l_linenumber - 1) END AS "ParentSpanId",
          l_returnflag AS "ServiceName", 'line-' || l_linenumber AS "SpanName",
          (l_quantity * 1000000)::BIGINT AS "Duration",
          CASE WHEN l_linestatus = 'F' THEN 'Error' ELSE 'Ok' END AS "StatusCode",
          l_partkey, l_suppkey
   FROM (SELECT *, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS span
-        FROM lineitem)
-  WINDOW lines AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey))"""
+        FROM lineitem))"""
 
 
 def _with(*parts: str) -> str:
@@ -269,7 +268,7 @@ TEXT = {
     "parse_user_events": _with(_UE) + """
       SELECT "userId", event, page, t AS "timestamp", seq FROM ue WHERE seq % 7 <> 0""",
     "rejected_user_events": _with(_TEXT_CTE) + """
-      SELECT seq, body[:-2] AS "value" FROM text WHERE seq % 7 = 0""",
+      SELECT seq, '{' || body AS "value" FROM text WHERE seq % 7 = 0""",
     "topic_records": f"""
       SELECT "windowStart"::VARCHAR AS "key", '{{"windowStart":' || "windowStart"
              || ',"windowEnd":' || "windowEnd" || ',"returningUsers":' || "returningUsers"

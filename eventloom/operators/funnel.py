@@ -49,6 +49,9 @@ def _funnel_batch(df: DataFrame, size: str, steps: Sequence[str], seq: str) -> D
         "userId", floor_ms(F.col("timestamp"), to_ms(size)).alias("ws"), "event",
         F.when(F.col("event").isin(list(steps)), _position(seq)).alias("pos"),
         F.col(seq).alias("seq"))
+    # The join below implies this filter for one of the two uses of `marks`; stated here it holds
+    # for both, and their shuffle is shared.
+    placed = placed.filter(F.col("userId").isNotNull() & F.col("ws").isNotNull())
     marks = placed.groupBy("userId", "ws").agg(
         F.min(F.when(view, F.col("pos"))).alias("first_view"),
         F.min(F.when(click, F.col("pos"))).alias("first_click"),
@@ -133,13 +136,13 @@ def _funnel_stream(df: DataFrame, size: str, steps: Sequence[str], seq: str,
                         F.struct("timestamp", F.col(seq).alias("seq"), "event"))
     slices = (
         df.groupBy("userId", F.window("et", slice).alias("w"))
-        .agg(F.array_sort(F.collect_list(step_event)).alias("steps"))
+        .agg(F.sort_array(F.collect_list(step_event)).alias("steps"))
         .select("userId", "w", _fold(
             F.col("steps"), lambda s, x: _add_event(s, x, steps)).alias("summary"))
     )
     users = (
         slices.groupBy("userId", F.window(F.window_time("w"), size).alias("w2"))
-        .agg(F.array_sort(F.collect_list(F.struct(F.col("w.start").alias("at"), "summary")))
+        .agg(F.sort_array(F.collect_list(F.struct(F.col("w.start").alias("at"), "summary")))
              .alias("parts"))
         .select(F.col("w2").alias("w"),
                 _fold(F.col("parts"), lambda s, x: _append(s, x["summary"])).alias("s"))

@@ -62,7 +62,7 @@ def user_paths(df: DataFrame, part_rows: int = 10_000, slice: str = "1 hour",
         placed.join(offsets, ["userId", "slice"])
         .select("userId", "event", place.alias("place"))
         .groupBy("userId", F.floor(F.col("place") / part_rows).alias("part"))
-        .agg(F.array_sort(F.collect_list(F.struct("place", "event"))).alias("steps"))
+        .agg(F.sort_array(F.collect_list(F.struct("place", "event"))).alias("steps"))
         .select("userId", "part", F.col("steps.event").alias("events"))
     )
 

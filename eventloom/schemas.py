@@ -33,10 +33,9 @@ SENSOR_ROW = _struct(
     ("timestamp", _S),
 )
 
-CDC_PAYLOAD = _struct(("before", SENSOR_ROW), ("after", SENSOR_ROW), ("op", _S), ("ts_ms", _L))
-
-# The envelope's own `schema` member may be anything and is never read, so it is left out.
-CDC_ENVELOPE = _struct(("payload", CDC_PAYLOAD))
+# An envelope also has `schema`, and its payload `before` and `ts_ms`; nothing reads them, so they
+# are left out of the decoding schema and skipped like any unknown member.
+CDC_ENVELOPE = _struct(("payload", _struct(("after", SENSOR_ROW), ("op", _S))))
 
 SENSOR_AGGREGATE = _struct(
     ("device_id", _S), ("window_start", _TS), ("window_end", _TS),

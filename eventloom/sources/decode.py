@@ -22,14 +22,17 @@ def not_blank(df: DataFrame, value: str = "value") -> DataFrame:
     return df.filter(F.col(value).rlike(r"\S"))
 
 
-def _is_user_event(text: Column, record: Column) -> Column:
-    """All four fields present with the right type, and no field besides them."""
-    names = USER_EVENT.fieldNames()
-    extra = F.array_except(F.json_object_keys(text), F.array(*[F.lit(n) for n in names]))
-    complete = F.lit(True)
-    for name in names:
+def _has_event_fields(record: Column) -> Column:
+    """All four fields present, a whole-number time, and no field besides them."""
+    complete = F.size(record) == len(USER_EVENT)
+    for name in USER_EVENT.fieldNames():
         complete = complete & record[name].isNotNull()
-    return F.coalesce(complete & (F.size(extra) == 0), F.lit(False))
+    return complete & record["timestamp"].try_cast("bigint").isNotNull()
+
+
+def _typed_event(record: Column) -> Column:
+    return F.struct(*[
+        record[f.name].try_cast(f.dataType).alias(f.name) for f in USER_EVENT.fields])
 
 
 def parse_user_events(
@@ -39,19 +42,22 @@ def parse_user_events(
 
     `on_error="fail"` makes the first bad record fail the job instead; the second frame is then
     always empty. Columns besides the text (topic partition, offset) are carried along.
+
+    The text is decoded to a map, which shows missing and surplus fields alike, inside a generator:
+    a filter over decoded columns would be pushed down and decode the text once per condition.
     """
-    record = F.from_json(value, USER_EVENT)
-    lines = not_blank(df, value).withColumn("_event", record)
-    valid = _is_user_event(F.col(value), F.col("_event"))
+    lines = not_blank(df, value)
+    records = F.array(F.from_json(value, "map<string,string>"))
+    valid = lambda r: F.coalesce(_has_event_fields(r), F.lit(False))
     carried = [c for c in df.columns if c != value and c not in USER_EVENT.fieldNames()]
     if on_error == "fail":
-        problem = F.concat(F.lit("not a user event: "), F.col(value))
-        checked = F.when(valid, F.col("_event")).otherwise(F.raise_error(problem))
-        events = lines.withColumn("_event", checked)
-        return events.select("_event.*", *carried), df.filter(F.lit(False))
+        problem = F.raise_error(F.concat(F.lit("not a user event: "), F.col(value)))
+        checked = F.transform(records, lambda r: F.when(valid(r), _typed_event(r)).otherwise(problem))
+        return lines.select(*carried, F.inline(checked)), df.filter(F.lit(False))
     if on_error != "quarantine":
         raise ValueError("on_error is 'quarantine' or 'fail'")
-    return lines.filter(valid).select("_event.*", *carried), lines.filter(~valid).drop("_event")
+    good = F.transform(F.filter(records, valid), _typed_event)
+    return lines.select(*carried, F.inline(good)), lines.filter(~F.exists(records, valid))
 
 
 def parse_cdc(df: DataFrame, value: str = "value", ops: Sequence[str] = ("c",)) -> DataFrame:
@@ -59,16 +65,22 @@ def parse_cdc(df: DataFrame, value: str = "value", ops: Sequence[str] = ("c",))
 
     Kept are envelopes whose operation is among `ops` (by default inserts, not snapshot rows) and
     whose new row has device and all three measures; a missing reading time becomes ''. Broken
-    text decodes to nulls and falls to the same filters.
+    text decodes to nulls and falls to the same conditions. As above, each text is decoded once.
     """
+    def complete(envelope: Column) -> Column:
+        kept = envelope["payload"]["op"].isin(list(ops))
+        for name in READING_FIELDS:
+            kept = kept & envelope["payload"]["after"][name].isNotNull()
+        return kept
+
+    def reading(envelope: Column) -> Column:
+        after = envelope["payload"]["after"]
+        time = F.coalesce(after["timestamp"], F.lit("")).alias("timestamp")
+        return F.struct(*[after[name].alias(name) for name in READING_FIELDS], time)
+
     carried = [c for c in df.columns if c != value]
-    rows = df.withColumn("_p", F.from_json(value, CDC_ENVELOPE)["payload"])
-    complete = F.col("_p.op").isin(list(ops))
-    for name in READING_FIELDS:
-        complete = complete & F.col(f"_p.after.{name}").isNotNull()
-    return rows.filter(complete).select(
-        *[F.col(f"_p.after.{name}").alias(name) for name in READING_FIELDS],
-        F.coalesce("_p.after.timestamp", F.lit("")).alias("timestamp"), *carried)
+    kept = F.filter(F.array(F.from_json(value, CDC_ENVELOPE)), complete)
+    return df.select(*carried, F.inline(F.transform(kept, reading)))
 
 
 def parse_log_text(df: DataFrame, value: str = "value") -> DataFrame:

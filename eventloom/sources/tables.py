@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.functions.jsontext import to_json_text
@@ -35,8 +35,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _k() -> Column:
-    return F.get_json_object("props", "$.k").cast("int")
+def _with_k(events: DataFrame) -> DataFrame:
+    """`k` as a column of its own, so that the many expressions on it read the JSON once."""
+    return events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
 
 def _ms() -> Column:
@@ -47,7 +48,8 @@ def user_events(events: DataFrame) -> DataFrame:
     """Typed user events plus `seq`, the arrival order."""
     return events.select(
         F.col("user_id").cast("string").alias("userId"), F.col("event_type").alias("event"),
-        F.concat(F.lit("/k/"), _k().cast("string")).alias("page"), _ms().alias("timestamp"),
+        F.concat(F.lit("/k/"), F.get_json_object("props", "$.k")).alias("page"),
+        _ms().alias("timestamp"),
         F.col("event_id").alias("seq"))
 
 
@@ -58,10 +60,9 @@ def user_event_text(events: DataFrame) -> DataFrame:
 
 
 def raw_event_text(events: DataFrame) -> DataFrame:
-    """As `user_event_text`, with every seventh payload cut into broken JSON."""
-    broken = F.pmod("seq", F.lit(7)) == 0
-    return user_event_text(events).withColumn(
-        "value", F.when(broken, F.expr("left(value, length(value) - 1)")).otherwise(F.col("value")))
+    """As `user_event_text`, with every seventh payload made broken JSON by a stray brace."""
+    stray = F.when(F.pmod("seq", F.lit(7)) == 0, "{").otherwise("")
+    return user_event_text(events).withColumn("value", F.concat(stray, "value"))
 
 
 def cdc_text(events: DataFrame) -> DataFrame:
@@ -70,7 +71,7 @@ def cdc_text(events: DataFrame) -> DataFrame:
     The last digit of k picks the case: 0 update, 1 delete without a new row, 3 snapshot row,
     2 missing temperature, 5 missing reading time; k = 99 is broken text; the rest are inserts.
     """
-    k = _k()
+    k = F.col("k")
     case = F.pmod(k, F.lit(10))
     unless = lambda digit, c: F.when(case != digit, c)
     row = F.struct(
@@ -87,7 +88,7 @@ def cdc_text(events: DataFrame) -> DataFrame:
         F.when(case == 1, row).alias("before"), unless(1, row).alias("after"), op.alias("op"),
         _ms().alias("ts_ms"))
     envelope = to_json_text([F.lit(None).cast("string").alias("schema"), payload.alias("payload")])
-    return events.select(
+    return _with_k(events).select(
         F.when(k == 99, "{bad").otherwise(envelope).alias("value"),
         F.col("ts").cast("timestamp").alias("record_time"))
 
@@ -98,11 +99,11 @@ def _pick(values: Sequence[str], index: Column) -> Column:
 
 def log_lines(events: DataFrame) -> DataFrame:
     """Log rows with text fields, plus `seq`."""
-    k = _k()
+    k = F.col("k")
     kind = F.col("event_type")
     level = F.when(kind == "error", "ERROR").otherwise("INFO")
     event = F.create_map(*[F.lit(x) for pair in LOG_EVENTS.items() for x in pair])[kind]
-    return events.select(
+    return _with_k(events).select(
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
         level.alias("level"), event.alias("event"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("userId"),
@@ -121,11 +122,10 @@ def log_text(events: DataFrame) -> DataFrame:
 
 
 def spans(lineitem: DataFrame) -> DataFrame:
-    """One span per line item; the order is the trace, its first line the root."""
-    order = ["l_linenumber", "l_partkey", "l_suppkey"]
+    """One span per line item; the order is the trace, line 1 a root, other lines follow the last."""
     span_id = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    root = F.min(F.struct(*order, span_id.alias("id"))).over(Window.partitionBy("l_orderkey"))
-    parent = F.when(root["id"] == span_id, "").otherwise(root["id"])
+    parent = F.when(F.col("l_linenumber") == 1, "").otherwise(
+        F.concat_ws("-", "l_orderkey", F.col("l_linenumber") - 1))
     text = lambda c: F.col(c).cast("string")
     return lineitem.select(
         F.col("l_shipdate").cast("timestamp").alias("Timestamp"),

@@ -15,7 +15,7 @@ from eventloom.operators.funnel import funnel_stats
 from eventloom.operators.sensors import sensor_aggregates
 from eventloom.schemas import RESULT_TABLES, USER_EVENT
 from eventloom.session import ROCKSDB
-from eventloom.sources.decode import json_gate, parse_cdc, parse_user_events
+from eventloom.sources.decode import parse_cdc, parse_user_events
 from eventloom.sources.files import parquet_stream
 from eventloom.streaming.sinks import to_table
 
@@ -66,7 +66,7 @@ def run_user_behaviour(spark: SparkSession, raw: DataFrame, root: str,
     `value` and `seq`, the order in which equal times arrived. Rejected text is kept aside.
     """
     config = config or JobConfig()
-    good, bad = parse_user_events(json_gate(raw))
+    good, bad = parse_user_events(raw)
     events_path, schema = f"{root}/events", T.StructType(USER_EVENT.fields + [
         T.StructField("seq", T.LongType())])
     decode = [
