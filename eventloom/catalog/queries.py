@@ -113,7 +113,8 @@ LOGS: dict[str, Query] = {
     "events_per_minute": _on(_logs, logs.events_per_minute),
     "user_paths": _then(_on(_logs, logs.user_paths), _as_json("events")),
     "user_paths_short_parts": _then(
-        _on(_logs, logs.user_paths, part_rows=25, slice="1 day"), _as_json("events")),
+        _on(_logs, logs.user_paths, part_rows=25, slice="1 day", hot_share=0.007),
+        _as_json("events")),
     "product_views_by_category": _on(_logs, logs.product_views_by_category),
     "events_by_device": _on(_logs, logs.events_by_device),
     "log_reports": _on(_logs, logs.log_reports),

@@ -39,29 +39,53 @@ def events_by_device(df: DataFrame) -> DataFrame:
 
 
 def user_paths(df: DataFrame, part_rows: int = 10_000, slice: str = "1 hour",
-               order: Sequence[str] = ("timestamp", "seq")) -> DataFrame:
+               order: Sequence[str] = ("timestamp", "seq"), hot_share: float = 0.001) -> DataFrame:
     """Each user's events in time order, as consecutive parts of at most `part_rows` events.
 
     Most users have the single part 0. A path of any length stays whole: its parts, put end to
-    end, are the path, and no row or task ever holds more than a part. Places are counted per
-    user and time slice, so a hot user's rows are ordered slice by slice in many tasks.
+    end, are the path, and no row ever holds more than a part.
+
+    Users with more than `hot_share` of all rows are placed slice by slice, in many tasks; there
+    are at most 1 / hot_share of them, which is what bounds the broadcast. Everybody else's rows
+    are shuffled once, by user.
     """
-    time, *ties = order
-    placed = df.select("userId", "event", *order).withColumn(
-        "slice", floor_ms(F.unix_millis(time), to_ms(slice)))
-    per_slice = placed.groupBy("userId", "slice").agg(F.count("*").alias("n"))
+    rows = df.select("userId", "event", *order)
+    counts = rows.groupBy("userId").agg(F.count("*").alias("n"))
+    share = counts.agg(F.sum("n")).scalar() * hot_share
+    hot = F.broadcast(
+        counts.filter((F.col("n") > share) & (F.col("n") > part_rows))
+        .select(F.col("userId").alias("hotId")))
+    is_hot = F.col("userId").eqNullSafe(F.col("hotId"))
+
+    of_user = Window.partitionBy("userId").orderBy(*order)
+    usual = rows.join(hot, is_hot, "left_anti").withColumn("place", F.row_number().over(of_user) - 1)
+    sliced = _places_by_slice(rows.join(hot, is_hot, "left_semi"), slice, order)
+    return _parts(usual, part_rows).unionByName(_parts(sliced, part_rows))
+
+
+def _places_by_slice(rows: DataFrame, slice: str, order: Sequence[str]) -> DataFrame:
+    """Position of each row in its user's order: rows in earlier time slices plus rank in its own."""
+    time = order[0]
+    sliced = rows.withColumn("slice", floor_ms(F.unix_millis(time), to_ms(slice)))
     earlier = (
         Window.partitionBy("userId").orderBy("slice")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    offsets = per_slice.select(
-        "userId", "slice", (F.sum("n").over(earlier) - F.col("n")).alias("before"))
-    inside = Window.partitionBy("userId", "slice").orderBy(time, *ties)
-    place = F.col("before") + F.row_number().over(inside) - 1
+    offsets = (
+        sliced.groupBy("userId", "slice").agg(F.count("*").alias("n"))
+        .select(F.col("userId").alias("offsetId"), F.col("slice").alias("offsetSlice"),
+                (F.sum("n").over(earlier) - F.col("n")).alias("before"))
+    )
+    same = F.col("userId").eqNullSafe(F.col("offsetId")) & F.col("slice").eqNullSafe(
+        F.col("offsetSlice"))
+    inside = Window.partitionBy("userId", "slice").orderBy(*order)
+    return sliced.join(offsets, same).withColumn(
+        "place", F.col("before") + F.row_number().over(inside) - 1)
+
+
+def _parts(placed: DataFrame, part_rows: int) -> DataFrame:
     return (
-        placed.join(offsets, ["userId", "slice"])
-        .select("userId", "event", place.alias("place"))
-        .groupBy("userId", F.floor(F.col("place") / part_rows).alias("part"))
+        placed.groupBy("userId", F.floor(F.col("place") / part_rows).alias("part"))
         .agg(F.sort_array(F.collect_list(F.struct("place", "event"))).alias("steps"))
         .select("userId", "part", F.col("steps.event").alias("events"))
     )
