@@ -167,7 +167,8 @@ SENSORS = {
     "sensor_messages": f"""
       SELECT device_id || '@' || a AS "key",
              '{{"device_id":"' || device_id || '","window_start":"' || a || '","window_end":"' || b
-             || '","avg_temp":null,"avg_humidity":null,"avg_pressure":null,"count":' || "count"
+             || '","avg_temp":' || avg_temp || ',"avg_humidity":' || avg_humidity
+             || ',"avg_pressure":' || avg_pressure || ',"count":' || "count"
              || '}}' AS "value"
       FROM (SELECT *, strftime(window_start, '%Y-%m-%dT%H:%M:%S') AS a,
                    strftime(window_end, '%Y-%m-%dT%H:%M:%S') AS b FROM ({_sensor(86_400)}))""",
@@ -197,6 +198,7 @@ def _paths(part_rows: int) -> str:
 
 LOGS = {
     "log_decode": _with(_LOGS) + "SELECT * EXCLUDE (seq) FROM logs",
+    "log_file": _with(_LOGS) + "SELECT * EXCLUDE (seq) FROM logs",
     "events_by_type": _report("event"),
     "errors_by_type": _report('"errorType"', "level = 'ERROR'"),
     "events_per_minute": _report('"minute"'),
@@ -232,6 +234,8 @@ def _sensor_panel(column: str) -> str:
     return f'SELECT window_start AS "time", {column} AS "value" FROM ({SENSORS["sensor_aggregates"]})'
 
 
+_HOUR_COLUMNS = ", ".join(
+    f'sum("value") FILTER ("key" = \'{h}\') AS "{h}"' for h in range(24))
 _RETENTION_COLUMNS = '"returningUsers", "newUsers", "totalUsers"'
 
 PANELS = {
@@ -248,6 +252,9 @@ PANELS = {
     "panel_completed_funnels": _panel(
         BEHAVIOUR["funnel_stats"], "windowStart", '"completedVC", "completedCP", "completedVCP"'),
     "panel_heatmap": _panel(BEHAVIOUR["activity_heatmap"], "windowStart", '"key", "value"'),
+    "panel_heatmap_grid": _panel(
+        BEHAVIOUR["activity_heatmap"], "windowStart",
+        _HOUR_COLUMNS, "true GROUP BY ALL"),
     "panel_retention": _panel(BEHAVIOUR["retention"], "windowStart", _RETENTION_COLUMNS),
     "panel_retention_range": _panel(
         BEHAVIOUR["retention"], "windowStart", _RETENTION_COLUMNS,
@@ -267,6 +274,8 @@ TEXT = {
     "json_gate": _with(_TEXT_CTE) + 'SELECT body AS "value", seq FROM text WHERE seq % 7 <> 0',
     "parse_user_events": _with(_UE) + """
       SELECT "userId", event, page, t AS "timestamp", seq FROM ue WHERE seq % 7 <> 0""",
+    "parse_user_events_strict": _with(_UE) + """
+      SELECT "userId", event, page, t AS "timestamp", seq FROM ue""",
     "rejected_user_events": _with(_TEXT_CTE) + """
       SELECT seq, '{' || body AS "value" FROM text WHERE seq % 7 = 0""",
     "topic_records": f"""

@@ -16,7 +16,7 @@ from eventloom.operators import logs, panels, sensors, traces
 from eventloom.operators.funnel import funnel_stats
 from eventloom.schemas import RESULT_TABLES
 from eventloom.sources import decode, tables
-from eventloom.sources.files import parquet_stream, result_table
+from eventloom.sources.files import json_lines, parquet_stream, put_file_data, result_table
 from eventloom.streaming import runs, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.spans(tables.table(spark, sf_dir, "lineitem"))
 
 
+def _new_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/runs/{uuid.uuid4().hex}"
+
+
 def _on(source: Query, operator: Callable[..., DataFrame], *args, **kwargs) -> Query:
     return lambda spark, sf_dir: operator(source(spark, sf_dir), *args, **kwargs)
 
@@ -81,18 +85,11 @@ _sensor_10s = _on(_on(_changes, decode.parse_cdc), sensors.sensor_aggregates)
 _sensor_1d = _on(_on(_changes, decode.parse_cdc), sensors.sensor_aggregates, "1 day")
 
 
-def _sensor_text(df: DataFrame) -> DataFrame:
-    """Topic records without the averages, whose last digits depend on row order."""
-    keep = ("device_id", "window_start", "window_end", "count")
-    blank = {c: F.lit(None).cast("double") for c in sensors.READING if c != "count"}
-    return sensors.sensor_messages(df.select(*keep).withColumns(blank))
-
-
 SENSORS: dict[str, Query] = {
     "cdc_decode": _on(_changes, decode.parse_cdc),
     "sensor_aggregates": _then(_sensor_10s, _SENSOR_AVGS),
     "sensor_aggregates_1d": _then(_sensor_1d, _SENSOR_AVGS),
-    "sensor_messages": _then(_sensor_1d, _sensor_text),
+    "sensor_messages": _then(_then(_sensor_1d, _SENSOR_AVGS), sensors.sensor_messages),
 }
 
 
@@ -106,8 +103,16 @@ def _log_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode.parse_logs(decode.parse_log_text(text))
 
 
+def _log_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines put into the lake as a JSON-lines file, and read from there."""
+    path = f"{_new_root(spark)}/logs"
+    put_file_data(tables.log_lines(tables.table(spark, sf_dir, "events")).drop("seq"), path)
+    return decode.parse_logs(json_lines(spark, path))
+
+
 LOGS: dict[str, Query] = {
     "log_decode": _log_decode,
+    "log_file": _log_file,
     "events_by_type": _on(_logs, logs.events_by_type),
     "errors_by_type": _on(_logs, logs.errors_by_type),
     "events_per_minute": _on(_logs, logs.events_per_minute),
@@ -139,6 +144,7 @@ PANELS: dict[str, Query] = {
     "panel_funnel": _then(BEHAVIOUR["funnel_stats"], panels.funnel_panel),
     "panel_completed_funnels": _then(BEHAVIOUR["funnel_stats"], panels.completed_funnel_panel),
     "panel_heatmap": _then(BEHAVIOUR["activity_heatmap"], panels.metric_panel),
+    "panel_heatmap_grid": _then(BEHAVIOUR["activity_heatmap"], panels.heatmap_grid),
     "panel_retention": _then(BEHAVIOUR["retention"], panels.retention_panel),
     "panel_retention_range": _then(
         BEHAVIOUR["retention"], panels.retention_panel, EVENT_RANGE),
@@ -158,6 +164,12 @@ def _parsed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good
 
 
+def _strict_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = tables.user_event_text(tables.table(spark, sf_dir, "events"))
+    good, _ = decode.parse_user_events(text, on_error="fail")
+    return good
+
+
 def _rejected_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, bad = decode.parse_user_events(_raw_text(spark, sf_dir))
     return bad.select("seq", "value")
@@ -170,6 +182,7 @@ def _topic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 TEXT: dict[str, Query] = {
     "json_gate": _on(_raw_text, decode.json_gate),
     "parse_user_events": _parsed_events,
+    "parse_user_events_strict": _strict_events,
     "rejected_user_events": _rejected_events,
     "topic_records": _topic_rows,
 }
@@ -260,10 +273,6 @@ TRACES: dict[str, Query] = {
 }
 
 
-def _new_root(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
-
-
 def _job(spark: SparkSession) -> JobConfig:
     """Local sessions keep as many state partitions as they have threads."""
     local = spark.sparkContext.master.startswith("local")
@@ -311,7 +320,6 @@ def _streamed_topic_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STREAMS: dict[str, Query] = {
     **{f"stream_{name}": _streamed(name) for name in runs.METRICS},
-    "stream_count_metrics": _streamed("events_per_type", b.count_metrics),
     "stream_conversion_rate_wide": _streamed(
         "conversion_rate", lambda df: b.conversion_rate(df, "5 days", "1 day")),
     "stream_funnel_stats_7d": _streamed(

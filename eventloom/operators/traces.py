@@ -15,6 +15,9 @@ from eventloom.functions.quantiles import approx_quantile, exact_quantile
 ERROR_STATUS = ("Error", "STATUS_CODE_ERROR")
 HIDDEN_SERVICE = "loadgenerator"
 
+# A ranking of at most this many traces is small enough to send to every executor.
+_BROADCAST_ROWS = 10_000
+
 TimeRange = tuple[datetime, datetime]
 
 
@@ -72,16 +75,18 @@ def trace_list(spans: DataFrame, time_range: TimeRange | None = None,
     """The slowest traces with their start, first service and longest span in ms.
 
     The ranking shuffles only (trace, longest span) through hash aggregation. Start and service
-    are then looked up for the `limit` winners alone, which is what bounds the broadcast.
+    are then looked up for the `limit` winners alone; only a short ranking is broadcast.
     """
     chosen = _visible(_selected(spans, time_range, services, trace_ids))
     slowest = (
         chosen.groupBy("TraceId").agg(F.max("Duration").alias("ns"))
         .orderBy(F.desc("ns"), "TraceId").limit(limit)
     )
+    if limit <= _BROADCAST_ROWS:
+        slowest = F.broadcast(slowest)
     first = F.min_by("ServiceName", F.struct("Timestamp", "SpanId"))
     return (
-        chosen.join(F.broadcast(slowest), "TraceId")
+        chosen.join(slowest, "TraceId")
         .groupBy("TraceId", "ns")
         .agg(F.min("Timestamp").alias("timestamp"), first.alias("service"))
         .select("timestamp", F.col("TraceId").alias("Trace ID"),

@@ -66,5 +66,6 @@ RESULT_TABLES = {
     "funnel_stats": (FUNNEL_STAT, ["windowStart"]),
     "activity_heatmap": (METRIC, ["metric", "key", "windowStart"]),
     "retention": (RETENTION, ["windowStart"]),
+    "count_metrics": (METRIC, ["metric", "key", "windowStart"]),
     "sensor_aggregates": (SENSOR_AGGREGATE, ["window_start"]),
 }

@@ -28,8 +28,19 @@ METRICS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "funnel_stats": funnel_stats,
     "activity_heatmap": b.activity_heatmap,
     "retention": b.retention,
+    "count_metrics": b.count_metrics,
 }
 
+# One stream and one table per metric, or the three plain counts sharing a stream and a table.
+SEPARATE = (
+    "events_per_type", "page_views", "unique_users_per_page", "conversion_rate", "session_stats",
+    "funnel_stats", "activity_heatmap", "retention",
+)
+SHARED = (
+    "count_metrics", "unique_users_per_page", "conversion_rate", "session_stats", "funnel_stats",
+    "retention",
+)
+
 
 @contextmanager
 def state_settings(spark: SparkSession, partitions: int | None) -> Iterator[None]:
@@ -57,7 +68,7 @@ def start_metric(spark: SparkSession, name: str, rows: DataFrame, root: str, con
 
 
 def run_user_behaviour(spark: SparkSession, raw: DataFrame, root: str,
-                       config: JobConfig | None = None, metrics: Sequence[str] = tuple(METRICS),
+                       config: JobConfig | None = None, metrics: Sequence[str] = SEPARATE,
                        available_now: bool = True) -> list[StreamingQuery]:
     """Raw event text to the metric tables.
 

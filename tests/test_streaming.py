@@ -141,7 +141,8 @@ def test_user_behaviour_job_from_text(spark, rows, tmp_path):
     assert [r.value for r in spark.read.parquet(f"{root}/rejected").collect()] == [
         '{"userId":"broken"']
     events = b.with_event_time(spark.createDataFrame(given, SCHEMA))
-    for name, metric in runs.METRICS.items():
+    for name in runs.SEPARATE:
+        metric = runs.METRICS[name]
         got = rows(result_table(spark, f"{root}/{name}", RESULT_TABLES[name][0]))
         assert got == rows(metric(events)), name
 
