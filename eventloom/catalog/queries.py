@@ -314,7 +314,7 @@ def _streamed_topic_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = tables.USER_EVENT
     with runs.state_settings(spark, None):
         sinks.topic_table(messages, schema, f"{root}/table", f"{root}/_checkpoint",
-                          ["timestamp"]).awaitTermination()
+                          ["timestamp"], "timestamp").awaitTermination()
     return result_table(spark, f"{root}/table", schema)
 
 

@@ -29,7 +29,7 @@ def run_logs(spark: SparkSession, path: str, table_path: str, run_id: str,
     a relational table.
     """
     lines = parse_logs(json_lines(spark, path))
-    write_run(lines, table_path, run_id, sort_by=["timestamp"])
+    write_run(lines, table_path, run_id, ["timestamp"])
     run = spark.read.parquet(table_path).where(f"run_id = '{run_id}'").drop("run_id")
     if jdbc:
         to_jdbc(run, jdbc)

@@ -56,16 +56,18 @@ SPAN = _struct(
 
 LOG_RECORD = _struct(("Timestamp", _TS), ("Body", _S), ("SeverityText", _S))
 
-# Result tables: record schema and the order rows are kept in inside each file.
+# Result tables: record schema, the order rows are kept in inside each file, and the column whose
+# day the files are partitioned by (epoch ms or timestamp).
+_METRIC_TABLE = (METRIC, ["metric", "key", "windowStart"], "windowStart")
 RESULT_TABLES = {
-    "events_per_type": (METRIC, ["metric", "key", "windowStart"]),
-    "page_views": (METRIC, ["metric", "key", "windowStart"]),
-    "unique_users_per_page": (METRIC, ["metric", "key", "windowStart"]),
-    "conversion_rate": (METRIC, ["metric", "key", "windowStart"]),
-    "session_stats": (SESSION_STAT, ["userId", "sessionStart"]),
-    "funnel_stats": (FUNNEL_STAT, ["windowStart"]),
-    "activity_heatmap": (METRIC, ["metric", "key", "windowStart"]),
-    "retention": (RETENTION, ["windowStart"]),
-    "count_metrics": (METRIC, ["metric", "key", "windowStart"]),
-    "sensor_aggregates": (SENSOR_AGGREGATE, ["window_start"]),
+    "events_per_type": _METRIC_TABLE,
+    "page_views": _METRIC_TABLE,
+    "unique_users_per_page": _METRIC_TABLE,
+    "conversion_rate": _METRIC_TABLE,
+    "session_stats": (SESSION_STAT, ["userId", "sessionStart"], "sessionStart"),
+    "funnel_stats": (FUNNEL_STAT, ["windowStart"], "windowStart"),
+    "activity_heatmap": _METRIC_TABLE,
+    "retention": (RETENTION, ["windowStart"], "windowStart"),
+    "count_metrics": _METRIC_TABLE,
+    "sensor_aggregates": (SENSOR_AGGREGATE, ["window_start"], "window_start"),
 }

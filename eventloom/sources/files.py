@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from eventloom.functions.predicates import date_filter
 from eventloom.schemas import LOG_LINE
 
 
@@ -35,6 +38,13 @@ def parquet_stream(spark: SparkSession, path: str, schema: T.StructType | None =
     return reader.parquet(path)
 
 
-def result_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A table written by `streaming.sinks.to_table`; the load bookkeeping is left out."""
-    return spark.read.parquet(path).select(*schema.fieldNames())
+def result_table(spark: SparkSession, path: str, schema: T.StructType,
+                 days: tuple[date, date] | None = None) -> DataFrame:
+    """A table written by `streaming.sinks.to_table`; the load bookkeeping is left out.
+
+    `days` (first, last) lists only those days' files of a table that is split by day.
+    """
+    table = spark.read.parquet(path)
+    if days is not None:
+        table = date_filter(table, "day", *days)
+    return table.select(*schema.fieldNames())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +12,12 @@ from pyspark.sql.streaming import StreamingQuery
 from eventloom.config import JobConfig
 from eventloom.operators import behaviour as b
 from eventloom.operators.funnel import funnel_stats
-from eventloom.operators.sensors import sensor_aggregates
+from eventloom.operators.sensors import sensor_aggregates, sensor_messages
 from eventloom.schemas import RESULT_TABLES, USER_EVENT
 from eventloom.session import ROCKSDB
 from eventloom.sources.decode import parse_cdc, parse_user_events
 from eventloom.sources.files import parquet_stream
-from eventloom.streaming.sinks import to_table
+from eventloom.streaming.sinks import to_table, to_topic, topic_records, topic_table
 
 METRICS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "events_per_type": b.events_per_type,
@@ -44,8 +44,13 @@ SHARED = (
 
 @contextmanager
 def state_settings(spark: SparkSession, partitions: int | None) -> Iterator[None]:
-    """RocksDB state, and a partition count that the checkpoint then keeps; restored afterwards."""
-    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}
+    """RocksDB state, sessions merged before the shuffle (a hot user's rows shrink to sessions), and
+    a partition count that the checkpoint then keeps. The session's own settings come back after.
+    """
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    }
     if partitions:
         wanted["spark.sql.shuffle.partitions"] = str(partitions)
     before = {key: spark.conf.get(key, None) for key in wanted}
@@ -61,9 +66,9 @@ def state_settings(spark: SparkSession, partitions: int | None) -> Iterator[None
 def start_metric(spark: SparkSession, name: str, rows: DataFrame, root: str, config: JobConfig,
                  output_mode: str = "append", available_now: bool = True) -> StreamingQuery:
     """Start the load of one result frame into `root/name`."""
-    _, sort_by = RESULT_TABLES[name]
+    _, sort_by, day_of = RESULT_TABLES[name]
     with state_settings(spark, config.state_partitions):
-        return to_table(rows, f"{root}/{name}", f"{root}/_checkpoints/{name}", sort_by,
+        return to_table(rows, f"{root}/{name}", f"{root}/_checkpoints/{name}", sort_by, day_of,
                         output_mode, available_now)
 
 
@@ -109,3 +114,37 @@ def run_sensors(spark: SparkSession, changes: DataFrame, root: str,
     config = config or JobConfig()
     rows = sensor_aggregates(parse_cdc(changes), size, delay=config.sensor_delay)
     return start_metric(spark, "sensor_aggregates", rows, root, config, "update", available_now)
+
+
+def publish_metrics(spark: SparkSession, events: DataFrame, checkpoints: str,
+                    config: JobConfig | None = None,
+                    metrics: Sequence[str] = SEPARATE) -> list[StreamingQuery]:
+    """Metrics of an event stream to one topic each, named like the metric."""
+    config = config or JobConfig()
+    timed = b.with_event_time(events, config.event_delay)
+    with state_settings(spark, config.state_partitions):
+        return [
+            to_topic(topic_records(METRICS[name](timed)), config, name, f"{checkpoints}/{name}")
+            for name in metrics
+        ]
+
+
+def publish_sensors(spark: SparkSession, changes: DataFrame, checkpoints: str,
+                    config: JobConfig | None = None) -> StreamingQuery:
+    """Every refinement of the sensor windows to their topic, keyed by device and window."""
+    config = config or JobConfig()
+    rows = sensor_aggregates(parse_cdc(changes), delay=config.sensor_delay)
+    with state_settings(spark, config.state_partitions):
+        return to_topic(sensor_messages(rows), config, config.sensor_topic,
+                        f"{checkpoints}/sensors", "update")
+
+
+def run_loads(messages: Mapping[str, DataFrame], root: str,
+              available_now: bool = True) -> list[StreamingQuery]:
+    """Result topics (name -> JSON text stream) into the result tables of the same names."""
+    queries = []
+    for name, texts in messages.items():
+        schema, sort_by, day_of = RESULT_TABLES[name]
+        queries.append(topic_table(texts, schema, f"{root}/{name}", f"{root}/_checkpoints/{name}",
+                                   sort_by, day_of, available_now=available_now))
+    return queries

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -46,25 +46,35 @@ def to_jdbc(df: DataFrame, options: dict[str, str], mode: str = "append") -> Non
     df.write.mode(mode).format("jdbc").options(**options).option("truncate", "true").save()
 
 
+def _day_of(df: DataFrame, column: str) -> Column:
+    kind = df.schema[column].dataType
+    time = F.timestamp_millis(column) if isinstance(kind, T.LongType) else F.col(column)
+    return F.to_date(time)
+
+
 def write_run(df: DataFrame, path: str, run_id: str, sort_by: Sequence[str] = (),
-              partition_by: str = "run_id") -> None:
-    """Write one run of a load into its own partition; writing the run again replaces it."""
-    out = df.sortWithinPartitions(*sort_by) if sort_by else df
+              run_column: str = "run_id", day_of: str | None = None) -> None:
+    """Write one run of a load into partitions of its own; writing the run again replaces them.
+
+    Files are kept in `sort_by` order, which gives their statistics narrow ranges. With `day_of`
+    the run is also split by the day of that column, so that a read of some days lists only those.
+    """
+    out, parts = df.withColumn(run_column, F.lit(run_id)), [run_column]
+    if day_of is not None:
+        out, parts = out.withColumn("day", _day_of(df, day_of)), ["day", run_column]
     (
-        out.withColumn(partition_by, F.lit(run_id))
+        out.sortWithinPartitions(*parts, *sort_by)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition_by).parquet(path)
+        .partitionBy(*parts).parquet(path)
     )
 
 
 def to_table(stream: DataFrame, path: str, checkpoint: str, sort_by: Sequence[str] = (),
-             output_mode: str = "append", available_now: bool = True) -> StreamingQuery:
-    """Continuous load of a table: every micro-batch is a run, so a replayed batch replaces itself.
-
-    Files are kept in `sort_by` order, which gives their statistics narrow ranges on those columns.
-    """
+             day_of: str | None = None, output_mode: str = "append",
+             available_now: bool = True) -> StreamingQuery:
+    """Continuous load of a table: every micro-batch is a run, so a replayed batch replaces itself."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_run(batch, path, f"{batch_id:012d}", sort_by, "batch_id")
+        write_run(batch, path, f"{batch_id:012d}", sort_by, "batch_id", day_of)
 
     writer = stream.writeStream.foreachBatch(write).outputMode(output_mode).option(
         "checkpointLocation", checkpoint)
@@ -72,8 +82,8 @@ def to_table(stream: DataFrame, path: str, checkpoint: str, sort_by: Sequence[st
 
 
 def topic_table(messages: DataFrame, schema: T.StructType, path: str, checkpoint: str,
-                sort_by: Sequence[str] = (), value: str = "value",
+                sort_by: Sequence[str] = (), day_of: str | None = None, value: str = "value",
                 available_now: bool = True) -> StreamingQuery:
     """Topic of JSON rows into a table."""
     rows = messages.select(F.from_json(value, schema).alias("r")).select("r.*")
-    return to_table(rows, path, checkpoint, sort_by, available_now=available_now)
+    return to_table(rows, path, checkpoint, sort_by, day_of, available_now=available_now)

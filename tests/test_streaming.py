@@ -2,8 +2,9 @@
 
 import json
 import random
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
+import pyarrow.parquet as pq
 import pytest
 from test_behaviour import MIN, SCHEMA, random_events
 
@@ -122,6 +123,27 @@ def test_replayed_batch_replaces_itself(spark, rows, tmp_path):
     assert rows(spark.read.parquet(path).select("x")) == [(1,), (2,), (3,)]
 
 
+def test_files_are_sorted_and_split_by_day(spark, rows, tmp_path):
+    path, day = str(tmp_path / "t"), 86_400_000
+    given = [("m", f"k{i * 7 % 5}", i * day // 4, 0, float(i)) for i in range(40)]
+    schema, sort_by, day_of = RESULT_TABLES["page_views"]
+    random.Random(1).shuffle(given)
+    for _ in range(2):
+        sinks.write_run(spark.createDataFrame(given, schema).coalesce(2), path, "0", sort_by,
+                        "batch_id", day_of)
+    files = sorted((tmp_path / "t").glob("day=*/batch_id=0/*.parquet"))
+    assert len({f.parent.parent.name for f in files}) == 10
+    for file in files:
+        found = [tuple(r) for r in pq.read_table(file, partitioning=None).select(
+            sort_by).to_pandas().itertuples(index=False)]
+        assert found == sorted(found)
+    assert rows(result_table(spark, path, schema)) == sorted(given)
+    one = result_table(spark, path, schema, (date(1970, 1, 2), date(1970, 1, 2)))
+    assert rows(one) == sorted(r for r in given if day <= r[2] < 2 * day)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+
+
 def test_user_behaviour_job_from_text(spark, rows, tmp_path):
     given = [e for e in random_events(14, n=150, span=60 * MIN)]
     # The file source gives no arrival order, so the text carries it as its line number.
@@ -175,14 +197,15 @@ def test_sensor_job_emits_every_refinement(spark, rows, tmp_path):
 @pytest.mark.parametrize("name", list(runs.METRICS))
 def test_result_topic_into_table(spark, rows, tmp_path, name):
     """Metric rows as topic messages, loaded into the metric's table."""
-    schema, order = RESULT_TABLES[name]
+    schema, order, _ = RESULT_TABLES[name]
     data = b.with_event_time(spark.createDataFrame(random_events(15, n=80), SCHEMA))
     result = runs.METRICS[name](data)
     messages = sinks.topic_records(result, key=order[:1])
     messages.select("value").write.text(str(tmp_path / "topic"))
-    sinks.topic_table(text_stream(spark, str(tmp_path / "topic")), schema, str(tmp_path / "table"),
-                      str(tmp_path / "cp"), order).awaitTermination()
-    assert rows(result_table(spark, str(tmp_path / "table"), schema)) == rows(result)
+    topic = text_stream(spark, str(tmp_path / "topic"))
+    for query in runs.run_loads({name: topic}, str(tmp_path / "lake")):
+        query.awaitTermination()
+    assert rows(result_table(spark, str(tmp_path / "lake" / name), schema)) == rows(result)
 
 
 def test_topic_records(spark):
