@@ -48,10 +48,12 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, out
                 F.col("_slice").alias("_chosen"),
                 (F.col("_upto") - F.col("_n")).alias("_before"), "_low", "_high", "_part")
     )
+    # Null-safe throughout: a plain equality would imply a filter on one use of `counts` only, and
+    # the two uses would no longer share their scan and shuffle.
     same = reduce(
         lambda a, b: a & b,
         [counts[k].eqNullSafe(slices[f"_k{i}"]) for i, k in enumerate(keys)],
-        counts["_slice"] == slices["_chosen"],
+        counts["_slice"].eqNullSafe(slices["_chosen"]),
     )
     by_value = Window.partitionBy(*keys).orderBy(value)
     ranked = (

@@ -11,6 +11,9 @@ def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
 
 USER_EVENT = _struct(("userId", _S), ("event", _S), ("page", _S), ("timestamp", _L))
 
+# A decoded event as the streaming job keeps it: `seq` is the arrival order.
+STORED_EVENT = T.StructType([*USER_EVENT.fields, T.StructField("seq", _L, True)])
+
 METRIC = _struct(("metric", _S), ("key", _S), ("windowStart", _L), ("windowEnd", _L), ("value", _D))
 
 SESSION_STAT = _struct(

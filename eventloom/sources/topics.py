@@ -17,8 +17,14 @@ def topic_options(config: JobConfig, topic: str) -> dict[str, str]:
 
 
 def topic_stream(spark: SparkSession, config: JobConfig, topic: str) -> DataFrame:
-    """Text records of a topic: value, record time, and the arrival order (partition, offset)."""
+    """Text records of a topic: value, record time, and the arrival order `seq`."""
     records = spark.readStream.format("kafka").options(**topic_options(config, topic)).load()
+    return topic_rows(records)
+
+
+def topic_rows(records: DataFrame) -> DataFrame:
+    """`seq` is the offset, told apart by partition (order between partitions means nothing)."""
+    seq = F.shiftleft(F.col("partition").cast("bigint"), 48) + F.col("offset")
     return records.select(
         F.col("value").cast("string").alias("value"), F.col("timestamp").alias("record_time"),
-        "partition", "offset")
+        seq.alias("seq"))

@@ -6,14 +6,13 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from eventloom.config import JobConfig
 from eventloom.operators import behaviour as b
 from eventloom.operators.funnel import funnel_stats
 from eventloom.operators.sensors import sensor_aggregates, sensor_messages
-from eventloom.schemas import RESULT_TABLES, USER_EVENT
+from eventloom.schemas import RESULT_TABLES, STORED_EVENT
 from eventloom.session import ROCKSDB
 from eventloom.sources.decode import parse_cdc, parse_user_events
 from eventloom.sources.files import parquet_stream
@@ -63,6 +62,11 @@ def state_settings(spark: SparkSession, partitions: int | None) -> Iterator[None
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
+def event_table_stream(spark: SparkSession, root: str) -> DataFrame:
+    """The decoded events of `run_user_behaviour` as they arrive."""
+    return parquet_stream(spark, f"{root}/events", STORED_EVENT)
+
+
 def start_metric(spark: SparkSession, name: str, rows: DataFrame, root: str, config: JobConfig,
                  output_mode: str = "append", available_now: bool = True) -> StreamingQuery:
     """Start the load of one result frame into `root/name`."""
@@ -83,17 +87,17 @@ def run_user_behaviour(spark: SparkSession, raw: DataFrame, root: str,
     """
     config = config or JobConfig()
     good, bad = parse_user_events(raw)
-    events_path, schema = f"{root}/events", T.StructType(USER_EVENT.fields + [
-        T.StructField("seq", T.LongType())])
+    events = good.select(*STORED_EVENT.fieldNames())
     decode = [
-        _table_stream(good.select(*schema.fieldNames()), events_path, root, "events", available_now),
+        _table_stream(events, f"{root}/events", root, "events", available_now),
         _table_stream(bad, f"{root}/rejected", root, "rejected", available_now),
     ]
-    for query in decode:
-        query.awaitTermination() if available_now else query.processAllAvailable()
+    if available_now:
+        for query in decode:
+            query.awaitTermination()
     queries = []
     for name in metrics:
-        events = b.with_event_time(parquet_stream(spark, events_path, schema), config.event_delay)
+        events = b.with_event_time(event_table_stream(spark, root), config.event_delay)
         queries.append(start_metric(
             spark, name, METRICS[name](events), root, config, available_now=available_now))
     return decode + queries

@@ -110,5 +110,13 @@ def test_topic_options():
                        "startingOffsets": "earliest"}
 
 
+def test_topic_rows_carry_arrival_order(spark, rows):
+    at = datetime(2024, 1, 1)
+    records = spark.createDataFrame(
+        [(bytearray(b"a"), at, 0, 7), (bytearray(b"b"), at, 1, 2)],
+        "value binary, timestamp timestamp, partition int, offset bigint")
+    assert rows(topics.topic_rows(records)) == [("a", at, 7), ("b", at, 2**48 + 2)]
+
+
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")

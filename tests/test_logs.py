@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from eventloom import jobs
 from eventloom.operators import logs
 from eventloom.plans.logs import run_logs
 from eventloom.sources.files import put_file_data
@@ -88,8 +89,10 @@ def test_job_reruns_replace_their_run(spark, tmp_path, rows):
     from eventloom.schemas import LOG_LINE
     source, table = str(tmp_path / "in"), str(tmp_path / "log_events")
     put_file_data(spark.createDataFrame(entries, LOG_LINE), source)
-    for run_id in ("h1", "h1", "h2"):
-        reports = run_logs(spark, source, table, run_id)
+    for run_id in ("h1", "h1"):
+        jobs.run(spark, jobs.arguments(["logs", "--input", source, "--table", table,
+                                        "--run-id", run_id]))
+    reports = run_logs(spark, source, table, "h2")
     assert spark.read.parquet(table).count() == 4
     assert rows(reports["events_by_device"]) == [("mobile", 1), ("tablet", 1)]
     assert rows(reports["user_paths"]) == [("u1", 0, ["Product viewed", "Payment failed"])]

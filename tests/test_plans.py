@@ -47,10 +47,11 @@ def test_shuffles(spark, name, exchanges):
     assert len(re.findall(r"Exchange hashpartitioning", plan)) == exchanges
 
 
-def test_funnel_reads_its_first_pass_once(spark):
-    df = QUERIES["funnel_stats"](spark, SMALL)
+@pytest.mark.parametrize("name", ["funnel_stats", "service_p99", "user_paths"])
+def test_first_passes_are_shared(spark, name):
+    df = QUERIES[name](spark, SMALL)
     df.collect()
-    assert "ReusedExchange" in plan_of(df)
+    assert "Reused" in plan_of(df)
 
 
 def test_slowest_traces_are_the_only_broadcast(spark):

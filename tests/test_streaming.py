@@ -1,6 +1,7 @@
 """Streams against their batch counterparts, late rows, restarts, replays."""
 
 import json
+import os
 import random
 from datetime import date, datetime, timedelta
 
@@ -169,6 +170,32 @@ def test_user_behaviour_job_from_text(spark, rows, tmp_path):
         assert got == rows(metric(events)), name
 
 
+def test_user_behaviour_job_keeps_running(spark, rows, tmp_path):
+    """All streams start at once, before any event was decoded, and take what arrives later."""
+    given = random_events(16, n=60, span=20 * MIN)
+    raw_path, root = tmp_path / "raw", str(tmp_path / "lake")
+    raw_path.mkdir()
+    raw = text_stream(spark, str(raw_path)).selectExpr(
+        "value", "CAST(get_json_object(value, '$.page') AS bigint) AS seq")
+    queries = runs.run_user_behaviour(
+        spark, raw, root, CONFIG, ["events_per_type", "retention"], available_now=False)
+    try:
+        for number, chunk in enumerate([given, [("end", "view", "/p", 900 * MIN, 10_000)]]):
+            lines = [json.dumps(dict(zip(COLUMNS[:4], (u, e, str(seq), t))))
+                     for u, e, _, t, seq in chunk]
+            (tmp_path / "part").write_text("\n".join(lines))
+            os.rename(tmp_path / "part", raw_path / f"{number}.json")
+            for query in queries:
+                query.processAllAvailable()
+    finally:
+        for query in queries:
+            query.stop()
+    events = b.with_event_time(spark.createDataFrame(given, SCHEMA))
+    for name in ("events_per_type", "retention"):
+        got = rows(result_table(spark, f"{root}/{name}", RESULT_TABLES[name][0]))
+        assert got == rows(runs.METRICS[name](events)), name
+
+
 def change(device, temperature, second):
     at = datetime(2024, 1, 1) + timedelta(seconds=second)
     row = {"id": 1, "device_id": device, "temperature": temperature, "humidity": 1.0,
