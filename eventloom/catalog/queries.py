@@ -274,9 +274,10 @@ TRACES: dict[str, Query] = {
 
 
 def _job(spark: SparkSession) -> JobConfig:
-    """Local sessions keep as many state partitions as they have threads."""
-    local = spark.sparkContext.master.startswith("local")
-    return JobConfig(state_partitions=spark.sparkContext.defaultParallelism if local else None)
+    """Local sessions keep as many state partitions as they have threads, and few files."""
+    if not spark.sparkContext.master.startswith("local"):
+        return JobConfig()
+    return JobConfig(state_partitions=spark.sparkContext.defaultParallelism, files_per_day=1)
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,9 +313,8 @@ def _streamed_topic_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _new_root(spark)
     messages = tables.user_event_text(_event_stream(spark, sf_dir))
     schema = tables.USER_EVENT
-    with runs.state_settings(spark, None):
-        sinks.topic_table(messages, schema, f"{root}/table", f"{root}/_checkpoint",
-                          ["timestamp"], "timestamp").awaitTermination()
+    sinks.topic_table(messages, schema, f"{root}/table", f"{root}/_checkpoint", ["timestamp"],
+                      "timestamp", _job(spark).files_per_day).awaitTermination()
     return result_table(spark, f"{root}/table", schema)
 
 

@@ -73,7 +73,7 @@ def start_metric(spark: SparkSession, name: str, rows: DataFrame, root: str, con
     _, sort_by, day_of = RESULT_TABLES[name]
     with state_settings(spark, config.state_partitions):
         return to_table(rows, f"{root}/{name}", f"{root}/_checkpoints/{name}", sort_by, day_of,
-                        output_mode, available_now)
+                        config.files_per_day, output_mode, available_now)
 
 
 def run_user_behaviour(spark: SparkSession, raw: DataFrame, root: str,
@@ -143,12 +143,13 @@ def publish_sensors(spark: SparkSession, changes: DataFrame, checkpoints: str,
                         f"{checkpoints}/sensors", "update")
 
 
-def run_loads(messages: Mapping[str, DataFrame], root: str,
+def run_loads(messages: Mapping[str, DataFrame], root: str, config: JobConfig | None = None,
               available_now: bool = True) -> list[StreamingQuery]:
     """Result topics (name -> JSON text stream) into the result tables of the same names."""
-    queries = []
+    config, queries = config or JobConfig(), []
     for name, texts in messages.items():
         schema, sort_by, day_of = RESULT_TABLES[name]
         queries.append(topic_table(texts, schema, f"{root}/{name}", f"{root}/_checkpoints/{name}",
-                                   sort_by, day_of, available_now=available_now))
+                                   sort_by, day_of, config.files_per_day,
+                                   available_now=available_now))
     return queries

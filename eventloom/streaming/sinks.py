@@ -53,15 +53,19 @@ def _day_of(df: DataFrame, column: str) -> Column:
 
 
 def write_run(df: DataFrame, path: str, run_id: str, sort_by: Sequence[str] = (),
-              run_column: str = "run_id", day_of: str | None = None) -> None:
+              run_column: str = "run_id", day_of: str | None = None,
+              files_per_day: int = 8) -> None:
     """Write one run of a load into partitions of its own; writing the run again replaces them.
 
     Files are kept in `sort_by` order, which gives their statistics narrow ranges. With `day_of`
-    the run is also split by the day of that column, so that a read of some days lists only those.
+    the run is also split by the day of that column, so that a read of some days lists only those;
+    rows are first dealt out evenly to `files_per_day` tasks per day, else a run over many days
+    would leave one file per task and day.
     """
     out, parts = df.withColumn(run_column, F.lit(run_id)), [run_column]
     if day_of is not None:
         out, parts = out.withColumn("day", _day_of(df, day_of)), ["day", run_column]
+        out = out.repartition("day", F.pmod(F.xxhash64(*df.columns), F.lit(files_per_day)))
     (
         out.sortWithinPartitions(*parts, *sort_by)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -70,11 +74,11 @@ def write_run(df: DataFrame, path: str, run_id: str, sort_by: Sequence[str] = ()
 
 
 def to_table(stream: DataFrame, path: str, checkpoint: str, sort_by: Sequence[str] = (),
-             day_of: str | None = None, output_mode: str = "append",
+             day_of: str | None = None, files_per_day: int = 8, output_mode: str = "append",
              available_now: bool = True) -> StreamingQuery:
     """Continuous load of a table: every micro-batch is a run, so a replayed batch replaces itself."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_run(batch, path, f"{batch_id:012d}", sort_by, "batch_id", day_of)
+        write_run(batch, path, f"{batch_id:012d}", sort_by, "batch_id", day_of, files_per_day)
 
     writer = stream.writeStream.foreachBatch(write).outputMode(output_mode).option(
         "checkpointLocation", checkpoint)
@@ -82,8 +86,9 @@ def to_table(stream: DataFrame, path: str, checkpoint: str, sort_by: Sequence[st
 
 
 def topic_table(messages: DataFrame, schema: T.StructType, path: str, checkpoint: str,
-                sort_by: Sequence[str] = (), day_of: str | None = None, value: str = "value",
-                available_now: bool = True) -> StreamingQuery:
+                sort_by: Sequence[str] = (), day_of: str | None = None, files_per_day: int = 8,
+                value: str = "value", available_now: bool = True) -> StreamingQuery:
     """Topic of JSON rows into a table."""
     rows = messages.select(F.from_json(value, schema).alias("r")).select("r.*")
-    return to_table(rows, path, checkpoint, sort_by, day_of, available_now=available_now)
+    return to_table(
+        rows, path, checkpoint, sort_by, day_of, files_per_day, available_now=available_now)

@@ -18,7 +18,7 @@ from eventloom.sources.decode import parse_cdc
 from eventloom.sources.files import parquet_stream, result_table, text_stream
 from eventloom.streaming import runs, sinks
 
-CONFIG = JobConfig(state_partitions=2)
+CONFIG = JobConfig(state_partitions=2, files_per_day=2)
 COLUMNS = ["userId", "event", "page", "timestamp", "seq"]
 
 
@@ -131,9 +131,10 @@ def test_files_are_sorted_and_split_by_day(spark, rows, tmp_path):
     random.Random(1).shuffle(given)
     for _ in range(2):
         sinks.write_run(spark.createDataFrame(given, schema).coalesce(2), path, "0", sort_by,
-                        "batch_id", day_of)
+                        "batch_id", day_of, files_per_day=2)
     files = sorted((tmp_path / "t").glob("day=*/batch_id=0/*.parquet"))
     assert len({f.parent.parent.name for f in files}) == 10
+    assert len(files) <= 20
     for file in files:
         found = [tuple(r) for r in pq.read_table(file, partitioning=None).select(
             sort_by).to_pandas().itertuples(index=False)]
