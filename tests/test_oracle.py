@@ -7,8 +7,8 @@ from compare import difference, open_tables
 from conftest import DATA
 
 import __spark_entry__ as contract
-
-QUERIES, ORACLE = contract.queries(), contract.oracle_sql()
+from eventloom.catalog.oracle import ORACLE
+from eventloom.catalog.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -23,6 +23,7 @@ def medium():
 
 def test_every_query_has_its_sql():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLE) <= set(contract.oracle_sql())
 
 
 def test_entry(spark):
