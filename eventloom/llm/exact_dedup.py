@@ -55,7 +55,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     return (
         runs.select("id", "text_sha256", "salt", "nth")
-        .join(verdicts, ["text_sha256", "salt"])
+        # Every row has its run. An outer join keeps both branches alike, so that one shuffle of the
+        # texts serves both.
+        .join(verdicts, ["text_sha256", "salt"], "left")
         .select("id", "keep_id", "group_size", (F.col("best") & (F.col("nth") == 1)).alias("kept"),
                 "text_sha256")
     )
