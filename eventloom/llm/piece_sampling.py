@@ -34,7 +34,9 @@ SPACE = "▁"
 _U = np.uint64
 _LEAST_NOISE = math.log(-math.log1p(-2.0 ** -54)) - 1e-6
 _REACH = 60.0
-_MOST_EDGES = 5_000_000
+_IDS = 200_000
+# Lattices that a worker keeps, in edges (32 bytes each); beyond, it begins anew.
+_MOST_EDGES = 2_000_000
 
 
 def _round(x: np.ndarray, part) -> np.ndarray:
@@ -75,7 +77,6 @@ class Vocabulary:
         self.byte_ids = {int(self.text[i][3:5], 16): i for i in range(size) if loaded.is_byte(i)}
         self.byte_weight = sharpness * (-math.log(len(ranked) + 2.7) - norm - 1)
         self._spell(size)
-        self._index()
 
     def _spell(self, size: int) -> None:
         """What every id stands for when it is decoded."""
@@ -87,7 +88,7 @@ class Vocabulary:
         self.spelled_at = np.concatenate(([0], np.cumsum([len(s) for s in spelled])))
         self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
 
-    def _index(self) -> None:
+    def index(self) -> None:
         """A tree of the pieces' beginnings, and which characters follow each other in a piece."""
         chars = sorted({c for p in self.pieces for c in p})
         self.kind = np.zeros(0x110000, np.int32)
@@ -120,6 +121,7 @@ class _Lattices:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
+        vocabulary.index()
         # Ids that edges point into, and how many follow; characters spelled in bytes come behind.
         self.pool = list(range(len(vocabulary.text)))
         self.span = [1] * len(self.pool)
@@ -134,11 +136,11 @@ class _Lattices:
 
     @staticmethod
     def _append(arrays: dict[str, np.ndarray], have: int, new: dict[str, np.ndarray]) -> int:
-        """Arrays grow by doubling; what is behind the end is not used."""
+        """Arrays grow by a quarter; what is behind the end is not used."""
         upto = have + len(next(iter(new.values())))
         for name, values in new.items():
             if len(arrays[name]) < upto:
-                wider = np.zeros(max(upto, 2 * len(arrays[name])), arrays[name].dtype)
+                wider = np.zeros(upto + upto // 4, arrays[name].dtype)
                 wider[:have] = arrays[name][:have]
                 arrays[name] = wider
             arrays[name][have:upto] = values
@@ -432,18 +434,26 @@ def _spell(a: dict, edges: np.ndarray) -> np.ndarray:
     return a["pool"][np.repeat(at, n) + inner].astype(np.int32)
 
 
-_LOADED: dict[tuple[int, float], tuple[Vocabulary, _Lattices]] = {}
+_LOADED: dict[tuple[int, float], Vocabulary] = {}
+_LATTICES: dict[tuple[int, float], _Lattices] = {}
 
 
-def _vocabulary(model: bytes, sharpness: float) -> tuple[Vocabulary, _Lattices]:
-    """Once per worker process; the lattices of frequent words stay from task to task."""
+def _vocabulary(model: bytes, sharpness: float) -> Vocabulary:
+    """Once per worker process."""
     key = (hash(model), sharpness)
     if key not in _LOADED:
-        vocabulary = Vocabulary(model, sharpness)
-        _LOADED[key] = vocabulary, _Lattices(vocabulary)
+        _LOADED[key] = Vocabulary(model, sharpness)
     return _LOADED[key]
 
 
+def _lattices(model: bytes, sharpness: float) -> _Lattices:
+    """Once per worker process, so that frequent words stay from task to task."""
+    key = (hash(model), sharpness)
+    if key not in _LATTICES:
+        _LATTICES[key] = _Lattices(_vocabulary(model, sharpness))
+    return _LATTICES[key]
+
+
 def encode(docs: DataFrame, model_file: str, k: int = 4, id_col: str = "doc_id", text_col: str = "text",
            sharpness: float = 1.0, seed: int = 29) -> DataFrame:
     """`id`, `sample` (from 1), `ids`, `log_prob`, `perturbed`, `log_inclusion`: k rows per document.
@@ -460,7 +470,7 @@ def encode(docs: DataFrame, model_file: str, k: int = 4, id_col: str = "doc_id",
                        F.col(text_col).alias("text"))
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, lattices = _vocabulary(model, sharpness)
+        lattices = _lattices(model, sharpness)
         for batch in slices(batches, "text", 1 << 20):
             texts = [t or "" for t in batch.column(2).to_pylist()]
             found = sample_batch(lattices, texts, batch.column(1).to_pylist(), k)
@@ -504,17 +514,20 @@ def decode(encoded: DataFrame, model_file: str, ids_col: str = "ids", text_col:
     place = encoded.columns.index(ids_col)
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, _ = _vocabulary(model, 1.0)
+        vocabulary = _vocabulary(model, 1.0)
         for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                column = batch.column(place)
-                some = column.fill_null([]) if column.null_count else column
-                bounds = some.offsets.to_numpy()
-                ids = some.values.to_numpy(zero_copy_only=False)[bounds[0]:bounds[-1]]
-                texts = decode_ids(vocabulary, ids, bounds - bounds[0])
-                texts = [None if gone else t for t, gone in zip(texts, column.is_null().to_pylist())]
+            column = whole.column(place)
+            some = column.fill_null([]) if column.null_count else column
+            bounds, ids = some.offsets.to_numpy(), some.values.to_numpy(zero_copy_only=False)
+            gone, at = column.is_null().to_pylist(), 0
+            while at < whole.num_rows:
+                upto = max(at + 1, int(np.searchsorted(bounds, bounds[at] + _IDS, side="right")) - 1)
+                own = bounds[at:upto + 1]
+                texts = decode_ids(vocabulary, ids[own[0]:own[-1]], own - own[0])
+                texts = [None if g else t for t, g in zip(texts, gone[at:upto])]
+                batch = whole.slice(at, upto - at)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names)
+                at = upto
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema]
     return encoded.mapInArrow(spelled, ", ".join([*fields, f"`{text_col}` string"]))

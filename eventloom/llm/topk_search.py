@@ -112,6 +112,8 @@ def search_tree(tree: dict[str, np.ndarray], ids: np.ndarray, queries: np.ndarra
                     heapq.heappush(heap, (-bound[c], c))
                 continue
             scores = _products(tree["points"][start[node]:end[node]], queries[q][:, None])[:, 0]
+            if scores.dtype == object:
+                scores = np.array([max(-_LONG - 1, min(_LONG, x)) for x in scores], object)
             near = np.flatnonzero(tree["ids"][start[node]:end[node]] != own)
             if len(best) == k:
                 near = near[scores[near] >= best[0][0]]
@@ -177,7 +179,7 @@ def _searcher(k: int, leaves: int | None):
             for known in block["floors"] or ():
                 floors[known["place"]] = known["score"]
             ids = queries["ids"].tolist()
-            rows = [(block["dim"], block["block"], q, ids[q], vec, max(-_LONG - 1, min(_LONG, score)))
+            rows = [(block["dim"], block["block"], q, ids[q], vec, score)
                     for q, vec, score in search_tree(tree, queries["ids"], queries["points"], k, floors, leaves)]
         columns = list(zip(*rows)) or [()] * len(_FOUND)
         return pa.Table.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _FOUND)], [n for n, _ in _FOUND])
@@ -197,7 +199,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
     """`query_id`, `rank`, `vec_id`, `score`: the k best for every row whose id `every` divides.
 
     Score is the inner product of the vectors with components floor(scale * x), kept to the range of
-    a long; ties go to the smaller id. Vectors that are null, have a null id, or hold null or
+    a long before it is ranked; ties go to the smaller id. Vectors that are null, have a null id, or hold null or
     non-finite components take no part; vectors are compared with those of their own length. A row is
     no candidate for queries of its own id. A query row that repeats is answered each time, and a
     candidate that repeats counts each time.
