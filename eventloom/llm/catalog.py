@@ -13,7 +13,7 @@ from eventloom.llm.html_extract import extract_main_text
 from eventloom.llm.language_id import fit, learnable, predict
 from eventloom.llm.line_dedup import line_dedup
 from eventloom.llm.mixing import mix_sources
-from eventloom.llm.piece_sampling import decode, encode
+from eventloom.llm.piece_sampling import encode
 from eventloom.llm.simhash import near_duplicates
 from eventloom.llm.substring_dedup import substring_dedup
 from eventloom.llm.topk_search import top_k
@@ -76,8 +76,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = encode(_table(spark, sf_dir, "documents"), PIECE_MODEL, SAMPLES)
-    return decode(encoded, PIECE_MODEL).select(
+    return encode(_table(spark, sf_dir, "documents"), PIECE_MODEL, SAMPLES, decoded=True).select(
         F.col("id").alias("doc_id"), "sample", F.size("ids").cast("long").alias("n_pieces"),
         F.xxhash64("ids").alias("pieces_hash"), "log_prob", "perturbed", "log_inclusion",
         _sha256("decoded").alias("decoded_sha256"))

@@ -34,7 +34,7 @@ SPACE = "▁"
 _U = np.uint64
 _LEAST_NOISE = math.log(-math.log1p(-2.0 ** -54)) - 1e-6
 _REACH = 60.0
-_IDS = 200_000
+_IDS = 100_000
 # Lattices that a worker keeps, in edges (32 bytes each); beyond, it begins anew.
 _MOST_EDGES = 2_000_000
 
@@ -455,8 +455,9 @@ def _lattices(model: bytes, sharpness: float) -> _Lattices:
 
 
 def encode(docs: DataFrame, model_file: str, k: int = 4, id_col: str = "doc_id", text_col: str = "text",
-           sharpness: float = 1.0, seed: int = 29) -> DataFrame:
+           sharpness: float = 1.0, seed: int = 29, decoded: bool = False) -> DataFrame:
     """`id`, `sample` (from 1), `ids`, `log_prob`, `perturbed`, `log_inclusion`: k rows per document.
+    With `decoded` also the text that the ids spell, as `decode` has it, from the same worker.
 
     The samples of a document are different segmentations of its whole text, best perturbed value
     first; fewer come where the text has fewer. `log_inclusion` is the log chance of being among the
@@ -469,6 +470,8 @@ def encode(docs: DataFrame, model_file: str, k: int = 4, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("seed"),
                        F.col(text_col).alias("text"))
 
+    names = ["id", "sample", "ids", "log_prob", "perturbed", "log_inclusion", *["decoded"] * decoded]
+
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = _lattices(model, sharpness)
         for batch in slices(batches, "text", 1 << 20):
@@ -476,28 +479,37 @@ def encode(docs: DataFrame, model_file: str, k: int = 4, id_col: str = "doc_id",
             found = sample_batch(lattices, texts, batch.column(1).to_pylist(), k)
             counts = [len(rows) for rows in found]
             flat = [row for rows in found for row in rows]
-            sizes = [len(ids) for ids, *_ in flat]
-            yield pa.RecordBatch.from_arrays([
+            ids = np.concatenate([ids for ids, *_ in flat])
+            bounds = np.concatenate(([0], np.cumsum([len(ids) for ids, *_ in flat])))
+            columns = [
                 batch.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts))),
                 pa.array(np.concatenate([np.arange(1, n + 1) for n in counts]), pa.int32()),
-                pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()),
-                                         pa.array(np.concatenate([ids for ids, *_ in flat]), pa.int32())),
+                pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())),
                 *(pa.array([row[i] for row in flat], pa.float64()) for i in (1, 2, 3)),
-            ], ["id", "sample", "ids", "log_prob", "perturbed", "log_inclusion"])
+            ]
+            if decoded:
+                columns.append(pa.array(decode_ids(lattices.vocabulary, ids, bounds), pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(
-        sampled, f"id {kind}, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double")
+        sampled, f"id {kind}, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double"
+        + ", decoded string" * decoded)
 
 
 def decode_ids(vocabulary: Vocabulary, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
     """Texts of runs of ids; the one space that encoding put in front goes."""
-    at = vocabulary.spelled_at
-    sizes = (at[1:] - at[:-1])[ids]
-    before = np.concatenate(([0], np.cumsum(sizes)))
-    data = vocabulary.spelled[np.repeat(at[ids] - before[:-1], sizes) + np.arange(before[-1])].tobytes()
-    edges = before[bounds].tolist()
-    return [data[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip(edges[:-1], edges[1:])]
+    at, texts, row = vocabulary.spelled_at, [], 0
+    while row < len(bounds) - 1:        # some runs at a time: a byte takes 24 while it is looked up
+        upto = max(row + 1, int(np.searchsorted(bounds, bounds[row] + _IDS, side="right")) - 1)
+        own, cuts = ids[bounds[row]:bounds[upto]], bounds[row:upto + 1] - bounds[row]
+        sizes = (at[1:] - at[:-1])[own]
+        before = np.concatenate(([0], np.cumsum(sizes)))
+        data = vocabulary.spelled[np.repeat(at[own] - before[:-1], sizes) + np.arange(before[-1])].tobytes()
+        edges = before[cuts].tolist()
+        texts += [data[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip(edges[:-1], edges[1:])]
+        row = upto
+    return texts
 
 
 def decode(encoded: DataFrame, model_file: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -519,15 +531,9 @@ def decode(encoded: DataFrame, model_file: str, ids_col: str = "ids", text_col:
             column = whole.column(place)
             some = column.fill_null([]) if column.null_count else column
             bounds, ids = some.offsets.to_numpy(), some.values.to_numpy(zero_copy_only=False)
-            gone, at = column.is_null().to_pylist(), 0
-            while at < whole.num_rows:
-                upto = max(at + 1, int(np.searchsorted(bounds, bounds[at] + _IDS, side="right")) - 1)
-                own = bounds[at:upto + 1]
-                texts = decode_ids(vocabulary, ids[own[0]:own[-1]], own - own[0])
-                texts = [None if g else t for t, g in zip(texts, gone[at:upto])]
-                batch = whole.slice(at, upto - at)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names)
-                at = upto
+            gone = column.is_null().to_pylist()
+            texts = [None if g else t for t, g in zip(decode_ids(vocabulary, ids, bounds), gone)]
+            yield pa.RecordBatch.from_arrays([*whole.columns, pa.array(texts, pa.string())], names)
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema]
     return encoded.mapInArrow(spelled, ", ".join([*fields, f"`{text_col}` string"]))

@@ -145,7 +145,8 @@ def test_encode_and_decode(spark, docs):
         assert model.decode(list(r.ids)) == r.decoded or "\x00" in r.decoded
         per_row[r.id, r.decoded] += 1
     assert all(n == texts[key] * (1 if not key[1] else 3) for key, n in per_row.items() if not 0 < len(key[1]) < 6)
-    again = encode(docs.repartition(6), PIECE_MODEL, 3).collect()
+    again = encode(docs.repartition(6), PIECE_MODEL, 3, decoded=True).collect()
+    assert Counter((r.id, r["sample"], r.decoded) for r in again) == Counter((r.id, r["sample"], r.decoded) for r in got)
     assert sorted((str(r.id), r["sample"], r.ids) for r in again) == sorted((str(r.id), r["sample"], r.ids) for r in got)
     assert encode(docs.where("false"), PIECE_MODEL).collect() == []
     nulls = spark.createDataFrame([(1, None), (2, [])], "id int, ids array<int>")
