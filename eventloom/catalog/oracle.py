@@ -303,6 +303,9 @@ TIME_SERIES = {
     "date_filter": _BARE + " WHERE ts::DATE BETWEEN DATE '2024-01-10' AND DATE '2024-01-12'",
     "date_time_filter": _BARE + """ WHERE ts >= TIMESTAMP '2024-01-10 06:00:00'
       AND ts <= TIMESTAMP '2024-01-12 18:30:00'""",
+    "date_filter_zoned": _BARE + " WHERE ts::DATE BETWEEN DATE '2024-01-11' AND DATE '2024-01-12'",
+    "date_time_filter_zoned": _BARE + """ WHERE ts >= TIMESTAMP '2024-01-11 06:00:00'
+      AND ts <= TIMESTAMP '2024-01-12 01:00:00'""",
     "time_interval": _bucket(20_000),
     "time_interval_ms": _bucket(500),
     "conditional_all": _BARE + " WHERE event_type IN ('view', 'click')",

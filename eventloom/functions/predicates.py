@@ -54,8 +54,9 @@ def time_filter_ms(df: DataFrame, column: str, frm: datetime, to: datetime) -> D
 
 
 def date_filter(df: DataFrame, column: str, frm: date, to: date) -> DataFrame:
-    """Rows whose date lies inside the range, both ends kept."""
-    first, last = (d.date() if isinstance(d, datetime) else d for d in (frm, to))
+    """Rows whose date lies inside the range, both ends kept; a time bound counts by its UTC day."""
+    first, last = (
+        _utc(d).astimezone(timezone.utc).date() if isinstance(d, datetime) else d for d in (frm, to))
     return df.filter(F.col(column).between(F.lit(first), F.lit(last)))
 
 

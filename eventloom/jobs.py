@@ -6,6 +6,7 @@ import argparse
 from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 from eventloom.config import JobConfig, shared_dir
 from eventloom.plans.logs import run_logs
@@ -30,6 +31,20 @@ def arguments(argv: Sequence[str] | None = None) -> argparse.Namespace:
     return parser.parse_args(argv)
 
 
+def wait_for_all(spark: SparkSession, queries: Sequence[StreamingQuery]) -> None:
+    """Until all have ended. As soon as one fails the others are stopped, and its error is raised."""
+    try:
+        while any(query.isActive for query in queries):
+            spark.streams.awaitAnyTermination()
+            spark.streams.resetTerminated()
+        for query in queries:
+            if query.exception() is not None:
+                raise query.exception()
+    finally:
+        for query in queries:
+            query.stop()
+
+
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.job == "logs":
         for report in run_logs(spark, args.input, args.table, args.run_id).values():
@@ -42,14 +57,15 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         queries = runs.run_user_behaviour(spark, raw, root, config, available_now=args.once)
         if args.publish:
             events = runs.event_table_stream(spark, root)
-            queries += runs.publish_metrics(spark, events, f"{root}/_topics", config)
+            queries += runs.publish_metrics(
+                spark, events, f"{root}/_topics", config, available_now=args.once)
     else:
         changes = topic_stream(spark, config, config.cdc_topic)
         queries = [runs.run_sensors(spark, changes, root, config, available_now=args.once)]
         if args.publish:
-            queries.append(runs.publish_sensors(spark, changes, f"{root}/_topics", config))
-    for query in queries:
-        query.awaitTermination()
+            queries.append(runs.publish_sensors(
+                spark, changes, f"{root}/_topics", config, available_now=args.once))
+    wait_for_all(spark, queries)
 
 
 if __name__ == "__main__":

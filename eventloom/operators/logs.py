@@ -38,49 +38,41 @@ def events_by_device(df: DataFrame) -> DataFrame:
     return df.groupBy("device").count()
 
 
-def user_paths(df: DataFrame, part_rows: int = 10_000, slice: str = "1 hour",
-               order: Sequence[str] = ("timestamp", "seq"), hot_share: float = 0.001) -> DataFrame:
+def user_paths(df: DataFrame, part_rows: int = 10_000, slice: str = "1 minute",
+               order: Sequence[str] = ("timestamp", "seq")) -> DataFrame:
     """Each user's events in time order, as consecutive parts of at most `part_rows` events.
 
-    Most users have the single part 0. A path of any length stays whole: its parts, put end to
-    end, are the path, and no row ever holds more than a part.
-
-    Users with more than `hot_share` of all rows are placed slice by slice, in many tasks; there
-    are at most 1 / hot_share of them, which is what bounds the broadcast. Everybody else's rows
-    are shuffled once, by user.
+    A path of any length stays whole: its parts, put end to end, are the path, and no row ever holds
+    more than a part. Every user is placed slice by slice: rows are ordered inside (user, slice)
+    only, and what a user's earlier slices hold is added from counts per slice. So no task orders
+    more raw rows than one user has in one slice, however many rows a user has.
     """
-    rows = df.select("userId", "event", *order)
-    counts = rows.groupBy("userId").agg(F.count("*").alias("n"))
-    share = counts.agg(F.sum("n")).scalar() * hot_share
-    hot = F.broadcast(
-        counts.filter((F.col("n") > share) & (F.col("n") > part_rows))
-        .select(F.col("userId").alias("hotId")))
-    is_hot = F.col("userId").eqNullSafe(F.col("hotId"))
-
-    of_user = Window.partitionBy("userId").orderBy(*order)
-    usual = rows.join(hot, is_hot, "left_anti").withColumn("place", F.row_number().over(of_user) - 1)
-    sliced = _places_by_slice(rows.join(hot, is_hot, "left_semi"), slice, order)
-    return _parts(usual, part_rows).unionByName(_parts(sliced, part_rows))
+    return _parts(_places_by_slice(df.select("userId", "event", *order), slice, order), part_rows)
 
 
 def _places_by_slice(rows: DataFrame, slice: str, order: Sequence[str]) -> DataFrame:
-    """Position of each row in its user's order: rows in earlier time slices plus rank in its own."""
+    """Position of each row in its user's order: rows in earlier time slices plus rank in its own.
+
+    Equal places in the order are settled by the event, so both uses of the ranked rows need the same
+    columns and share one shuffle.
+    """
     time = order[0]
-    sliced = rows.withColumn("slice", floor_ms(F.unix_millis(time), to_ms(slice)))
+    own = Window.partitionBy("userId", "slice")
+    ranked = (
+        rows.withColumn("slice", floor_ms(F.unix_millis(time), to_ms(slice)))
+        .withColumn("n", F.count("*").over(own))
+        .withColumn("rank", F.row_number().over(own.orderBy(*order, "event")))
+    )
     earlier = (
         Window.partitionBy("userId").orderBy("slice")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    offsets = (
-        sliced.groupBy("userId", "slice").agg(F.count("*").alias("n"))
-        .select(F.col("userId").alias("offsetId"), F.col("slice").alias("offsetSlice"),
-                (F.sum("n").over(earlier) - F.col("n")).alias("before"))
-    )
+    offsets = ranked.where(F.col("rank") == 1).select(
+        F.col("userId").alias("offsetId"), F.col("slice").alias("offsetSlice"),
+        (F.sum("n").over(earlier) - F.col("n")).alias("before"))
     same = F.col("userId").eqNullSafe(F.col("offsetId")) & F.col("slice").eqNullSafe(
         F.col("offsetSlice"))
-    inside = Window.partitionBy("userId", "slice").orderBy(*order)
-    return sliced.join(offsets, same).withColumn(
-        "place", F.col("before") + F.row_number().over(inside) - 1)
+    return ranked.join(offsets, same).withColumn("place", F.col("before") + F.col("rank") - 1)
 
 
 def _parts(placed: DataFrame, part_rows: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventloom.operators import logs
 from eventloom.sources.decode import parse_logs
@@ -30,7 +32,8 @@ def run_logs(spark: SparkSession, path: str, table_path: str, run_id: str,
     """
     lines = parse_logs(json_lines(spark, path))
     write_run(lines, table_path, run_id, ["timestamp"])
-    run = spark.read.parquet(table_path).where(f"run_id = '{run_id}'").drop("run_id")
+    declared = T.StructType([*lines.schema.fields, T.StructField("run_id", T.StringType())])
+    run = spark.read.schema(declared).parquet(table_path).where(F.col("run_id") == run_id).drop("run_id")
     if jdbc:
         to_jdbc(run, jdbc)
     reports = {name: report(run) for name, report in REPORTS.items()}

@@ -36,9 +36,10 @@ SENSOR_ROW = _struct(
     ("timestamp", _S),
 )
 
-# An envelope also has `schema`, and its payload `before` and `ts_ms`; nothing reads them, so they
-# are left out of the decoding schema and skipped like any unknown member.
-CDC_ENVELOPE = _struct(("payload", _struct(("after", SENSOR_ROW), ("op", _S))))
+# An envelope also has `schema`, which is skipped like any unknown member. `before` and `ts_ms` are
+# not read, but a wrong type in them makes the whole message invalid.
+CDC_ENVELOPE = _struct(
+    ("payload", _struct(("before", SENSOR_ROW), ("after", SENSOR_ROW), ("op", _S), ("ts_ms", _L))))
 
 SENSOR_AGGREGATE = _struct(
     ("device_id", _S), ("window_start", _TS), ("window_end", _TS),

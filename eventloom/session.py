@@ -17,6 +17,7 @@ def build_session(app: str = "eventloom", master: str | None = None, **conf: str
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.variant.allowDuplicateKeys", "true")  # the gate takes any readable JSON
         .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
         .config("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     )

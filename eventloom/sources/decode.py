@@ -6,10 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventloom.functions.jsontext import is_json
 from eventloom.schemas import CDC_ENVELOPE, LOG_LINE, USER_EVENT
 
+_BROKEN = "_broken"
 READING_FIELDS = ("device_id", "temperature", "humidity", "pressure")
 
 
@@ -27,12 +29,18 @@ def _has_event_fields(record: Column) -> Column:
     complete = F.size(record) == len(USER_EVENT)
     for name in USER_EVENT.fieldNames():
         complete = complete & record[name].isNotNull()
-    return complete & record["timestamp"].try_cast("bigint").isNotNull()
+    return complete & _whole_number(record["timestamp"]).isNotNull()
+
+
+def _whole_number(text: Column) -> Column:
+    """A number as a long; digits behind the point are cut off, as the original decoder does."""
+    return text.try_cast("decimal(38,10)").try_cast("bigint")
 
 
 def _typed_event(record: Column) -> Column:
     return F.struct(*[
-        record[f.name].try_cast(f.dataType).alias(f.name) for f in USER_EVENT.fields])
+        (_whole_number(record[f.name]) if f.name == "timestamp" else record[f.name]).alias(f.name)
+        for f in USER_EVENT.fields])
 
 
 def parse_user_events(
@@ -47,7 +55,7 @@ def parse_user_events(
     a filter over decoded columns would be pushed down and decode the text once per condition.
     """
     lines = not_blank(df, value)
-    records = F.array(F.from_json(value, "map<string,string>"))
+    records = F.array(F.from_json(value, "map<string,string>", {"allowSingleQuotes": "false"}))
     valid = lambda r: F.coalesce(_has_event_fields(r), F.lit(False))
     carried = [c for c in df.columns if c != value and c not in USER_EVENT.fieldNames()]
     if on_error == "fail":
@@ -64,11 +72,12 @@ def parse_cdc(df: DataFrame, value: str = "value", ops: Sequence[str] = ("c",))
     """Change envelopes to sensor readings.
 
     Kept are envelopes whose operation is among `ops` (by default inserts, not snapshot rows) and
-    whose new row has device and all three measures; a missing reading time becomes ''. Broken
-    text decodes to nulls and falls to the same conditions. As above, each text is decoded once.
+    whose new row has device and all three measures; a missing reading time becomes ''. A text that
+    is broken, or has a member of a wrong type anywhere in the envelope, is dropped as a whole. As
+    above, each text is decoded once.
     """
     def complete(envelope: Column) -> Column:
-        kept = envelope["payload"]["op"].isin(list(ops))
+        kept = envelope[_BROKEN].isNull() & envelope["payload"]["op"].isin(list(ops))
         for name in READING_FIELDS:
             kept = kept & envelope["payload"]["after"][name].isNotNull()
         return kept
@@ -79,7 +88,9 @@ def parse_cdc(df: DataFrame, value: str = "value", ops: Sequence[str] = ("c",))
         return F.struct(*[after[name].alias(name) for name in READING_FIELDS], time)
 
     carried = [c for c in df.columns if c != value]
-    kept = F.filter(F.array(F.from_json(value, CDC_ENVELOPE)), complete)
+    envelope = T.StructType([*CDC_ENVELOPE.fields, T.StructField(_BROKEN, T.StringType())])
+    options = {"columnNameOfCorruptRecord": _BROKEN, "allowSingleQuotes": "false"}
+    kept = F.filter(F.array(F.from_json(value, envelope, options)), complete)
     return df.select(*carried, F.inline(F.transform(kept, reading)))
 
 

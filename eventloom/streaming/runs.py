@@ -121,26 +121,27 @@ def run_sensors(spark: SparkSession, changes: DataFrame, root: str,
 
 
 def publish_metrics(spark: SparkSession, events: DataFrame, checkpoints: str,
-                    config: JobConfig | None = None,
-                    metrics: Sequence[str] = SEPARATE) -> list[StreamingQuery]:
+                    config: JobConfig | None = None, metrics: Sequence[str] = SEPARATE,
+                    available_now: bool = False) -> list[StreamingQuery]:
     """Metrics of an event stream to one topic each, named like the metric."""
     config = config or JobConfig()
     timed = b.with_event_time(events, config.event_delay)
     with state_settings(spark, config.state_partitions):
         return [
-            to_topic(topic_records(METRICS[name](timed)), config, name, f"{checkpoints}/{name}")
+            to_topic(topic_records(METRICS[name](timed)), config, name, f"{checkpoints}/{name}",
+                     available_now=available_now)
             for name in metrics
         ]
 
 
 def publish_sensors(spark: SparkSession, changes: DataFrame, checkpoints: str,
-                    config: JobConfig | None = None) -> StreamingQuery:
+                    config: JobConfig | None = None, available_now: bool = False) -> StreamingQuery:
     """Every refinement of the sensor windows to their topic, keyed by device and window."""
     config = config or JobConfig()
     rows = sensor_aggregates(parse_cdc(changes), delay=config.sensor_delay)
     with state_settings(spark, config.state_partitions):
         return to_topic(sensor_messages(rows), config, config.sensor_topic,
-                        f"{checkpoints}/sensors", "update")
+                        f"{checkpoints}/sensors", "update", available_now)
 
 
 def run_loads(messages: Mapping[str, DataFrame], root: str, config: JobConfig | None = None,

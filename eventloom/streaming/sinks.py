@@ -22,13 +22,14 @@ def topic_records(df: DataFrame, key: Sequence[str] = (), ignore_nulls: bool = F
 
 
 def to_topic(records: DataFrame, config: JobConfig, topic: str, checkpoint: str,
-             output_mode: str = "append") -> StreamingQuery:
+             output_mode: str = "append", available_now: bool = False) -> StreamingQuery:
     """Send (key, value) records to a topic; needs the Kafka connector on the class path."""
-    return (
+    writer = (
         records.writeStream.format("kafka")
         .option("kafka.bootstrap.servers", config.bootstrap).option("topic", topic)
-        .option("checkpointLocation", checkpoint).outputMode(output_mode).start()
+        .option("checkpointLocation", checkpoint).outputMode(output_mode)
     )
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def jdbc_options(url: str, table: str, user: str | None = None, password: str | None = None,

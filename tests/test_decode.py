@@ -17,6 +17,7 @@ BAD = [
     '{"userId":"u","event":"view","page":"/home","timestamp":"soon"}',
     '{"userId":"u","event":"view","page":"/home","timestamp":5,"more":1}',
     "[1]", "7", "{bad", '"text"',
+    "{'userId':'u','event':'view','page':'/home','timestamp':5}",
 ]
 
 
@@ -25,9 +26,9 @@ def lines(spark, texts):
 
 
 def test_gate_passes_any_json(spark):
-    texts = [GOOD, "[1, 2]", "7", '"x"', "null", "{bad", "", "  ", None, '{"a":1']
+    texts = [GOOD, "[1, 2]", "7", '"x"', "null", "{bad", "", "  ", None, '{"a":1', '{"a":1,"a":2}']
     kept = [r.value for r in decode.json_gate(lines(spark, texts)).orderBy("seq").collect()]
-    assert kept == [GOOD, "[1, 2]", "7", '"x"', "null"]
+    assert kept == [GOOD, "[1, 2]", "7", '"x"', "null", '{"a":1,"a":2}']
 
 
 def test_bad_events_are_set_aside(spark, rows):
@@ -37,6 +38,11 @@ def test_bad_events_are_set_aside(spark, rows):
     assert [r.value for r in bad.orderBy("seq").collect()] == BAD
 
 
+def test_digits_behind_the_point_are_cut(spark, rows):
+    good, _ = decode.parse_user_events(lines(spark, [GOOD.replace(":5}", ":1.9}"), GOOD.replace(":5}", ":9007199254740993}")]))
+    assert [r.timestamp for r in good.orderBy("seq").collect()] == [1, 9007199254740993]
+
+
 def test_bad_event_fails_the_job_on_request(spark, rows):
     good, bad = decode.parse_user_events(lines(spark, [GOOD, " "]), on_error="fail")
     assert len(rows(good)) == 1 and bad.count() == 0
@@ -59,6 +65,7 @@ def test_cdc_keeps_complete_inserts(spark, rows):
     texts += [envelope(op) for op in "udr"] + [envelope(after=False)]
     texts += [envelope(**{c: None}) for c in decode.READING_FIELDS]
     texts += ["{bad", "", "[]", "{}", '{"payload":null}', None]
+    texts += [envelope(id="x"), envelope(temperature=[1]), envelope().replace('"ts_ms": 1', '"ts_ms": "late"')]
     got = rows(decode.parse_cdc(lines(spark, texts)))
     assert got == [(0, "d", 20.0, 30.0, 1000.0, "t"), (1, "d", 20.0, 30.0, 1000.0, "")]
     snapshots = decode.parse_cdc(lines(spark, texts), ops=("c", "r"))

@@ -25,8 +25,8 @@ def random_log(seed, n=600):
     return out
 
 
-@pytest.mark.parametrize("part_rows,share", [(10_000, 0.001), (7, 0.1), (7, 2.0), (1, 0.0)])
-def test_paths_stay_whole(spark, part_rows, share):
+@pytest.mark.parametrize("part_rows,slice", [(10_000, "1 minute"), (7, "1 hour"), (7, "1 second"), (1, "1 day")])
+def test_paths_stay_whole(spark, part_rows, slice):
     given = random_log(1)
     given.append((None, "z", T0, 10_000))
     want = defaultdict(list)
@@ -34,7 +34,7 @@ def test_paths_stay_whole(spark, part_rows, share):
         want[user].append(event)
     got = defaultdict(dict)
     data = spark.createDataFrame(given, SCHEMA)
-    for r in logs.user_paths(data, part_rows, "1 hour", hot_share=share).collect():
+    for r in logs.user_paths(data, part_rows, slice).collect():
         assert len(r.events) <= part_rows
         assert r.part not in got[r.userId]
         got[r.userId][r.part] = r.events

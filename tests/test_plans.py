@@ -54,6 +54,17 @@ def test_first_passes_are_shared(spark, name):
     assert "Reused" in plan_of(df)
 
 
+def test_no_window_orders_all_rows_of_a_user(spark):
+    plan = plan_of(QUERIES["user_paths"](spark, SMALL))
+    windows = re.findall(r"Window \[row_number\(\).*?\], \[([^\]]*)\]", plan)
+    assert windows and all("slice" in keys for keys in windows)
+
+
+def test_range_of_a_stored_panel_reaches_the_partitions(spark):
+    plan = plan_of(QUERIES["panel_retention_range"](spark, SMALL))
+    assert re.search(r"PartitionFilters: \[[^\]]*day", plan)
+
+
 def test_slowest_traces_are_the_only_broadcast(spark):
     plan = plan_of(QUERIES["trace_list"](spark, SMALL))
     assert "BroadcastHashJoin" in plan and "TakeOrderedAndProject(limit=100" in plan
