@@ -20,14 +20,14 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 ONCE = ("stream_",)
 
-# Not timed: panels and charts repeat a metric query with a projection, and these repeat a query
-# with other settings.
-SKIP = ("panel_", "chart_")
+# Not timed: panels and charts repeat a metric query with a projection, loads repeat one through a
+# topic's files, and these repeat a query with other settings.
+SKIP = ("panel_", "chart_", "load_")
 VARIANTS = {
     "unique_users_per_page_1d", "session_stats_6h", "activity_heatmap_1d", "retention_1d",
     "sensor_aggregates_1d", "user_paths_short_parts", "service_p99_month",
     "traces_per_service_range", "log_series", "rejected_user_events", "parse_user_events_strict",
-    "stream_conversion_rate_wide", "stream_funnel_stats_7d",
+    "date_filter_zoned", "date_time_filter_zoned", "stream_conversion_rate_wide", "stream_funnel_stats_7d",
 }
 
 

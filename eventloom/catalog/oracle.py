@@ -389,6 +389,13 @@ STREAMS = {
       SELECT "userId", event, page, t AS "timestamp" FROM ue""",
 }
 
+# A load gives back what was sent to the topic.
+LOADS = {
+    f"load_{name}": {**BEHAVIOUR, **SENSORS}[name] for name in (
+        "events_per_type", "page_views", "unique_users_per_page", "conversion_rate", "session_stats",
+        "funnel_stats", "activity_heatmap", "retention", "sensor_aggregates")
+}
+
 ORACLE: dict[str, str] = {
-    **BEHAVIOUR, **SENSORS, **LOGS, **PANELS, **TEXT, **TIME_SERIES, **TRACES, **STREAMS,
+    **BEHAVIOUR, **SENSORS, **LOGS, **PANELS, **TEXT, **TIME_SERIES, **TRACES, **STREAMS, **LOADS,
 }

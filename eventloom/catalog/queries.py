@@ -16,7 +16,8 @@ from eventloom.operators import logs, panels, sensors, traces
 from eventloom.operators.funnel import funnel_stats
 from eventloom.schemas import RESULT_TABLES
 from eventloom.sources import decode, tables
-from eventloom.sources.files import json_lines, parquet_stream, put_file_data, result_table
+from eventloom.sources.files import (
+    json_lines, parquet_stream, put_file_data, result_table, text_stream)
 from eventloom.streaming import runs, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -344,6 +345,22 @@ def _streamed_topic_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result_table(spark, f"{root}/table", schema)
 
 
+def _topic_load(name: str) -> Query:
+    """A metric as the JSON messages of its topic, loaded into its result table and read back."""
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root, schema = _new_root(spark), RESULT_TABLES[name][0]
+        rows = {**BEHAVIOUR, **SENSORS}[name](spark, sf_dir).select(*schema.fieldNames())
+        records = sensors.sensor_messages(rows) if name in SENSORS else sinks.topic_records(rows)
+        records.select("value").write.text(f"{root}/topic")
+        (load,) = runs.run_loads({name: text_stream(spark, f"{root}/topic")}, root, _job(spark))
+        load.awaitTermination()
+        return _loaded(spark, root, name)
+    return query
+
+
+LOADS: dict[str, Query] = {
+    f"load_{name}": _topic_load(name) for name in runs.LOADED}
+
 STREAMS: dict[str, Query] = {
     **{f"stream_{name}": _streamed(name) for name in runs.METRICS},
     "stream_conversion_rate_wide": _streamed(
@@ -356,4 +373,5 @@ STREAMS: dict[str, Query] = {
 
 QUERIES: dict[str, Query] = {
     **BEHAVIOUR, **SENSORS, **LOGS, **PANELS, **TEXT, **TIME_SERIES, **TRACES, **STREAMS,
+    **LOADS,
 }

@@ -1,4 +1,4 @@
-"""Command line of the three jobs: `spark-submit … eventloom/jobs.py behaviour|sensors|logs …`."""
+"""Command line of the jobs: `spark-submit … eventloom/jobs.py behaviour|sensors|load|logs …`."""
 
 from __future__ import annotations
 
@@ -24,6 +24,11 @@ def arguments(argv: Sequence[str] | None = None) -> argparse.Namespace:
         stream.add_argument("--bootstrap", help="brokers; default: KAFKA_BOOTSTRAP")
         stream.add_argument("--publish", action="store_true", help="also send results to topics")
         stream.add_argument("--once", action="store_true", help="stop when the topic is read up")
+    load = jobs.add_parser("load")
+    load.add_argument("--root", help="folder of the tables; default: under the shared folder")
+    load.add_argument("--bootstrap", help="brokers; default: KAFKA_BOOTSTRAP")
+    load.add_argument("--tables", nargs="+", choices=runs.LOADED, default=list(runs.LOADED))
+    load.add_argument("--once", action="store_true", help="stop when the topics are read up")
     logs = jobs.add_parser("logs")
     logs.add_argument("--input", required=True, help="JSON-lines file or folder")
     logs.add_argument("--table", required=True, help="folder of the log table")
@@ -52,7 +57,11 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         return
     config = JobConfig(bootstrap=args.bootstrap) if args.bootstrap else JobConfig()
     root = args.root or f"{shared_dir(spark)}/{args.job}"
-    if args.job == "behaviour":
+    if args.job == "load":
+        topics = {name: config.sensor_topic if name == "sensor_aggregates" else name for name in args.tables}
+        messages = {name: topic_stream(spark, config, topic) for name, topic in topics.items()}
+        queries = runs.run_loads(messages, root, config, available_now=args.once)
+    elif args.job == "behaviour":
         raw = topic_stream(spark, config, config.events_topic)
         queries = runs.run_user_behaviour(spark, raw, root, config, available_now=args.once)
         if args.publish:

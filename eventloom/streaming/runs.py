@@ -144,6 +144,10 @@ def publish_sensors(spark: SparkSession, changes: DataFrame, checkpoints: str,
                         f"{checkpoints}/sensors", "update", available_now)
 
 
+#: Result tables that are loaded from topics of their own.
+LOADED = tuple(name for name in RESULT_TABLES if name != "count_metrics")
+
+
 def run_loads(messages: Mapping[str, DataFrame], root: str, config: JobConfig | None = None,
               available_now: bool = True) -> list[StreamingQuery]:
     """Result topics (name -> JSON text stream) into the result tables of the same names."""
