@@ -18,7 +18,7 @@ class JobConfig:
     event_delay: str = "5 seconds"
     sensor_delay: str = "0 seconds"
     state_partitions: int | None = None
-    files_per_day: int = 8
+    files_per_day: int | None = None     # None: as many as a run's size asks for
 
 
 def shared_dir(spark: SparkSession) -> str:

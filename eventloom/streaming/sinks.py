@@ -55,27 +55,36 @@ def _day_of(df: DataFrame, column: str) -> Column:
 
 def write_run(df: DataFrame, path: str, run_id: str, sort_by: Sequence[str] = (),
               run_column: str = "run_id", day_of: str | None = None,
-              files_per_day: int = 8) -> None:
+              files_per_day: int | None = None) -> None:
     """Write one run of a load into partitions of its own; writing the run again replaces them.
 
-    Files are kept in `sort_by` order, which gives their statistics narrow ranges. With `day_of`
-    the run is also split by the day of that column, so that a read of some days lists only those;
-    rows are first dealt out evenly to `files_per_day` tasks per day, else a run over many days
-    would leave one file per task and day.
+    Files are kept in `sort_by` order. With `day_of` the run is also split by the day of that column,
+    so that a read of some days lists only those; rows are first dealt out in ranges of day and sort
+    key, in as many parts as the run's size asks for, so the files of a day do not overlap. The rows
+    are held meanwhile, because ranges are found by a first pass over them. `files_per_day` sets the
+    number of files instead, for small runs; rows are then dealt out evenly.
     """
-    out, parts = df.withColumn(run_column, F.lit(run_id)), [run_column]
+    out, parts, held = df.withColumn(run_column, F.lit(run_id)), [run_column], None
     if day_of is not None:
         out, parts = out.withColumn("day", _day_of(df, day_of)), ["day", run_column]
-        out = out.repartition("day", F.pmod(F.xxhash64(*df.columns), F.lit(files_per_day)))
-    (
-        out.sortWithinPartitions(*parts, *sort_by)
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*parts).parquet(path)
-    )
+        if files_per_day is None:
+            held = out.persist()
+            out = held.repartitionByRange("day", *sort_by)
+        else:
+            out = out.repartition("day", F.pmod(F.xxhash64(*df.columns), F.lit(files_per_day)))
+    try:
+        (
+            out.sortWithinPartitions(*parts, *sort_by)
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy(*parts).parquet(path)
+        )
+    finally:
+        if held is not None:
+            held.unpersist()
 
 
 def to_table(stream: DataFrame, path: str, checkpoint: str, sort_by: Sequence[str] = (),
-             day_of: str | None = None, files_per_day: int = 8, output_mode: str = "append",
+             day_of: str | None = None, files_per_day: int | None = None, output_mode: str = "append",
              available_now: bool = True) -> StreamingQuery:
     """Continuous load of a table: every micro-batch is a run, so a replayed batch replaces itself."""
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -87,7 +96,7 @@ def to_table(stream: DataFrame, path: str, checkpoint: str, sort_by: Sequence[st
 
 
 def topic_table(messages: DataFrame, schema: T.StructType, path: str, checkpoint: str,
-                sort_by: Sequence[str] = (), day_of: str | None = None, files_per_day: int = 8,
+                sort_by: Sequence[str] = (), day_of: str | None = None, files_per_day: int | None = None,
                 value: str = "value", available_now: bool = True) -> StreamingQuery:
     """Topic of JSON rows into a table."""
     rows = messages.select(F.from_json(value, schema).alias("r")).select("r.*")

@@ -146,6 +146,27 @@ def test_files_are_sorted_and_split_by_day(spark, rows, tmp_path):
     assert "PartitionFilters: [isnotnull(day" in plan
 
 
+def test_files_of_a_day_do_not_overlap(spark, rows, tmp_path):
+    path = str(tmp_path / "t")
+    given = [("m", f"k{i % 97:02d}", i % 1000, 0, float(i)) for i in range(3000)]
+    random.Random(2).shuffle(given)
+    schema, sort_by, day_of = RESULT_TABLES["page_views"]
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        sinks.write_run(spark.createDataFrame(given, schema), path, "0", sort_by, "batch_id", day_of)
+    finally:
+        spark.conf.unset(coalesce)
+    ranges = []
+    for file in (tmp_path / "t").glob("day=*/batch_id=0/*.parquet"):
+        found = [tuple(r) for r in pq.read_table(file, partitioning=None).select(
+            sort_by).to_pandas().itertuples(index=False)]
+        ranges.append((min(found), max(found)))
+    ranges.sort()
+    assert len(ranges) > 1 and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+    assert rows(result_table(spark, path, schema)) == sorted(given)
+
+
 def test_user_behaviour_job_from_text(spark, rows, tmp_path):
     given = [e for e in random_events(14, n=150, span=60 * MIN)]
     # The file source gives no arrival order, so the text carries it as its line number.
