@@ -6,12 +6,17 @@ it is enough to hash `window - v + 1` words from the cover positions on: the anc
 repeat are extended to the windows that hold them, and windows that repeat are removed.
 
 The texts are shuffled once, into groups of documents, and all three passes work on the groups.
-Between the passes only hashes travel, packed by (group, hash range); a group sends a hash once
-however often it has it, so a passage that all documents share costs one entry a group.
+Between the passes only hashes travel, packed by hash range; a group sends a hash once however often
+it has it, so a passage that all documents share costs one entry a group. Hashes are counted in two
+steps, and the answer goes back the same way: groups form bundles, a bundle counts a hash over its
+groups in a wide range, and the bundles' counts meet in narrow ranges. The number of bundles grows
+with the root of the corpus, so no task holds an entry of every group, whatever the passage.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -93,35 +98,55 @@ class _Words:
         return at[fits & np.isin((at - self.doc_start) % PERIOD, COVER)]
 
 
-def _packed(group: int, h1: np.ndarray, h2: np.ndarray, ranges: int) -> pa.Table:
-    """One row per hash range: every hash once, its lowest bit set where the group has it twice."""
+def _distinct(h1: np.ndarray, h2: np.ndarray, twice: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Every hash once, in order, its lowest bit set where it comes twice or is marked so already."""
     order = np.lexsort((h2, h1))
     h1, h2 = h1[order], h2[order]
     new = np.ones(len(h1), bool)
     new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
     firsts = np.flatnonzero(new)
-    twice = np.diff(np.append(firsts, len(h1))) > 1
-    h1, h2 = h1[firsts], h2[firsts]
-    h1 = (h1 & ~_U(1)) | twice.astype(_U)
+    many = np.diff(np.append(firsts, len(h1))) > 1
+    if twice is not None and len(firsts):
+        many |= np.logical_or.reduceat(twice[order], firsts)
+    return (h1[firsts] & ~_U(1)) | many.astype(_U), h2[firsts]
+
+
+def _packed(h1: np.ndarray, h2: np.ndarray, ranges: int, **same: int) -> pa.Table:
+    """Ordered hashes as one row per hash range (`part`), with some values that all rows have."""
     part = ((h1 >> _U(32)) * _U(ranges)) >> _U(32)
-    cuts = np.searchsorted(part, np.arange(ranges + 1))
-    full = np.flatnonzero(np.diff(cuts))
+    full, starts = np.unique(part, return_index=True)
+    cuts = np.append(starts, len(h1)).tolist()
+    pack = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())
     return pa.table({
-        "part": pa.array(full, pa.int64()), "grp": pa.array(np.full(len(full), group), pa.int64()),
-        "h1": pa.array([h1[cuts[p]:cuts[p + 1]].tobytes() for p in full], pa.binary()),
-        "h2": pa.array([h2[cuts[p]:cuts[p + 1]].tobytes() for p in full], pa.binary()),
+        "part": pa.array(full.astype(np.int64)),
+        **{name: pa.array(np.full(len(full), value, np.int64)) for name, value in same.items()},
+        "h1": pack(h1), "h2": pack(h2),
     })
 
 
 def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sizes = [len(x) // 8 for x in table["h1"].to_pylist()]
-    h1 = np.frombuffer(b"".join(table["h1"].to_pylist()), _U)
-    h2 = np.frombuffer(b"".join(table["h2"].to_pylist()), np.uint32)
-    return h1, h2, np.repeat(np.arange(len(sizes)), sizes)
+    first, second = table["h1"].to_pylist(), table["h2"].to_pylist()
+    row = np.repeat(np.arange(len(first)), [len(x) // 8 for x in first])
+    return np.frombuffer(b"".join(first), _U), np.frombuffer(b"".join(second), np.uint32), row
+
+
+def _rows_of(table: pa.Table, columns: tuple[str, ...], h1: np.ndarray, h2: np.ndarray, row: np.ndarray) -> pa.Table:
+    """Hashes packed by the row of the table they came with (`row` ascends), and some of its columns."""
+    cuts = np.searchsorted(row, np.arange(table.num_rows + 1))
+    full = np.flatnonzero(np.diff(cuts))
+    pack = lambda x: pa.array([x[cuts[i]:cuts[i + 1]].tobytes() for i in full], pa.binary())
+    return pa.table({**{c: table[c].take(pa.array(full)) for c in columns}, "h1": pack(h1), "h2": pack(h2)})
+
+
+def _bundled(table: pa.Table, ranges: int) -> pa.Table:
+    """Of one wide range and bundle: every hash once, by narrow ranges."""
+    h1, h2, _ = _unpacked(table)
+    h1, h2 = _distinct(h1 & ~_U(1), h2, (h1 & _U(1)).astype(bool))
+    return _packed(h1, h2, ranges, wide=table["part"][0].as_py(), bundle=table["bundle"][0].as_py())
 
 
 def _repeated(table: pa.Table) -> pa.Table:
-    """Of one hash range: to every group, those of its hashes that some other place has too."""
+    """Of one narrow range: to every bundle, those of its hashes that have more than one place."""
     h1, h2, row = _unpacked(table)
     twice, h1 = (h1 & _U(1)).astype(bool), h1 & ~_U(1)
     order = np.lexsort((h2, h1))
@@ -132,14 +157,14 @@ def _repeated(table: pa.Table) -> pa.Table:
     many = (np.diff(np.append(firsts, len(h1))) > 1) | np.logical_or.reduceat(twice, firsts)
     keep = many[np.cumsum(new) - 1]
     back = np.argsort(row[keep], kind="stable")
-    h1, h2, row = h1[keep][back], h2[keep][back], row[keep][back]
-    cuts = np.searchsorted(row, np.arange(table.num_rows + 1))
-    full = np.flatnonzero(np.diff(cuts))
-    return pa.table({
-        "grp": table["grp"].take(pa.array(full)),
-        "h1": pa.array([h1[cuts[i]:cuts[i + 1]].tobytes() for i in full], pa.binary()),
-        "h2": pa.array([h2[cuts[i]:cuts[i + 1]].tobytes() for i in full], pa.binary()),
-    })
+    return _rows_of(table, ("wide", "bundle"), h1[keep][back], h2[keep][back], row[keep][back])
+
+
+def _handed(sent: pa.Table, marks: pa.Table) -> pa.Table:
+    """Of one wide range and bundle: to every group, those of its hashes that its bundle got back."""
+    h1, h2, row = _unpacked(sent)
+    hit = _found(h1, h2, marks)
+    return _rows_of(sent, ("grp",), h1[hit] & ~_U(1), h2[hit], row[hit])
 
 
 def _found(h1: np.ndarray, h2: np.ndarray, table: pa.Table) -> np.ndarray:
@@ -200,24 +225,36 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     anchor = window - PERIOD + 1
     size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     groups = parts_for(size, group_bytes)
-    ranges = parts_for(size, 6 * group_bytes)
+    narrow = parts_for(size, 6 * group_bytes)
+    bundles = math.isqrt(narrow - 1) + 1
+    wide = parts_for(narrow, bundles)
     rows = docs.select(
         F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(groups)).alias("grp"),
         F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
 
+    def sent(table: pa.Table, h1: np.ndarray, h2: np.ndarray) -> pa.Table:
+        group = table["grp"][0].as_py() if table.num_rows else 0
+        return _packed(*_distinct(h1, h2), wide, bundle=group % bundles, grp=group)
+
     def anchors_of(table: pa.Table) -> pa.Table:
         words = _Words(table["text"])
         h = words.windows(words.anchors(anchor), anchor, 0)
-        return _packed(table["grp"][0].as_py(), h, _no_more(h), ranges)
+        return sent(table, h, _no_more(h))
+
+    def bundled(table: pa.Table) -> pa.Table:
+        return _bundled(table, wide * bundles)
 
     def repeated(table: pa.Table) -> pa.Table:
         return _repeated(table)
 
+    def handed(table: pa.Table, marks: pa.Table) -> pa.Table:
+        return _handed(table, marks)
+
     def windows_of(table: pa.Table, marks: pa.Table) -> pa.Table:
         if not table.num_rows or not marks.num_rows:
             none = np.zeros(0, _U)
-            return _packed(0, none, _no_more(none), ranges)
+            return sent(table, none, _no_more(none))
         words = _Words(table["text"])
         at = words.anchors(anchor)
         h = words.windows(at, anchor, 0)
@@ -225,8 +262,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         n = len(words.hashes)
         begins = np.maximum(at - (PERIOD - 1), words.doc_start[at])
         near = np.flatnonzero(_covered(n, begins, at + 1) & (np.arange(n) + window <= words.doc_end))
-        return _packed(table["grp"][0].as_py(), words.windows(near, window, 0),
-                       words.windows(near, window, 1).astype(np.uint32), ranges)
+        return sent(table, words.windows(near, window, 0), words.windows(near, window, 1).astype(np.uint32))
 
     def kept_of(table: pa.Table, marks: pa.Table) -> pa.Table:
         words = _Words(table["text"])
@@ -242,12 +278,20 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             "n_removed": pa.array(np.diff(lost), pa.int64()), "kept": _kept_texts(words, gone),
         })
 
-    packed, marks = "part long, grp long, h1 binary, h2 binary", "grp long, h1 binary, h2 binary"
+    hashes = "h1 binary, h2 binary"
     by_group = rows.groupBy("grp")
-    anchor_marks = by_group.applyInArrow(anchors_of, packed).groupBy("part").applyInArrow(repeated, marks)
-    window_marks = (
-        by_group.cogroup(anchor_marks.groupBy("grp")).applyInArrow(windows_of, packed)
-        .groupBy("part").applyInArrow(repeated, marks)
-    )
+
+    def marked(packed: DataFrame) -> DataFrame:
+        """To every group, those of its hashes that some other place has too."""
+        by_bundle = packed.groupBy("part", "bundle")
+        marks = (
+            by_bundle.applyInArrow(bundled, f"part long, wide long, bundle long, {hashes}")
+            .groupBy("part").applyInArrow(repeated, f"wide long, bundle long, {hashes}")
+        )
+        return by_bundle.cogroup(marks.groupBy("wide", "bundle")).applyInArrow(handed, f"grp long, {hashes}")
+
+    of_group = f"part long, bundle long, grp long, {hashes}"
+    anchor_marks = marked(by_group.applyInArrow(anchors_of, of_group))
+    window_marks = marked(by_group.cogroup(anchor_marks.groupBy("grp")).applyInArrow(windows_of, of_group))
     return by_group.cogroup(window_marks.groupBy("grp")).applyInArrow(
         kept_of, f"id {id_type}, n_words long, n_removed long, kept string")
