@@ -8,9 +8,10 @@ repeat are extended to the windows that hold them, and windows that repeat are r
 The texts are shuffled once, into groups of documents, and all three passes work on the groups.
 Between the passes only hashes travel, packed by hash range; a group sends a hash once however often
 it has it, so a passage that all documents share costs one entry a group. Hashes are counted in two
-steps, and the answer goes back the same way: groups form bundles, a bundle counts a hash over its
-groups in a wide range, and the bundles' counts meet in narrow ranges. The number of bundles grows
-with the root of the corpus, so no task holds an entry of every group, whatever the passage.
+steps: groups form bundles, a bundle counts a hash over its groups in a wide range, and the bundles'
+counts meet in narrow ranges. The number of bundles grows with the root of the corpus, so no task
+holds an entry of every group, whatever the passage. The answer goes back the same way, one bit for
+each hash in the order in which it was sent; who asked forms the same ordered list again.
 """
 
 from __future__ import annotations
@@ -98,17 +99,21 @@ class _Words:
         return at[fits & np.isin((at - self.doc_start) % PERIOD, COVER)]
 
 
-def _distinct(h1: np.ndarray, h2: np.ndarray, twice: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Every hash once, in order, its lowest bit set where it comes twice or is marked so already."""
+def _distinct(h1: np.ndarray, h2: np.ndarray, twice: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Every hash once, in order, its lowest bit set where it comes twice or is marked so already; and
+    the place in that list of each hash given."""
+    h1 = h1 & ~_U(1)
     order = np.lexsort((h2, h1))
-    h1, h2 = h1[order], h2[order]
-    new = np.ones(len(h1), bool)
-    new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    s1, s2 = h1[order], h2[order]
+    new = np.ones(len(s1), bool)
+    new[1:] = (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])
     firsts = np.flatnonzero(new)
-    many = np.diff(np.append(firsts, len(h1))) > 1
+    many = np.diff(np.append(firsts, len(s1))) > 1
     if twice is not None and len(firsts):
         many |= np.logical_or.reduceat(twice[order], firsts)
-    return (h1[firsts] & ~_U(1)) | many.astype(_U), h2[firsts]
+    place = np.empty(len(s1), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return s1[firsts] | many.astype(_U), s2[firsts], place
 
 
 def _packed(h1: np.ndarray, h2: np.ndarray, ranges: int, **same: int) -> pa.Table:
@@ -124,68 +129,47 @@ def _packed(h1: np.ndarray, h2: np.ndarray, ranges: int, **same: int) -> pa.Tabl
     })
 
 
-def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All hashes of some rows as a distinct list, the place of each in it, and where the rows begin."""
     first, second = table["h1"].to_pylist(), table["h2"].to_pylist()
-    row = np.repeat(np.arange(len(first)), [len(x) // 8 for x in first])
-    return np.frombuffer(b"".join(first), _U), np.frombuffer(b"".join(second), np.uint32), row
+    h1, h2 = np.frombuffer(b"".join(first), _U), np.frombuffer(b"".join(second), np.uint32)
+    return *_distinct(h1, h2, (h1 & _U(1)).astype(bool)), np.cumsum([0] + [len(x) // 8 for x in first])
 
 
-def _rows_of(table: pa.Table, columns: tuple[str, ...], h1: np.ndarray, h2: np.ndarray, row: np.ndarray) -> pa.Table:
-    """Hashes packed by the row of the table they came with (`row` ascends), and some of its columns."""
-    cuts = np.searchsorted(row, np.arange(table.num_rows + 1))
-    full = np.flatnonzero(np.diff(cuts))
-    pack = lambda x: pa.array([x[cuts[i]:cuts[i + 1]].tobytes() for i in full], pa.binary())
-    return pa.table({**{c: table[c].take(pa.array(full)) for c in columns}, "h1": pack(h1), "h2": pack(h2)})
+def _answers(table: pa.Table, columns: tuple[str, ...], bits: np.ndarray, bounds: np.ndarray) -> pa.Table:
+    """For every row of the table one bit per hash, beside some of its columns."""
+    return pa.table({
+        **{c: table[c] for c in columns}, "n": pa.array(np.diff(bounds), pa.int64()),
+        "bits": pa.array([np.packbits(bits[i:j]).tobytes() for i, j in zip(bounds[:-1], bounds[1:])], pa.binary()),
+    })
+
+
+def _bits(marks: pa.Table, n: int) -> np.ndarray:
+    """The answers to an ordered list of n hashes, from its rows in any order."""
+    rows = sorted(zip(*(marks[c].to_pylist() for c in ("part", "n", "bits"))))
+    found = [np.unpackbits(np.frombuffer(bits, np.uint8), count=count) for _, count, bits in rows]
+    bits = np.concatenate(found or [np.zeros(0, np.uint8)]).astype(bool)
+    if len(bits) != n:
+        raise ValueError(f"{len(bits)} answers to {n} hashes")
+    return bits
 
 
 def _bundled(table: pa.Table, ranges: int) -> pa.Table:
     """Of one wide range and bundle: every hash once, by narrow ranges."""
-    h1, h2, _ = _unpacked(table)
-    h1, h2 = _distinct(h1 & ~_U(1), h2, (h1 & _U(1)).astype(bool))
+    h1, h2, _, _ = _unpacked(table)
     return _packed(h1, h2, ranges, wide=table["part"][0].as_py(), bundle=table["bundle"][0].as_py())
 
 
 def _repeated(table: pa.Table) -> pa.Table:
-    """Of one narrow range: to every bundle, those of its hashes that have more than one place."""
-    h1, h2, row = _unpacked(table)
-    twice, h1 = (h1 & _U(1)).astype(bool), h1 & ~_U(1)
-    order = np.lexsort((h2, h1))
-    h1, h2, row, twice = h1[order], h2[order], row[order], twice[order]
-    new = np.ones(len(h1), bool)
-    new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-    firsts = np.flatnonzero(new)
-    many = (np.diff(np.append(firsts, len(h1))) > 1) | np.logical_or.reduceat(twice, firsts)
-    keep = many[np.cumsum(new) - 1]
-    back = np.argsort(row[keep], kind="stable")
-    return _rows_of(table, ("wide", "bundle"), h1[keep][back], h2[keep][back], row[keep][back])
+    """Of one narrow range: to every bundle, which of its hashes have more than one place."""
+    h1, _, place, bounds = _unpacked(table)
+    return _answers(table, ("wide", "bundle", "part"), (h1 & _U(1)).astype(bool)[place], bounds)
 
 
 def _handed(sent: pa.Table, marks: pa.Table) -> pa.Table:
-    """Of one wide range and bundle: to every group, those of its hashes that its bundle got back."""
-    h1, h2, row = _unpacked(sent)
-    hit = _found(h1, h2, marks)
-    return _rows_of(sent, ("grp",), h1[hit] & ~_U(1), h2[hit], row[hit])
-
-
-def _found(h1: np.ndarray, h2: np.ndarray, table: pa.Table) -> np.ndarray:
-    """Which of the hashes are among those sent back."""
-    s1, s2, _ = _unpacked(table)
-    if not len(s1):
-        return np.zeros(len(h1), bool)
-    order = np.lexsort((s2, s1))
-    s1, s2, h1 = s1[order], s2[order], h1 & ~_U(1)
-    at = np.searchsorted(s1, h1)
-    hit = np.zeros(len(h1), bool)
-    left = np.flatnonzero(at < len(s1))
-    while len(left):
-        same = s1[at[left]] == h1[left]
-        left = left[same]
-        equal = s2[at[left]] == h2[left]
-        hit[left[equal]] = True
-        left = left[~equal]
-        at[left] += 1
-        left = left[at[left] < len(s1)]
-    return hit
+    """Of one wide range and bundle: to every group, which of its hashes have more than one place."""
+    h1, _, place, bounds = _unpacked(sent)
+    return _answers(sent, ("grp", "part", "note"), _bits(marks, len(h1))[place], bounds)
 
 
 def _covered(n: int, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -233,14 +217,27 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
 
-    def sent(table: pa.Table, h1: np.ndarray, h2: np.ndarray) -> pa.Table:
+    def asked(table: pa.Table, h1: np.ndarray, h2: np.ndarray, note: bytes = b"") -> pa.Table:
+        """The hashes of a group; the note comes back with the answer, on one of its rows."""
         group = table["grp"][0].as_py() if table.num_rows else 0
-        return _packed(*_distinct(h1, h2), wide, bundle=group % bundles, grp=group)
+        packed = _packed(h1, h2, wide, bundle=group % bundles, grp=group)
+        return packed.append_column("note", pa.array([note, *[b""] * packed.num_rows][:packed.num_rows], pa.binary()))
+
+    def anchors_in(words: _Words) -> tuple[np.ndarray, ...]:
+        at = words.anchors(anchor)
+        h = words.windows(at, anchor, 0)
+        return at, *_distinct(h, _no_more(h))
+
+    def windows_near(words: _Words, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The windows that hold one of the anchors at some positions."""
+        n = len(words.hashes)
+        begins = np.maximum(at - (PERIOD - 1), words.doc_start[at])
+        near = np.flatnonzero(_covered(n, begins, at + 1) & (np.arange(n) + window <= words.doc_end))
+        return near, *_distinct(words.windows(near, window, 0), words.windows(near, window, 1).astype(np.uint32))
 
     def anchors_of(table: pa.Table) -> pa.Table:
-        words = _Words(table["text"])
-        h = words.windows(words.anchors(anchor), anchor, 0)
-        return sent(table, h, _no_more(h))
+        _, h1, h2, _ = anchors_in(_Words(table["text"]))
+        return asked(table, h1, h2)
 
     def bundled(table: pa.Table) -> pa.Table:
         return _bundled(table, wide * bundles)
@@ -252,45 +249,42 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return _handed(table, marks)
 
     def windows_of(table: pa.Table, marks: pa.Table) -> pa.Table:
-        if not table.num_rows or not marks.num_rows:
-            none = np.zeros(0, _U)
-            return sent(table, none, _no_more(none))
         words = _Words(table["text"])
-        at = words.anchors(anchor)
-        h = words.windows(at, anchor, 0)
-        at = at[_found(h, _no_more(h), marks)]
-        n = len(words.hashes)
-        begins = np.maximum(at - (PERIOD - 1), words.doc_start[at])
-        near = np.flatnonzero(_covered(n, begins, at + 1) & (np.arange(n) + window <= words.doc_end))
-        return sent(table, words.windows(near, window, 0), words.windows(near, window, 1).astype(np.uint32))
+        at, h1, _, place = anchors_in(words)
+        bits = _bits(marks, len(h1))
+        _, h1, h2, _ = windows_near(words, at[bits[place]])
+        return asked(table, h1, h2, np.packbits(bits).tobytes())
 
     def kept_of(table: pa.Table, marks: pa.Table) -> pa.Table:
         words = _Words(table["text"])
-        n = len(words.hashes)
-        gone = np.zeros(n, bool)
-        if marks.num_rows:
-            at = np.flatnonzero(np.arange(n) + window <= words.doc_end)
-            at = at[_found(words.windows(at, window, 0), words.windows(at, window, 1).astype(np.uint32), marks)]
-            gone = _covered(n, at, at + window)
+        gone = np.zeros(len(words.hashes), bool)
+        if marks.num_rows:      # none: the group has no window that could repeat
+            at, h1, _, place = anchors_in(words)
+            note = np.frombuffer(max(marks["note"].to_pylist()), np.uint8)
+            bits = np.unpackbits(note, count=len(h1)).astype(bool)
+            at, h1, _, place = windows_near(words, at[bits[place]])
+            at = at[_bits(marks, len(h1))[place]]
+            gone = _covered(len(gone), at, at + window)
         lost = np.concatenate(([0], np.cumsum(gone)))[words.first]
         return pa.table({
             "id": table["id"], "n_words": pa.array(words.counts, pa.int64()),
             "n_removed": pa.array(np.diff(lost), pa.int64()), "kept": _kept_texts(words, gone),
         })
 
-    hashes = "h1 binary, h2 binary"
+    hashes, answers = "h1 binary, h2 binary", "n long, bits binary"
     by_group = rows.groupBy("grp")
 
     def marked(packed: DataFrame) -> DataFrame:
-        """To every group, those of its hashes that some other place has too."""
+        """To every group, which of its hashes some other place has too."""
         by_bundle = packed.groupBy("part", "bundle")
         marks = (
             by_bundle.applyInArrow(bundled, f"part long, wide long, bundle long, {hashes}")
-            .groupBy("part").applyInArrow(repeated, f"wide long, bundle long, {hashes}")
+            .groupBy("part").applyInArrow(repeated, f"wide long, bundle long, part long, {answers}")
         )
-        return by_bundle.cogroup(marks.groupBy("wide", "bundle")).applyInArrow(handed, f"grp long, {hashes}")
+        return by_bundle.cogroup(marks.groupBy("wide", "bundle")).applyInArrow(
+            handed, f"grp long, part long, note binary, {answers}")
 
-    of_group = f"part long, bundle long, grp long, {hashes}"
+    of_group = f"part long, bundle long, grp long, {hashes}, note binary"
     anchor_marks = marked(by_group.applyInArrow(anchors_of, of_group))
     window_marks = marked(by_group.cogroup(anchor_marks.groupBy("grp")).applyInArrow(windows_of, of_group))
     return by_group.cogroup(window_marks.groupBy("grp")).applyInArrow(
