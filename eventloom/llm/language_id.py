@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 from eventloom.llm import gru
 from eventloom.llm.common import slices, uniform, utf8
@@ -119,7 +120,11 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", row:
     text = F.col(text_col)
     given = docs.select(
         F.struct("*").alias("row"), F.when(text.rlike(r"\p{L}"), text).alias("text"))
-    kind = given.schema["row"].dataType.simpleString()
+    # A typed schema, not text: column names of the table may hold any character.
+    schema = (
+        StructType().add("row", given.schema["row"].dataType)
+        .add("lang_pred", StringType()).add("score", DoubleType())
+    )
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
@@ -135,4 +140,4 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", row:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(langs, pa.string()), pa.array(score)], ["row", "lang_pred", "score"])
 
-    return given.mapInArrow(label, f"row {kind}, lang_pred string, score double").withColumnRenamed("row", row)
+    return given.mapInArrow(label, schema).withColumnRenamed("row", row)

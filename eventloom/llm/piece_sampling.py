@@ -26,6 +26,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from eventloom.llm.common import slices
 
@@ -535,5 +536,4 @@ def decode(encoded: DataFrame, model_file: str, ids_col: str = "ids", text_col:
             texts = [None if g else t for t, g in zip(decode_ids(vocabulary, ids, bounds), gone)]
             yield pa.RecordBatch.from_arrays([*whole.columns, pa.array(texts, pa.string())], names)
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema]
-    return encoded.mapInArrow(spelled, ", ".join([*fields, f"`{text_col}` string"]))
+    return encoded.mapInArrow(spelled, StructType(encoded.schema.fields[:]).add(text_col, StringType()))

@@ -67,6 +67,14 @@ def test_languages_edges(spark, docs, language_model):
     assert predict(docs.where("false"), fit(docs.where("false"))).collect() == []
 
 
+def test_column_names_of_any_kind(spark, docs, language_model):
+    odd = docs.withColumns({"a b:c,<d>": F.lit(1), "e-f": F.struct(F.lit(2).alias("g h>"))})
+    got = predict(odd, language_model)
+    assert got.schema["row"].dataType.fieldNames() == odd.columns and len(got.collect()) == len(edge_texts())
+    read = decode(odd.select("a b:c,<d>", "e-f", F.array(F.lit(5)).alias("ids")).limit(3), PIECE_MODEL)
+    assert read.columns == ["a b:c,<d>", "e-f", "ids", "decoded"] and len(read.collect()) == 3
+
+
 def test_prediction_sees_the_text_only(docs, language_model):
     other = docs.withColumns({"lang": F.lit("xx"), "source": F.lit("yy"), "doc_id": F.lit(0).cast("long")})
     key = lambda df: sorted((str(r.row.text), r.lang_pred, r.score) for r in predict(df, language_model).collect())
