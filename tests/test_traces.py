@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom.functions import predicates as p
-from eventloom.functions.quantiles import approx_quantile, exact_quantile
+from eventloom.functions.quantiles import _fine_slice_of, _slice_of, approx_quantile, exact_quantile
 from eventloom.operators import panels, traces
 from eventloom.schemas import SPAN
 
@@ -34,6 +34,21 @@ def test_exact_quantile(spark, q):
         assert got[k] == pytest.approx(want, rel=1e-9), k
 
 
+def test_exact_quantile_of_many_values_in_one_group(spark):
+    n = 300_000
+    values = [(1 << 39) + i * 1_000_003 if i % 3 else i * 7 for i in range(n)]
+    df = spark.range(n).select(
+        F.lit("hot").alias("k"),
+        F.when(F.col("id") % 3 != 0, F.lit(1 << 39) + F.col("id") * 1_000_003).otherwise(F.col("id") * 7).alias("v"))
+    for q in (0.0, 1 / 3, 0.5, 0.99, 1.0):
+        got = exact_quantile(df, ["k"], "v", q, "x").first().x
+        assert got == pytest.approx(np.quantile(np.array(values, dtype=float), q), rel=1e-12)
+    # Near 2^40 a slice that is looked at value by value spans 2^17 values.
+    spans = spark.range(1 << 18).select((F.col("id") + (1 << 39)).alias("v")).select(
+        _slice_of(F.col("v")).alias("s"), _fine_slice_of(F.col("v")).alias("f"))
+    assert spans.groupBy("s", "f").count().agg(F.max("count")).first()[0] <= 1 << 17
+
+
 def test_sketch_is_an_element_near_the_rank(spark):
     df = spark.range(20_000).withColumn("k", F.lit("a"))
     got = approx_quantile(df, ["k"], "id", 0.99, "x").first().x
