@@ -301,10 +301,8 @@ TRACES: dict[str, Query] = {
 
 
 def _job(spark: SparkSession) -> JobConfig:
-    """Local sessions keep as many state partitions as they have threads, and few files."""
-    if not spark.sparkContext.master.startswith("local"):
-        return JobConfig()
-    return JobConfig(state_partitions=spark.sparkContext.defaultParallelism, files_per_day=1)
+    """As many state partitions as the session has task slots; files as a run's size asks for."""
+    return JobConfig(state_partitions=spark.sparkContext.defaultParallelism)
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
