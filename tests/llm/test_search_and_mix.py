@@ -1,11 +1,12 @@
 """Top-k search and mixing against brute force and their invariants."""
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from llm_cases import SCHEMA, edge_texts, rows, words
 
+import corpus_pipeline
 from eventloom.llm.common import ship
 from eventloom.llm.mixing import mix_sources, pivotal_rounding
 from eventloom.llm.topk_search import build_tree, search_tree, top_k
@@ -99,6 +100,14 @@ def test_mixing(spark, docs):
     assert mix_sources(docs.where("false")).collect() == []
 
 
+def test_stage_takes_rows_of_repeated_and_null_ids_by_their_own_draw(spark):
+    texts = [(None if i % 2 else i % 5, " ".join(["w"] * (1 + i)), "ab"[i % 3 > 0]) for i in range(120)]
+    table = spark.createDataFrame(rows(texts), SCHEMA)
+    drawn = {(r.id, r.source, r.size): r.copies for r in mix_sources(table).collect()}
+    got = Counter((r.doc_id, r.source, len(words(r.text))) for r in corpus_pipeline.mix(spark, table, "").collect())
+    assert len(drawn) == len(texts) and got == Counter({k: n for k, n in drawn.items() if n})
+
+
 def test_rounding_keeps_mass_and_odds(spark):
     rng = np.random.default_rng(4)
     items = [("s", str(i), float(m), 0.3) for i, m in enumerate(rng.integers(1, 50, 700))]
