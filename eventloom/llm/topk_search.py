@@ -62,9 +62,10 @@ def build_tree(ids: np.ndarray, points: np.ndarray, leaf: int) -> dict[str, np.n
         low, high = rows.min(axis=0), rows.max(axis=0)
         child = -1
         if end - start > leaf:
-            wide = int(np.argmax(high - low))
+            # Empty vectors have no widest dimension; like other equal points they are split as they lie.
+            wide = int(np.argmax(high - low)) if points.shape[1] else None
             middle = (end - start) // 2
-            if high[wide] > low[wide]:
+            if wide is not None and high[wide] > low[wide]:
                 order[start:end] = order[start:end][np.argpartition(rows[:, wide], middle)]
             child = len(todo)
             todo += [(start, start + middle), (start + middle, end)]

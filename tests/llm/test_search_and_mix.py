@@ -44,6 +44,13 @@ def test_top_k_edges(spark):
     assert top_k(df.where("vec_id in (100, 101, 102)")).count() == 2      # fewer than k
 
 
+def test_more_empty_vectors_than_a_leaf_holds(spark):
+    ship(spark)
+    vectors = [(i, [] if i % 3 else [float(i % 7), 1.0]) for i in range(900)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in top_k(df).collect()) == brute(vectors, 10)      # 600 empty ones, leaf 256
+
+
 def test_search_looks_into_few_leaves():
     """Where near vectors share a leaf, bounds leave most of the tree alone."""
     rng = np.random.default_rng(2)
