@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,19 +10,26 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.common import ship
 from eventloom.llm.exact_dedup import exact_dedup
+from eventloom.llm.hard_negatives import hard_negatives
 from eventloom.llm.html_extract import extract_main_text
 from eventloom.llm.language_id import fit, learnable, predict
 from eventloom.llm.line_dedup import line_dedup
 from eventloom.llm.mixing import mix_sources
+from eventloom.llm.packing import concatenate, pieces
 from eventloom.llm.piece_sampling import encode
 from eventloom.llm.simhash import near_duplicates
 from eventloom.llm.substring_dedup import substring_dedup
+from eventloom.llm.token_alignment import align
 from eventloom.llm.topk_search import top_k
 from eventloom.llm.warc import read_records, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Where the vocabulary files of public tokenizers lie.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
+BYTE_TOKENIZER = f"{TOKENIZERS}/byte_bpe_50k.json"
+WORD_TOKENIZER = f"{TOKENIZERS}/word_bpe_49k.json"
 SAMPLES = 2
 
 
@@ -86,8 +94,23 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align(_table(spark, sf_dir, "documents"), BYTE_TOKENIZER, PIECE_MODEL)
+    return found.documents.withColumnsRenamed({"id": "doc_id", "groups": "groups_sha256"})
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream = concatenate(_table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+    return pieces(stream, with_ids=False).withColumnRenamed("id", "doc_id")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
 LLM_QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_topk_search, op2_line_dedup, op3_substring_dedup, op4_language_id, op5_exact_dedup, op6_warc,
-        op7_simhash, op8_mixing, op9_sentencepiece, op10_html_extraction)
+        op7_simhash, op8_mixing, op9_sentencepiece, op10_html_extraction,
+        op11_token_alignment, op12_packing, op13_hard_negatives)
 }

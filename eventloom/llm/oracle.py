@@ -79,7 +79,30 @@ SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, {_BASE32} AS p
 FROM (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first FROM hashed)
 """
 
+HARD_NEGATIVES = """
+WITH parts AS (
+  SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+         row_number() OVER () AS r, unnest(embedding) AS x, unnest(range(len(embedding))) AS i, len(embedding) AS dim
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), whole AS (SELECT vec_id, label, r, i, dim, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM parts),
+scored AS (
+  SELECT a.r, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(sum(a.x * c.x) AS BIGINT) AS score
+  FROM whole a JOIN whole c ON a.i = c.i AND a.dim = c.dim AND a.vec_id <> c.vec_id
+  WHERE a.vec_id % 50 = 0 GROUP BY a.r, a.vec_id, c.r, c.vec_id, a.label, c.label
+), positives AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS nth FROM scored WHERE same)
+  WHERE nth <= 5
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.r, p.nth ORDER BY n.score DESC, n.vec_id) AS rank
+  FROM positives p JOIN scored n ON p.r = n.r AND NOT n.same AND 100 * n.score BETWEEN 50 * p.score AND 95 * p.score
+) WHERE rank <= 3
+"""
+
 LLM_ORACLE: dict[str, str] = {
     "op1_topk_search": TOP_K, "op2_line_dedup": LINE_DEDUP, "op3_substring_dedup": SUBSTRING_DEDUP,
     "op5_exact_dedup": EXACT_DEDUP, "op6_warc": WARC,
+    "op13_hard_negatives": HARD_NEGATIVES,
 }
