@@ -9,26 +9,50 @@ the end of the stream is cut into powers of two, so that nothing is padded.
 from __future__ import annotations
 
 import os
+import string
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import slices, stored
+from eventloom.llm.common import slices, stored, utf8
 
 #: Words that a worker keeps with their ids, and ids it keeps; beyond, it begins anew.
-_MOST_WORDS, _MOST_IDS = 200_000, 2_000_000
+_MOST_WORDS, _MOST_IDS = 400_000, 4_000_000
 #: Characters of a text that are cut into words at once.
 _PIECE = 1 << 20
 #: Partitions whose totals are summed up together.
 _BUNDLE = 1024
 
 
+#: White space is all alike to the tokenizer, and a run of letters ends before a mark: such marks are
+#: words of their own here, so that fewer different words are met.
+_MARK = r"([A-Za-z])([.,;:!?])"
+
+
+def _lower(text: pa.Array) -> pa.Array:
+    """ASCII letters lower-cased where this cannot change ids: not beside special tokens, or before
+    accents that only a small letter melts with."""
+    kept = pc.match_substring_regex(text, f"<\\||[{''.join(_SMALL_ONLY)}]")
+    return pc.if_else(kept, text, pc.ascii_lower(text))
+
+
+_SMALL_ONLY = [m for m in map(chr, range(0x300, 0x370)) if any(
+    len(unicodedata.normalize("NFC", c.lower() + m)) < len(unicodedata.normalize("NFC", c + m)) for c in string.ascii_uppercase)]
+
+
+def _letters(word: str) -> bool:
+    """Whether the tokenizer sees one run of letters in a word."""
+    return word.isalpha() and (word.isascii() or ("İ" not in word and unicodedata.is_normalized("NFC", word)))
+
+
 class WordIds:
     """Ids of texts, word by word: no token reaches over a space, so that words are encoded on their own."""
 
@@ -37,69 +61,76 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.closes[i] = bool(suffix) and token.endswith(suffix)
         self._clear()
 
     def _clear(self) -> None:
         self.place: dict[str, int] = {}
         self.ids, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         first = len(self.place)
         self.place.update(zip(words, range(first, first + len(words))))
-        flat = np.fromiter((i for ids in found for i in ids), np.int32)
-        self.ids = np.concatenate((self.ids, flat))
-        self.bounds = np.concatenate((self.bounds, self.bounds[-1] + np.cumsum([len(ids) for ids in found])))
-
-    def _encoded(self, words: list[str]) -> np.ndarray:
-        """Ids of the words, and how many each has."""
+        self.ids = np.concatenate((self.ids, ids))
+        self.bounds = np.concatenate((self.bounds, self.bounds[-1] + np.cumsum(sizes)))
+
+    def _learn(self, new: list[str]) -> None:
+        """Runs of letters are encoded one behind the other and told apart by their closing tokens."""
+        runs = [w for w in new if _letters(w)]
+        texts = [" ".join(runs[i:i + 128]) for i in range(0, len(runs), 128)]
+        ids = np.array([i for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], np.int32)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) == len(runs):
+            self._add(runs, ids, np.diff(ends, prepend=0))
+        others = new if len(ends) != len(runs) else [w for w in new if not _letters(w)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+        self._add(others, np.array([i for own in found for i in own], np.int32), np.array([len(own) for own in found], np.int64))
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of different words begin, and how many each has."""
         if len(self.place) > _MOST_WORDS or len(self.ids) > _MOST_IDS:
             self._clear()
-        new = list(dict.fromkeys(w for w in words if w not in self.place))
+        new = [w for w in words if w not in self.place]
         if new:
             self._learn(new)
         at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        sizes = self.bounds[at + 1] - self.bounds[at]
+        return self.bounds[at], self.bounds[at + 1] - self.bounds[at]
+
+    def _of_some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        plain = pc.replace_substring(_lower(texts), "\n", " ")
+        words = pc.split_pattern(pc.replace_substring_regex(plain, _MARK, r"\1 \2"), " ")
+        known = words.flatten().dictionary_encode()
+        start, size = self._encoded(known.dictionary.to_pylist())
+        which = known.indices.to_numpy()
+        sizes = size[which]
         ends = np.cumsum(sizes)
-        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.bounds[at] - (ends - sizes), sizes)
-        return self.ids[places], sizes
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[np.arange(total) + np.repeat(start[which] - (ends - sizes), sizes)]
+        before = np.concatenate(([0], ends))[words.offsets.to_numpy()]
+        return ids, np.diff(before)
 
-    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one run, and how many each text has."""
-        found, counts = [], np.zeros(len(texts), np.int64)
-        words, owners = [], []
-
-        def settle() -> None:
-            ids, sizes = self._encoded(words)
-            found.append(ids)
-            np.add.at(counts, np.repeat([i for i, _ in owners], [n for _, n in owners]), sizes)
-            words.clear()
-            owners.clear()
-
-        held = 0
-        for i, text in enumerate(texts):
-            at = 0
-            while at < len(text):
-                # A long text is cut at a space into pieces.
-                cut = text.find(" ", at + _PIECE) if len(text) - at > _PIECE else -1
-                piece = text[at:cut if cut >= 0 else len(text)]
-                own = piece.replace("\n", " ").split(" ")       # all white space is one space to this tokenizer
-                words += own
-                owners.append((i, len(own)))
-                at, held = at + len(piece), held + len(piece)
-                if held > _PIECE:
-                    settle()
-                    held = 0
-        if words:
-            settle()
-        return np.concatenate(found) if found else np.zeros(0, np.int32), counts
+        _, bounds = utf8(texts)
+        if len(texts) != 1 or bounds[-1] <= 2 * _PIECE:
+            return self._of_some(texts)
+        text, at, found = texts[0].as_py(), 0, []
+        while at < len(text):        # a long text is cut at spaces
+            cut = text.find(" ", at + _PIECE)
+            upto = cut if cut >= 0 else len(text)
+            found.append(self._of_some(pa.array([text[at:upto]], pa.large_string()))[0])
+            at = upto
+        return np.concatenate(found), np.array([sum(map(len, found))])
 
 
 def _tokenised(tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, before = WordIds(tokenizer), TaskContext.get().partitionId(), 0
-        for batch in slices(batches, "text", 2 << 20):
-            ids, sizes = words.of([t or "" for t in batch.column(1).to_pylist()])
+        for batch in slices(batches, "text", 4 << 20):
+            ids, sizes = words.of(batch.column(1).cast(pa.large_string()).fill_null(""))
             bounds = np.concatenate(([0], np.cumsum(sizes + 1)))
             closed = np.full(bounds[-1], end_id, np.int32)
             inner = np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)

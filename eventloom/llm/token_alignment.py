@@ -8,8 +8,8 @@ popcounts of the planes, shifted, give the pair's links, and popcounts of all pl
 documents. For scores of documents the containers are read as postings: each returns what its pair
 counts to the documents whose bits are set.
 
-Neither tokenizer joins characters over a single space between two words, so texts are cut before such
-spaces, and what both make of a piece is worked out once and kept.
+No token of either begins before a single space or line end between two words and ends behind it, so
+texts are cut there, and what both tokenizers make of a piece is worked out once and kept.
 """
 
 from __future__ import annotations
@@ -33,13 +33,15 @@ from eventloom.llm.common import slices, stored
 #: as 16-bit numbers where these are shorter.
 BLOCK = 4096
 _MAP = BLOCK // 8
-#: A worker lets go of what it holds beyond so many pieces of text, pairs in them, entries of a block.
-_MOST_PIECES, _MOST_PAIRS, _MOST_ENTRIES = 150_000, 1_500_000, 2_000_000
+#: A worker lets go of what it holds beyond so many pieces of text, links in them, entries of a block.
+_MOST_PIECES, _MOST_LINKS, _MOST_ENTRIES = 300_000, 3_000_000, 2_000_000
 #: Characters of a text that are looked at together.
-_STRETCH = 1 << 19
+_STRETCH = 1 << 20
 # Fixed value: the mark that stands for a space.
 _SPACE = "▁"
-_CUT = re.compile(r"(?<=\S)(?= \S)")
+_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: Pieces that are encoded one behind the other, at least.
+_TOGETHER = 64
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -50,28 +52,39 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + n): b for n, b in enumerate(others)}
 
 
-def overlaps(a: list[int], b: list[int], a_ids: list[int], b_ids: list[int]) -> tuple[list[tuple], list[tuple]]:
-    """Links (a id, b id) and groups (a ids, b ids) of two rows of tokens, from their byte ends."""
-    links, groups, i, j, first_i, first_j = [], [], 0, 0, 0, 0
-    while i < len(a) and j < len(b):
-        links.append((a_ids[i], b_ids[j]))
-        if a[i] == b[j]:
-            i, j = i + 1, j + 1
-            groups.append((a_ids[first_i:i], b_ids[first_j:j]))
-            first_i, first_j = i, j
-        elif a[i] < b[j]:
-            i += 1
-        else:
-            j += 1
-    return links, groups
+def joined(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, ends): the tokens that each link joins, and where tokens of both end, from byte ends.
 
+    Tokens that overlap share one stretch between ends of either, and each such stretch is in one of both.
+    """
+    every = np.union1d(a_ends, b_ends)
+    return np.searchsorted(a_ends, every), np.searchsorted(b_ends, every), np.intersect1d(a_ends, b_ends, assume_unique=True)
+
+
+class _Spelled:
+    """Texts by number, as one run of bytes."""
+
+    def __init__(self, texts: list[bytes]):
+        self.data = np.frombuffer(b"".join(texts), np.uint8)
+        self.at = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
+        self.sizes = np.diff(self.at)
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        return self.data[_runs(self.at[numbers], self.sizes[numbers])]
 
-def _spelled(groups: list[tuple]) -> str:
-    return ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups)
+
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for every start, size of each."""
+    before = np.cumsum(size) - size
+    return np.arange(size.sum()) + np.repeat(start - before, size)
 
 
 class Pieces:
-    """What both tokenizers make of pieces of text; every piece begins with a space."""
+    """What both tokenizers make of pieces of text; every piece begins with white space.
+
+    Pieces are learned many at a time: those that begin with one space or line end and stop with another
+    character are encoded one behind the other, as in a text, and told apart by their bytes.
+    """
 
     def __init__(self, byte_tokenizer: str, piece_model: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # a task has one core
@@ -81,64 +94,134 @@ class Pieces:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=piece_model)
         alphabet = _byte_alphabet()
-        size = self.a.get_vocab_size()
-        self.a_bytes = [bytes(alphabet.get(c, 63) for c in self.a.id_to_token(i) or "") for i in range(size)]
-        self.b_bytes = [
+        n_a, n_b = self.a.get_vocab_size(), self.b.get_piece_size()
+        self.a_bytes = _Spelled([bytes(alphabet.get(c, 63) for c in self.a.id_to_token(i) or "") for i in range(n_a)])
+        self.b_bytes = _Spelled([
             bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i)
-            else self.b.id_to_piece(i).replace(_SPACE, " ").encode() for i in range(self.b.get_piece_size())]
+            else self.b.id_to_piece(i).replace(_SPACE, " ").encode() for i in range(n_b)])
+        self.digits = _Spelled([str(i).encode() for i in range(max(n_a, n_b))])
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.codes: dict[int, int] = {}
-        self.spelled: list[str] = []
         self.sums = np.zeros((0, 5), np.int64)        # tokens of a, of b, groups, links, 1 where bytes differ
-        self.at = np.zeros(1, np.int64)
-        self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.said, self.said_at = np.zeros(0, np.uint8), np.zeros(1, np.int64)        # groups as text, each with a ;
+        self.codes, self.at = np.zeros(0, np.int64), np.zeros(1, np.int64)            # a << 32 | b of every link
 
     @property
     def full(self) -> bool:
-        return len(self.place) > _MOST_PIECES or len(self.pairs) > _MOST_PAIRS
+        return len(self.place) > _MOST_PIECES or len(self.codes) > _MOST_LINKS
 
-    def learn(self, new: list[str]) -> None:
-        found_a = self.a.encode_batch_fast(new, add_special_tokens=False)
-        found_b = self.b.encode([piece[1:] for piece in new], num_threads=1)       # it adds the space
-        sums, sizes, pairs, times = [], [], [], []
-        for piece, a, b in zip(new, (e.ids for e in found_a), found_b):
-            spelled_a, spelled_b = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            whole = piece.encode()
-            if b"".join(spelled_a) != whole or b"".join(spelled_b) != whole:
-                links, groups, sum_ = [], [], (0, 0, 0, 0, 1)
-            else:
-                ends = [np.cumsum([len(s) for s in x]).tolist() for x in (spelled_a, spelled_b)]
-                links, groups = overlaps(*ends, a, b)
-                sum_ = (len(a), len(b), len(groups), len(links), 0)
-            counted: dict[int, int] = {}
-            for x, y in links:
-                code = self.codes.setdefault(x << 32 | y, len(self.codes))
-                counted[code] = counted.get(code, 0) + 1
-            self.spelled.append(_spelled(groups))
-            sums.append(sum_)
-            sizes.append(len(counted))
-            pairs += counted
-            times += counted.values()
+    def _add(self, pieces: list[str], sums, said, said_sizes, codes, code_sizes) -> None:
         first = len(self.place)
-        self.place.update(zip(new, range(first, first + len(new))))
-        self.sums = np.concatenate((self.sums, np.array(sums, np.int64)))
-        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(sizes)))
-        self.pairs = np.concatenate((self.pairs, np.array(pairs, np.int64)))
-        self.times = np.concatenate((self.times, np.array(times, np.int64)))
+        self.place.update(zip(pieces, range(first, first + len(pieces))))
+        self.sums = np.concatenate((self.sums, sums))
+        self.said = np.concatenate((self.said, said))
+        self.said_at = np.concatenate((self.said_at, self.said_at[-1] + np.cumsum(said_sizes)))
+        self.codes = np.concatenate((self.codes, codes))
+        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(code_sizes)))
+
+    def _texts_of(self, groups: np.ndarray, ids: np.ndarray, is_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """`a1,a2|b1;` of tokens that lie by group, a before b; and the bytes that each token takes."""
+        last = np.ones(len(ids), bool)
+        last[:-1] = groups[1:] != groups[:-1]
+        turn = np.zeros(len(ids), bool)
+        turn[:-1] = is_b[1:] != is_b[:-1]
+        sizes = self.digits.sizes[ids] + 1
+        ends = np.cumsum(sizes)
+        out = np.zeros(int(sizes.sum()), np.uint8)
+        out[_runs(ends - sizes, sizes - 1)] = self.digits.of(ids)
+        out[ends - 1] = np.where(last, ord(";"), np.where(turn, ord("|"), ord(",")))
+        return out, sizes
+
+    def _learn(self, pieces: list[str], texts: list[str], whole: bytes, sizes: np.ndarray) -> bool:
+        """Pieces of the stated numbers of bytes, which the texts hold one after the other; False if
+        the bytes that tokens stand for are not those of the texts."""
+        found = (self.a.encode_batch_fast(texts, add_special_tokens=False),
+                 self.b.encode([t[1:] for t in texts], num_threads=1))       # b adds the space
+        a = np.array([i for e in found[0] for i in e.ids], np.int64)
+        b = np.array([i for ids in found[1] for i in ids], np.int64)
+        given = np.frombuffer(whole, np.uint8)
+        if not all(np.array_equal(spelled.of(ids), given) for spelled, ids in ((self.a_bytes, a), (self.b_bytes, b))):
+            return False
+        a_ends, b_ends = np.cumsum(self.a_bytes.sizes[a]), np.cumsum(self.b_bytes.sizes[b])
+        link_a, link_b, common = joined(a_ends, b_ends)
+        bounds = np.cumsum(sizes)
+        piece = lambda ends: np.searchsorted(bounds, ends)
+        n = len(sizes)
+        count = lambda ends: np.bincount(piece(ends), minlength=n)
+        links = count(np.union1d(a_ends, b_ends))
+        group = np.concatenate((np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)))
+        is_b = np.repeat([False, True], [len(a), len(b)])
+        order = np.argsort(group * 2 + is_b, kind="stable")
+        said, token_sizes = self._texts_of(group[order], np.concatenate((a, b))[order], is_b[order])
+        said_sizes = np.bincount(piece(common)[group[order]], token_sizes, n).astype(np.int64)
+        sums = np.stack([count(a_ends), count(b_ends), count(common), links, np.zeros(n, np.int64)], axis=1)
+        self._add(pieces, sums, said, said_sizes, a[link_a] << 32 | b[link_b], links)
+        return True
+
+    def learn(self, new: list[str]) -> None:
+        plain = [p for p in new if p[0] in " \n" and not p[1:2].isspace() and p[1:] and not p[-1].isspace() and _SPACE not in p]
+        # Texts begin with a space, for b; so each begins with a piece that does.
+        starts = [p for p in plain if p[0] == " "]
+        ordered = starts + [p for p in plain if p[0] != " "] if starts else []
+        step = max(1, -(-len(ordered) // max(1, len(starts))), _TOGETHER)
+        heads, rest = starts[:-(-len(ordered) // step)], []
+        if ordered:
+            rest = ordered[len(heads):]
+            parts, at = [], 0
+            for i, head in enumerate(heads):
+                upto = (len(rest) * (i + 1)) // len(heads)
+                parts.append([head, *rest[at:upto]])
+                at = upto
+            pieces = [p for part in parts for p in part]
+            whole = ["".join(part) for part in parts]
+            sizes = np.array([len(p.encode()) for p in pieces], np.int64)
+            if not self._learn(pieces, whole, "".join(whole).encode(), sizes):
+                ordered = []
+        known = set(ordered)
+        for p in new:
+            if p not in known:
+                self._alone(p)
+
+    def _alone(self, piece: str) -> None:
+        whole = piece.encode()
+        if piece[0] == " ":
+            if self._learn([piece], [piece], whole, np.array([len(whole)])):
+                return
+        elif _SPACE not in piece:
+            # Behind a line end or the like: what is encoded before it must not count.
+            before = Pieces.__new__(Pieces)
+            before.__dict__.update(self.__dict__)
+            before.clear()
+            if before._learn([" a", piece], [" a" + piece], b" a" + whole, np.array([2, len(whole)])):
+                self._add([piece], before.sums[1:], before.said[before.said_at[1]:], np.diff(before.said_at)[1:],
+                          before.codes[before.at[1]:], np.diff(before.at)[1:])
+                return
+        none = np.zeros(0, np.int64)
+        self._add([piece], np.array([[0, 0, 0, 0, 1]]), none.astype(np.uint8), [0], none, [0])
+
+    def whole(self, text: str) -> bool:
+        """Whether both tokenizers give a long text back."""
+        for stretch in cut(text):
+            if self.full:
+                self.clear()
+            at = self.of(stretch)
+            if self.sums[at, 4].any():
+                return False
+        return True
 
     def of(self, stretch: list[str]) -> np.ndarray:
         """Places of pieces in the tables; unknown ones are learned."""
-        new = list(dict.fromkeys(p for p in stretch if p not in self.place))
+        new = [p for p in dict.fromkeys(stretch) if p not in self.place]
         if new:
             self.learn(new)
         return np.fromiter(map(self.place.__getitem__, stretch), np.int64, len(stretch))
 
 
 def cut(text: str) -> Iterator[list[str]]:
-    """The pieces of space and text, some at a time: each begins at a single space between two words."""
+    """The pieces of space and text, some at a time: each begins at a single space or line end between
+    two other characters, which no token of either tokenizer reaches over."""
     whole, at = " " + text, 0
     while at < len(whole):
         found = None if len(whole) - at <= _STRETCH else _CUT.search(whole, at + _STRETCH)
@@ -147,13 +230,12 @@ def cut(text: str) -> Iterator[list[str]]:
         at = upto
 
 
-def _entries(doc: np.ndarray, pair: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same entries with equal (pair, document) added up, in order."""
-    code = pair * BLOCK + doc
-    order = np.argsort(code, kind="stable")
-    code, times = code[order], times[order]
-    first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
-    return code[first] % BLOCK, code[first] // BLOCK, np.add.reduceat(times, first)
+def _entries(doc: np.ndarray, code: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same entries with equal (pair, document) added up, in order of pair and document."""
+    order = np.lexsort((doc, code))
+    doc, code, times = doc[order], code[order], times[order]
+    first = _starts(code, doc)
+    return doc[first], code[first], np.add.reduceat(times, first)
 
 
 def containers(doc: np.ndarray, times: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -230,54 +312,44 @@ def _tokenised(byte_tokenizer: str, piece_model: bytes, spelled: bool, id_type:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, number, first = Pieces(byte_tokenizer, piece_model), 0, TaskContext.get().partitionId() << 28
         held: list[tuple] = []          # (document's place, pair, times) of one block
+        block = first
 
         def flush() -> pa.RecordBatch:
-            doc, pair, times = _entries(*(np.concatenate(x) for x in zip(*held)))
+            doc, code, times = _entries(*(np.concatenate(x) for x in zip(*held)))
             held.clear()
-            codes = np.fromiter(pieces.codes, np.int64, len(pieces.codes))
-            group, plane, bits = containers(doc, times, pair)
-            return rows(len(bits), block=np.full(len(bits), block), a=codes[group] >> 32, b=codes[group] & 0xFFFFFFFF,
-                        plane=plane, bits=bits)
+            group, plane, bits = containers(doc, times, code)
+            return rows(len(bits), block=np.full(len(bits), block), a=group >> 32, b=group & 0xFFFFFFFF, plane=plane, bits=bits)
 
-        block = first
-        for batch in slices(batches, "text", 1 << 20):
-            sums, texts, entries = np.zeros((batch.num_rows, 4), np.int64), [], 0
+        entries = 0
+        for batch in slices(batches, "text", 2 << 20):
+            sums, texts = np.zeros((batch.num_rows, 4), np.int64), [""] * batch.num_rows
             numbers = number + np.arange(batch.num_rows)
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                if first + int(numbers[i]) // BLOCK != block:
+            open_doc: tuple | None = None       # (row, entries, digest, text so far, joint) of a text read in stretches
+            for row, at, last in _read(pieces, batch.column(1)):
+                if first + int(numbers[row]) // BLOCK != block:
                     if held:
                         yield flush()
                         entries = 0
-                    block = first + int(numbers[i]) // BLOCK
-                own, digest, said, bad = [], hashlib.sha256(), [], False
-                for stretch in cut(text) if text else ():
-                    at = pieces.of(stretch)
-                    bad |= bool(pieces.sums[at, 4].any())
-                    if bad:
-                        break
-                    sums[i] += pieces.sums[at, :4].sum(axis=0)
-                    part = (";" if own else "") + ";".join(map(pieces.spelled.__getitem__, at.tolist()))
-                    digest.update(part.encode())
-                    said += [part] * spelled
-                    piece, count = np.unique(at, return_counts=True)
-                    sizes = pieces.at[piece + 1] - pieces.at[piece]
-                    inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                    place = np.repeat(pieces.at[piece], sizes) + inner
-                    own.append((np.full(len(place), numbers[i] % BLOCK), pieces.pairs[place],
-                                pieces.times[place] * np.repeat(count, sizes)))
-                    if len(own) > 1 and sum(len(x[0]) for x in own) > _MOST_ENTRIES:
-                        own = [_entries(*(np.concatenate(x) for x in zip(*own)))]
-                if bad:
-                    sums[i], own, said = 0, [], []
-                texts.append("" if not own else "".join(said) if spelled else digest.hexdigest())
-                held += own
-                entries += sum(len(x[0]) for x in own)
-                # Tables are let go of between documents only, with the entries that point into them.
-                if held and (entries > _MOST_ENTRIES or pieces.full):
-                    yield flush()
-                    entries = 0
-                if pieces.full:
-                    pieces.clear()
+                    block = first + int(numbers[row]) // BLOCK
+                own, digest, said, behind = open_doc or ([], hashlib.sha256(), [], b"")
+                sums[row] += pieces.sums[at, :4].sum(axis=0)
+                part = behind + pieces.said[_runs(pieces.said_at[at], pieces.said_at[at + 1] - pieces.said_at[at])].tobytes()
+                digest.update(part[:-1])
+                said += [part[:-1]] * spelled
+                codes = np.sort(pieces.codes[_runs(pieces.at[at], pieces.at[at + 1] - pieces.at[at])])
+                starts = _starts(codes)
+                own.append((np.full(len(starts), numbers[row] % BLOCK), codes[starts], np.diff(np.append(starts, len(codes)))))
+                if len(own) > 1 and sum(len(x[0]) for x in own) > _MOST_ENTRIES:
+                    own = [_entries(*(np.concatenate(x) for x in zip(*own)))]
+                open_doc = (own, digest, said, b";")
+                if last:
+                    open_doc = None
+                    texts[row] = b"".join(said).decode() if spelled else digest.hexdigest()
+                    held += own
+                    entries += sum(len(x[0]) for x in own)
+                    if entries > _MOST_ENTRIES:
+                        yield flush()
+                        entries = 0
             yield rows(batch.num_rows, batch.column(0), block=first + numbers // BLOCK, place=numbers % BLOCK,
                        n_a=sums[:, 0], n_b=sums[:, 1], n_groups=sums[:, 2], n_links=sums[:, 3], groups=texts)
             number += batch.num_rows
@@ -287,6 +359,47 @@ def _tokenised(byte_tokenizer: str, piece_model: bytes, spelled: bool, id_type:
     return run
 
 
+def _read(pieces: Pieces, column: pa.Array) -> Iterator[tuple[int, np.ndarray, bool]]:
+    """(row, places of pieces, whether they end the text) of all texts that both tokenizers give back.
+
+    Pieces of many texts are looked up together. A text of several stretches is read through first:
+    if a piece of it is not given back, none of it counts.
+    """
+    held: list[tuple[int, list[str], bool]] = []
+
+    def looked_up() -> Iterator[tuple[int, np.ndarray, bool]]:
+        at = pieces.of([p for _, stretch, _ in held for p in stretch])
+        bounds = np.cumsum([0] + [len(stretch) for _, stretch, _ in held]).tolist()
+        for (row, _, last), a, b in zip(held, bounds[:-1], bounds[1:]):
+            if not pieces.sums[at[a:b], 4].any():
+                yield row, at[a:b], last
+        held.clear()
+        if pieces.full:
+            pieces.clear()
+
+    n = 0
+    for row, text in enumerate(column.to_pylist()):
+        if not text:
+            continue
+        if len(text) < _STRETCH:
+            held.append((row, next(cut(text)), True))
+            n += len(text)
+            if n > _STRETCH:
+                yield from looked_up()
+                n = 0
+            continue
+        yield from looked_up()
+        n = 0
+        if pieces.whole(text):
+            *stretches, end = cut(text)
+            for stretch in stretches:
+                held.append((row, stretch, False))
+                yield from looked_up()
+            held.append((row, end, True))
+            yield from looked_up()
+    yield from looked_up()
+
+
 def _by_key(batches: Iterator[pa.RecordBatch], keys: list[str], most: int) -> Iterator[pa.Table]:
     """Sorted rows in tables of about `most` rows that do not part rows of one key."""
     held, n = [], 0

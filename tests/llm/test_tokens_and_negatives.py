@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from conftest import DATA
@@ -113,8 +114,6 @@ def test_alignment_in_small_blocks(spark, odd_docs, monkeypatch):
     text = open(BYTE_TOKENIZER, encoding="utf-8").read()
     for name, value in (("_MOST_PIECES", 20), ("_MOST_ENTRIES", 50), ("_STRETCH", 100)):
         monkeypatch.setattr(token_alignment, name, value)
-    import pyarrow as pa
-
     class Context:
         partitionId = staticmethod(lambda: 3)
 
@@ -151,7 +150,6 @@ def test_containers():
     group = np.repeat([3, 4, 8, 9], [1, 255, 256, 4096])
     times = rng.integers(1, 6, len(doc))
     groups, planes, bits = containers(doc, times, group)
-    import pyarrow as pa
     maps = opened(pa.array(bits, pa.binary()))
     for g, p, m in zip(groups, planes, maps):
         own = group == g
@@ -170,8 +168,8 @@ def test_alignment_of_an_empty_table(spark, odd_docs):
 
 def test_pieces_table_is_bounded(monkeypatch):
     pieces_ = Pieces(open(BYTE_TOKENIZER, encoding="utf-8").read(), open(PIECE_MODEL, "rb").read())
-    at = pieces_.of([" a", " b", " a"])
-    assert at.tolist() == [0, 1, 0] and not pieces_.full
+    at = pieces_.of([" a", "\nb", " a", "\t x", " a"])
+    assert at.tolist() == [0, 1, 0, 2, 0] and not pieces_.full
     monkeypatch.setattr(token_alignment, "_MOST_PIECES", 1)
     assert pieces_.full
 
@@ -250,7 +248,7 @@ def test_words_that_are_let_go(monkeypatch):
     monkeypatch.setattr(packing, "_MOST_WORDS", 2)
     words = packing.WordIds(open(WORD_TOKENIZER, encoding="utf-8").read())
     for text in ("one two three", "four one", "", "two three"):
-        ids, n = words.of([text])
+        ids, n = words.of(pa.array([text], pa.large_string()))
         assert ids.tolist() == packed_brute([text])[0][:-1] and n.tolist() == [len(ids)]
 
 
