@@ -41,7 +41,8 @@ def _lower(text: pa.Array) -> pa.Array:
     """ASCII letters lower-cased where this cannot change ids: not beside special tokens, or before
     accents that only a small letter melts with."""
     kept = pc.match_substring_regex(text, f"<\\||[{''.join(_SMALL_ONLY)}]")
-    return pc.if_else(kept, text, pc.ascii_lower(text))
+    small = [t if k else t.encode().lower().decode() for t, k in zip(text.to_pylist(), kept.to_pylist())]
+    return pa.array(small, pa.large_string())
 
 
 _SMALL_ONLY = [m for m in map(chr, range(0x300, 0x370)) if any(
