@@ -37,7 +37,7 @@ _LEAST_NOISE = math.log(-math.log1p(-2.0 ** -54)) - 1e-6
 _REACH = 60.0
 _IDS = 100_000
 # Lattices that a worker keeps, in edges (32 bytes each); beyond, it begins anew.
-_MOST_EDGES = 2_000_000
+_MOST_EDGES = 1_000_000
 
 
 def _round(x: np.ndarray, part) -> np.ndarray:
@@ -448,7 +448,7 @@ def _vocabulary(model: bytes, sharpness: float) -> Vocabulary:
 
 
 def _lattices(model: bytes, sharpness: float) -> _Lattices:
-    """Once per worker process, so that frequent words stay from task to task."""
+    """Once per worker process; the words of a task are let go of at its end."""
     key = (hash(model), sharpness)
     if key not in _LATTICES:
         _LATTICES[key] = _Lattices(_vocabulary(model, sharpness))
@@ -475,7 +475,7 @@ def encode(docs: DataFrame, model_file: str, k: int = 4, id_col: str = "doc_id",
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = _lattices(model, sharpness)
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 1 << 18):
             texts = [t or "" for t in batch.column(2).to_pylist()]
             found = sample_batch(lattices, texts, batch.column(1).to_pylist(), k)
             counts = [len(rows) for rows in found]
@@ -491,6 +491,7 @@ def encode(docs: DataFrame, model_file: str, k: int = 4, id_col: str = "doc_id",
             if decoded:
                 columns.append(pa.array(decode_ids(lattices.vocabulary, ids, bounds), pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names)
+        lattices.clear()        # a worker that waits for another task holds the vocabulary only
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(
