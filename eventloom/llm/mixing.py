@@ -124,33 +124,88 @@ def pivotal_rounding(items: DataFrame, seed: int = 17, fan: int = 64) -> DataFra
     return root
 
 
+def _same(id_: Column, source: Column, size: Column) -> Column:
+    """A text that rows share where id, source and size are alike, nulls too."""
+    return F.to_json(F.struct(id_.alias("id"), source.alias("source"), size.alias("size")))
+
+
+def _rank(rows: DataFrame) -> DataFrame:
+    """`nth`, from 0, of each row among those that share `same`; rows have a `uid` of their task.
+
+    Rows are counted per task of the table first, so that no task orders more than came from one.
+    """
+    task = F.shiftright("uid", 33)
+    counted = rows.groupBy("same", task.alias("task")).agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy("same").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counted.select("same", "task", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
+    inner = Window.partitionBy("same", "task").orderBy("uid")
+    return rows.withColumn("task", task).withColumn("inner", F.row_number().over(inner) - 1).join(
+        bases, ["same", "task"]).withColumn("nth", F.col("base") + F.col("inner")).drop("task", "inner", "base")
+
+
+def mix_plan(sized: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
+    """`same`, `whole`, `more`: of the rows that share an id, source and size, `more` are taken once
+    oftener than `whole` times. Which of them does not matter to the mix.
+
+    Of n such rows with the fraction p of a copy each, floor(n p) copies are certain; only what is left
+    of n p is drawn, as one row of that size among all others of the source.
+    """
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    key = F.concat_ws("/", F.coalesce(F.col("id").cast("string"), F.lit("-")), F.col("size").cast("string"))
+    due = F.col("rows") * (ratio - F.floor(ratio))
+    entries = stored(
+        sized.where(F.col("size") > 0).groupBy("id", "source", "size", "same").agg(F.count("*").alias("rows"))
+        .join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
+        .select("same", "source", key.alias("key"), F.col("size").cast("double").alias("mass"), F.floor(ratio).alias("whole"),
+                F.floor(due).alias("sure"), (due - F.floor(due)).alias("part")), "mix-entries")
+    drawn = pivotal_rounding(entries.select("source", "key", "mass", "part"), seed).select(
+        F.col("source").alias("drawn_of"), F.col("key").alias("drawn"), "copy")
+    return stored(entries.join(
+        drawn, (F.col("key") == F.col("drawn")) & F.col("source").eqNullSafe(F.col("drawn_of")), "left"
+    ).select("same", "whole", (F.col("sure") + F.coalesce("copy", F.lit(0))).alias("more")), "mix-plan")
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0,
                 seed: int = 17) -> DataFrame:
     """`id`, `source`, `size`, `source_size`, `target`, `copies`, `taken` for every row.
 
-    Sizes are words (null text: 0). Rows without words are not drawn and take 0 words. Rows that
-    repeat an id, source and size share one draw. A null id or source is a value of its own.
+    Sizes are words (null text: 0; long texts count whole). Rows without words are not drawn and take 0
+    words. A null id or source is a value of its own. Rows that repeat an id, source and size are taken
+    as often together as their share of the target asks for, up to one of them. Draws hang on id, source
+    and size alone, so reruns agree; of repeated rows the first by task and place in it come first.
     """
     sized = stored(docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-        word_count(F.col(text_col)).alias("size")), "mix-sizes")
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
+        F.monotonically_increasing_id().alias("uid"),
+    ).withColumn("same", _same(F.col("id"), F.col("source"), F.col("size"))), "mix-sizes")
     targets = stored(source_targets(sized, weights, share, most), "mix-targets")
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    key = F.concat_ws("/", F.coalesce(F.col("id").cast("string"), F.lit("-")), F.col("size").cast("string"))
-    entries = (
-        sized.where(F.col("size") > 0)
-        .groupBy("id", "source", "size").agg(F.count("*").alias("rows"))
+    plan = mix_plan(sized, targets, seed)
+    copies = F.col("whole") + (F.col("nth") < F.col("more")).cast("long")
+    return (
+        _rank(sized).join(plan, "same", "left")
         .join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-        .select("source", key.alias("key"), (F.col("size") * F.col("rows")).cast("double").alias("mass"),
-                (ratio - F.floor(ratio)).alias("part"))
+        .withColumn("copies", F.coalesce(copies, F.lit(0)).cast("long"))
+        .select("id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    )
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                    weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0,
+                    seed: int = 17, row: str = "row", copy: str = "copy") -> DataFrame:
+    """`row` (all columns of a document) and `copy`, from 1, as often as the mix takes it."""
+    sized = docs.select(
+        F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"),
+        word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("told"),
+    ).withColumn("same", _same(F.col("id"), F.col("source"), F.col("size")))
+    lean = stored(sized.drop("row"), "mix-sizes")
+    targets = stored(source_targets(lean, weights, share, most), "mix-targets")
+    plan = mix_plan(lean, targets, seed)
+    # Rows that repeat an id, source and size are told apart by their texts; equal ones are alike.
+    numbered = sized.select("row", "same", (F.row_number().over(
+        Window.partitionBy("same").orderBy("told")) - 1).alias("nth"))
+    copies = F.col("whole") + (F.col("nth") < F.col("more")).cast("long")
+    return (
+        numbered.join(plan, "same").withColumn("copies", copies).where("copies > 0")
+        .select(F.col("row").alias(row), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias(copy))
     )
-    drawn = pivotal_rounding(stored(entries, "mix-entries"), seed).select(
-        F.col("source").alias("drawn_of"), F.col("key").alias("drawn"), "copy")
-    rows = sized.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-    return rows.withColumns({"key": key, "whole": F.floor(ratio)}).join(
-        drawn, (F.col("key") == F.col("drawn")) & F.col("source").eqNullSafe(F.col("drawn_of")), "left"
-    ).withColumn(
-        "copies", F.when(F.col("size") > 0, F.col("whole") + F.coalesce(F.col("copy"), F.lit(0))).otherwise(0).cast("long")
-    ).select("id", "source", "size", "source_size", "target", "copies",
-             (F.col("size") * F.col("copies")).alias("taken"))
