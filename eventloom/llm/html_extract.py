@@ -2,9 +2,9 @@
 
 A page is cut into blocks; a block belongs to the path of tags from the root down to it. Text length
 and punctuation are summed per path and set in proportion to the number of the path's blocks; the two
-ratios are fused and smoothed over paths that share a beginning. What a path says of itself (article
-and main on one side, navigation, footers, forms, comments, adverts on the other) is added, and paths
-above the threshold give the content, in page order.
+ratios are fused and smoothed over paths that share a beginning, in proportion to the page's best. What
+a path says of itself (article and main on one side, navigation, footers, forms, comments, adverts on
+the other) adds or takes a bounded weight, and paths above one threshold give the content, in page order.
 """
 
 from __future__ import annotations
@@ -37,23 +37,42 @@ _SIBLINGS = {
 }
 _BOILER_TAGS = frozenset("head nav header footer aside form button menu dialog fieldset".split())
 _CONTENT_TAGS = frozenset("article main".split())
-_BOILER_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banners?|breadcrumbs?|comments?|consent|cookies?|"
-    r"disqus|footer|footnav|gdpr|header|login|masthead|menus?|modal|nav|navbar|navigation|newsletter|notices?|"
-    r"pagination|popup|promos?|promoted|related|replies|reply|respond|search|share|sharing|sidebars?|signup|skip|"
-    r"social|sponsors?|sponsored|subscribe|subscription|toolbar|widgets?)(?:$|[\s_-])", re.I)
-_CONTENT_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:article|articlebody|article-body|body-text|content|entry|main|maincontent|post|post-body|story|text)"
-    r"(?:$|[\s_-])", re.I)
+_BOILER_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising banner banners breadcrumb breadcrumbs comment comments "
+    "consent cookie cookies disqus footer footnav gdpr header login masthead menu menus modal nav navbar navigation "
+    "newsletter notice notices pagination popup promo promos promoted related replies reply respond search share sharing "
+    "sidebar sidebars signup skip social sponsor sponsors sponsored subscribe subscription toolbar widget widgets".split())
+_CONTENT_WORDS = frozenset("article articlebody body content entry main maincontent post story text".split())
+# What may follow such a word in a name without changing what it says: sidebar-left, comments-area.
+_FRAMES = frozenset(
+    "area bar block bottom box col column container first form group holder inner item items last left links list outer "
+    "panel region right row section slot top unit wrap wrapper zone".split())
 _BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _CONTENT_ROLES = frozenset(("main", "article"))
 
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PUNCTUATION = re.compile(r"[.,;:!?、。，؟،]")
-_THRESHOLD = 0.35
+#: Score that a path must reach. Ratios lie in [0, 1]; what a path says of itself adds or takes these.
+#: No mark reaches the threshold without a ratio.
+_THRESHOLD, _FOR, _AGAINST = 0.55, 0.35, 0.5
+#: Beginnings of a path, from itself up, that its ratio is smoothed over; further ones weigh under e^-18.
+_NEAR = 6
+
+
+def _names(value: str) -> int:
+    """What the class tokens or the id of an element say, token by token."""
+    cue = 0
+    for token in value.lower().split():
+        first, *rest = re.split(r"[-_]+", token.strip("-_"))
+        last = rest[-1] if rest else first
+        if token in _BOILER_WORDS or last in _BOILER_WORDS or first in _BOILER_WORDS and all(
+                r in _FRAMES or r in _CONTENT_WORDS or r.isdigit() for r in rest):
+            return -1
+        cue = max(cue, int(token in _CONTENT_WORDS or last in _CONTENT_WORDS))
+    return cue
 
 
 def _cue(tag: str, attributes: str) -> int:
@@ -74,21 +93,28 @@ def _cue(tag: str, attributes: str) -> int:
                 return -1
             cue = max(cue, int(value.lower() in _CONTENT_ROLES))
         elif name in ("class", "id"):
-            if _BOILER_WORDS.search(value) and tag not in ("html", "body"):
+            said = 0 if tag in ("html", "body") else _names(value)
+            if said < 0:
                 return -1
-            cue = max(cue, int(bool(_CONTENT_WORDS.search(value)) and tag not in ("html", "body")))
+            cue = max(cue, said)
         elif name == "itemprop" and value.lower() == "articlebody":
             cue = 1
     return cue
 
 
 class _Blocks:
-    """Blocks of a page in order, as (path, text, length of text in links)."""
+    """Blocks of a page in order, as (node, text, length of text in links).
+
+    Nodes are those of the tree of tag paths: elements with the same path and marks share a node, and a
+    node is known by its parent, so that neither time nor memory grows with the square of the depth.
+    """
 
     def __init__(self) -> None:
-        self.found: list[tuple[tuple[str, ...], int, str, int]] = []
-        self.stack: list[tuple[str, int]] = []      # (tag, cue of the path down to it)
-        self.path: tuple[str, ...] = ()
+        self.found: list[tuple[int, str, int]] = []
+        self.nodes: dict[tuple[int, str, int], int] = {}
+        self.parent, self.cue, self.against = [-1], [0], [-1]       # `against`: the outermost node marked so
+        self.stack: list[tuple[str, int]] = []      # (tag, node)
+        self.open: dict[str, list[int]] = {}        # depths at which a tag is open
         self.pieces: list[str] = []
         self.links, self.link_chars = 0, 0
 
@@ -103,22 +129,34 @@ class _Blocks:
         if self.pieces:
             text = " ".join("".join(self.pieces).split())
             if text:
-                self.found.append((self.path, self.stack[-1][1] if self.stack else 0, text, self.link_chars))
+                self.found.append((self.stack[-1][1] if self.stack else 0, text, self.link_chars))
             self.pieces, self.link_chars = [], 0
 
     def _cut(self, depth: int) -> None:
         self.end_block()
-        del self.stack[depth:]
-        self.path = self.path[:depth]
+        while len(self.stack) > depth:
+            self.open[self.stack.pop()[0]].pop()
+
+    def _deepest(self, tags: tuple[str, ...]) -> int:
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=-1)
 
     def _close_upto(self, tags: tuple[str, ...], walls: tuple[str, ...]) -> None:
-        for depth in range(len(self.stack) - 1, -1, -1):
-            tag = self.stack[depth][0]
-            if tag in tags:
-                self._cut(depth)
-                return
-            if tag in walls:
-                return
+        depth = self._deepest(tags)
+        if depth >= 0 and depth >= self._deepest(walls):
+            self._cut(depth)
+
+    def _push(self, tag: str, attributes: str) -> None:
+        said, above = _cue(tag, attributes), self.stack[-1][1] if self.stack else 0
+        # The inner mark counts, but one for the article inside one against it only makes up for that.
+        cue = -1 if said < 0 else min(1, self.cue[above] + 1) if said else self.cue[above]
+        key = (above, tag if said >= 0 else f"-{tag}", cue)
+        if key not in self.nodes:
+            node = self.nodes[key] = len(self.parent)
+            self.parent.append(above)
+            self.cue.append(cue)
+            self.against.append(node if said < 0 and self.against[above] < 0 else self.against[above])
+        self.open.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, self.nodes[key]))
 
     def start(self, tag: str, attributes: str) -> None:
         if tag in _INLINE:
@@ -137,25 +175,20 @@ class _Blocks:
             self._close_upto(*_SIBLINGS[tag])
         if tag == "body":
             self._close_upto(("head",), ())
-        cue, above = _cue(tag, attributes), self.stack[-1][1] if self.stack else 0
-        self.stack.append((tag, -1 if -1 in (cue, above) else max(cue, above)))
-        self.path += (tag if cue >= 0 else f"-{tag}",)
+        self._push(tag, attributes)
 
     def end(self, tag: str) -> None:
         if tag in _INLINE:
             self.links = max(0, self.links - (tag == "a"))
             return
-        if tag == "p" and not any(t == "p" for t, _ in self.stack):
+        if self.open.get(tag):
+            self._cut(self.open[tag][-1])
+            self.links = 0
+        elif tag == "p":
             self.end_block()
-            return
-        for depth in range(len(self.stack) - 1, -1, -1):
-            if self.stack[depth][0] == tag:
-                self._cut(depth)
-                self.links = 0
-                return
 
 
-def _blocks(page: str) -> list[tuple[tuple[str, ...], int, str, int]]:
+def _blocks(page: str) -> _Blocks:
     walk, at = _Blocks(), 0
     while found := _MARKUP.search(page, at):
         walk.text(page[at:found.start()])
@@ -175,54 +208,56 @@ def _blocks(page: str) -> list[tuple[tuple[str, ...], int, str, int]]:
             walk.start(tag, attributes)
     walk.text(page[at:])
     walk.end_block()
-    return walk.found
-
-
-def _shared(a: tuple[str, ...], b: tuple[str, ...]) -> int:
-    n = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        n += 1
-    return n
-
-
-def path_scores(blocks: list[tuple[tuple[str, ...], int, str, int]]) -> dict[tuple[tuple[str, ...], int], float]:
-    """Score of every path: fused, smoothed ratios (0 to 1) plus what the path says of itself."""
-    sums: dict[tuple[tuple[str, ...], int], list[int]] = {}
-    for path, cue, text, linked in blocks:
-        total = sums.setdefault((path, cue), [0, 0, 0])
-        total[0] += max(0, len(text) - linked)
-        total[1] += len(_PUNCTUATION.findall(text))
-        total[2] += 1
+    return walk
+
+
+def path_scores(walk: _Blocks) -> list[float]:
+    """Score of every path (node) that has blocks: its ratio, fused and smoothed, and its marks."""
+    n = len(walk.parent)
+    chars, marks, count = [0] * n, [0] * n, [0] * n
+    for node, text, linked in walk.found:
+        chars[node] += max(0, len(text) - linked)
+        marks[node] += len(_PUNCTUATION.findall(text))
+        count[node] += 1
     # Text ratio times punctuation ratio, on a log scale so that one long block does not hide others.
-    fused = {key: math.log1p(chars / n * (1 + marks / n)) for key, (chars, marks, n) in sums.items()}
-    # Paths weigh in by the length of the beginning they share; the sums run over all beginnings.
-    below: dict[tuple[str, ...], list[float]] = {}
-    for (path, _), value in fused.items():
-        for depth in range(len(path) + 1):
-            entry = below.setdefault(path[:depth], [0.0, 0.0])
-            entry[0] += value
-            entry[1] += 1
-    smooth = {}
-    for path, cue in fused:
-        top, weight, own = 0.0, 0.0, len(path)
-        for depth in range(own + 1):
-            near = math.exp(-0.5 * (own - depth) ** 2)
-            total, n = below[path[:depth]]
-            top, weight = top + near * total, weight + near * n
-        smooth[path, cue] = 0.5 * fused[path, cue] + 0.5 * top / weight
-    most = max([v for (_, cue), v in smooth.items() if cue >= 0], default=0.0)
-    return {(path, cue): (smooth[path, cue] / most if most else 0.0) + cue for path, cue in smooth}
+    fused = [math.log1p(c / k * (1 + m / k)) if k else 0.0 for c, m, k in zip(chars, marks, count)]
+    # Sums over the paths below every beginning; a node comes after its parent.
+    total, paths, held = fused[:], [int(k > 0) for k in count], chars[:]
+    for node in range(n - 1, 0, -1):
+        above = walk.parent[node]
+        total[above] += total[node]
+        paths[above] += paths[node]
+        held[above] += held[node]
+    smooth = [0.0] * n
+    for node in range(n):
+        if count[node]:
+            top, weight, at, steps = 0.0, 0.0, node, 0
+            while at >= 0 and steps <= _NEAR:
+                near = math.exp(-0.5 * steps ** 2)
+                top, weight = top + near * total[at], weight + near * paths[at]
+                at, steps = walk.parent[at], steps + 1
+            smooth[node] = 0.5 * fused[node] + 0.5 * top / weight
+    used = [node for node in range(n) if count[node]]
+    most = max((smooth[node] for node in used if walk.cue[node] >= 0), default=0.0) or max(
+        (smooth[node] for node in used), default=0.0) or 1.0
+    marked = any(walk.cue[node] > 0 for node in used)
+    scores = [0.0] * n
+    for node in used:
+        cue, ratio = walk.cue[node], min(1.0, smooth[node] / most)
+        if cue < 0 and not marked:
+            # Where nothing is marked as the article, a mark against most of the page's text says little.
+            share = held[walk.against[node]] / max(1, held[0])
+            scores[node] = ratio - _AGAINST * (1 - share)
+        else:
+            scores[node] = ratio + (_FOR if cue > 0 else -_AGAINST if cue < 0 else 0.0)
+    return scores
 
 
 def main_text(page: str | None) -> str:
-    """The article of a page; empty for null, for no text, and where every path is boilerplate."""
-    blocks = _blocks(page or "")
-    scores = path_scores(blocks)
-    # A page that marks its article is taken at its word; else the ratios decide.
-    floor = 1.0 if any(cue > 0 for _, cue in scores) else _THRESHOLD
-    return " ".join(text for path, cue, text, _ in blocks if cue >= 0 and scores[path, cue] >= floor)
+    """The article of a page; empty for null, for no text, and where no path reaches the threshold."""
+    walk = _blocks(page or "")
+    scores = path_scores(walk)
+    return " ".join(text for node, text, _ in walk.found if scores[node] >= _THRESHOLD)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +272,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """`page_id`, `url`, `text` for every row; no shuffle, a page at a time.
 
     Null or empty html gives an empty text; rows that repeat give the same text again; null ids and
-    URLs pass through. Other columns are not read.
+    URLs pass through. Paths of the same score are all taken or all left. Markup that is never closed,
+    long pages and deep ones take time and memory in proportion to their size. Other columns are not read.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}

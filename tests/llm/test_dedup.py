@@ -151,6 +151,27 @@ def test_near_duplicates(docs):
     assert found(simhash.near_duplicates(docs), "id", "fp", "component_id") == expected
 
 
+def test_meeting_in_a_list_is_reaching_the_least_tally():
+    """Two fingerprints share a key of some choice of six byte positions exactly where the tally of equal
+    positional bytes is six or more; fingerprints within two bits always reach it."""
+    rng = np.random.default_rng(9)
+    near = 0
+    for _ in range(3000):
+        a = rng.integers(0, 256, 8)
+        b = a.copy()
+        for _ in range(rng.integers(0, 4)):
+            b[rng.integers(0, 8)] ^= 1 << rng.integers(0, 8)
+        if rng.random() < 0.2:
+            b = rng.integers(0, 4, 8) + a * (rng.random(8) < 0.7)
+        tally = int((a == b).sum())
+        meets = any(all(a[i] == b[i] for i in range(8) if i not in pair) for pair in simhash.OPEN_BYTES)
+        assert meets == (tally >= 6)
+        bits = sum(int(x ^ y).bit_count() for x, y in zip(a.tolist(), b.tolist()))
+        near += bits <= 2
+        assert bits > 2 or meets
+    assert near > 500
+
+
 def test_links_of_fingerprints_in_a_hot_list(spark):
     """Thousands of fingerprints that differ in two bytes only, beside others at one to three bits."""
     ship(spark)

@@ -4,9 +4,11 @@ import base64
 import gzip
 import hashlib
 import math
+import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from conftest import DATA
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from eventloom.llm import gru, warc
 from eventloom.llm.catalog import PIECE_MODEL
 from eventloom.llm.common import ship
+from eventloom.llm import html_extract
 from eventloom.llm.html_extract import extract_main_text, main_text
 from eventloom.llm.language_id import fit, learnable, predict
 from eventloom.llm.piece_sampling import Vocabulary, _Lattices, decode, decode_ids, encode, sample_batch
@@ -192,6 +195,129 @@ def test_article_without_a_mark():
     assert "cookies" not in got and "Buy" not in got and "First!" not in got
 
 
+@pytest.mark.parametrize("page,text", [
+    ('<div class="share-page"><article><p>One, two. Three.</p></article></div>', "One, two. Three."),
+    ("x<!-->y<!--->z<!-- <p>no</p> --!>!", "xyz!"),
+    ("<body><form><div><p>All of the page, in a form. As some do.</p><p>And more of it, too.</p></div></form></body>",
+     "All of the page, in a form. As some do. And more of it, too."),
+    ('<aside><article><p>Read this too, it is short.</p></article></aside><main><p>A long text, with marks; and so on. '
+     'It goes on, and on.</p><p>Here as well, of course.</p></main>',
+     "A long text, with marks; and so on. It goes on, and on. Here as well, of course."),
+    ('<div class="comments-area"><p>First, of all. Yes!</p></div><article><p>Text.</p></article>', "Text."),
+    ('<p class="post-date">3 May</p><div><p>A long text, with marks; and so on. It goes on, and on.</p><h2>A heading of it</h2>'
+     "<p>And here, it ends. Or not.</p></div>",
+     "A long text, with marks; and so on. It goes on, and on. A heading of it And here, it ends. Or not."),
+])
+def test_marks_are_weighed_against_ratios(page, text):
+    assert main_text(page) == text
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    def seconds(n):
+        start = time.process_time()
+        assert main_text("<div>a, b. " * n + "<table><td><p>x" * n).startswith("a, b.")
+        return time.process_time() - start
+
+    seconds(500)
+    assert seconds(16_000) < 40 * seconds(1000) + 0.5
+
+
+def scores_brute(page):
+    """Scores from whole paths: every path is a tuple, every sum is over all blocks below it."""
+    walk = html_extract._blocks(page)
+
+    def path(node):
+        return () if node < 0 else (*path(walk.parent[node]), node)
+
+    held = {}
+    for node, text, linked in walk.found:
+        held.setdefault(path(node), []).append((max(0, len(text) - linked), len(re.findall(r"[.,;:!?、。，؟،]", text))))
+    ratio = {p: math.log1p(sum(c for c, _ in x) / len(x) * (1 + sum(m for _, m in x) / len(x))) for p, x in held.items()}
+    smooth = {}
+    for p in ratio:
+        near = [(math.exp(-0.5 * k ** 2), [v for q, v in ratio.items() if q[:len(p) - k] == p[:len(p) - k]])
+                for k in range(min(len(p), 7))]
+        smooth[p] = 0.5 * ratio[p] + 0.5 * sum(w * sum(x) for w, x in near) / sum(w * len(x) for w, x in near)
+    cues = {p: walk.cue[p[-1]] for p in ratio}
+    most = max([smooth[p] for p in smooth if cues[p] >= 0], default=0) or max(smooth.values(), default=1) or 1
+    chars = sum(c for x in held.values() for c, _ in x)
+    out = {}
+    for p in smooth:
+        share = 0 if 1 in cues.values() or cues[p] >= 0 else sum(
+            c for q, x in held.items() if walk.against[p[-1]] in q for c, _ in x) / max(1, chars)
+        out[p[-1]] = min(1, smooth[p] / most) + {1: 0.35, 0: 0, -1: -0.5 * (1 - share)}[cues[p]]
+    return out
+
+
+def test_ratios_against_whole_paths():
+    pages = [PAGE.format(body=ARTICLE), PAGE.format(body=f"<main><div>{ARTICLE}</div></main>"), "<form><p>a, b.</p><ul><li>c<li>d</ul></form>"]
+    pages += [r["html"] for r in pq.read_table(f"{DATA}/sf0.01/pages.parquet", columns=["html"]).to_pylist()]
+    for page in pages:
+        walk = html_extract._blocks(page)
+        found, expected = html_extract.path_scores(walk), scores_brute(page)
+        assert all(found[node] == pytest.approx(score, abs=1e-6) for node, score in expected.items())
+
+
+def test_ratios_and_marks_both_decide_on_the_given_pages(monkeypatch):
+    """Without ratios no path reaches the threshold; without marks other blocks come, and some go."""
+    pages = pq.read_table(f"{DATA}/sf0.01/pages.parquet", columns=["html"])["html"].to_pylist()
+    texts = [main_text(p) for p in pages]
+    assert all(texts)
+    monkeypatch.setattr(html_extract, "_cue", lambda tag, attributes: 0)
+    assert sum(main_text(p) != t for p, t in zip(pages, texts)) > len(pages) / 2
+    monkeypatch.undo()
+    monkeypatch.setattr(html_extract, "_PUNCTUATION", re.compile("(?!)"))
+    monkeypatch.setattr(html_extract.math, "log1p", lambda x: 0.0)
+    assert not any(main_text(p) for p in pages)
+
+
+def test_network_against_one_byte_at_a_time():
+    """The same chances from a plain loop over the gates of one state, for each text by itself."""
+    rng = np.random.default_rng(8)
+    model = {k: v.astype(float) for k, v in gru.initial(3, 4, 2).items()}
+    model["bias"] += rng.normal(0, 1, model["bias"].shape)
+    bend = lambda x: x / (1 + abs(x))
+    texts = [bytes(rng.integers(0, 256, n).tolist()) for n in (1, 5, 9)]
+    codes = np.full((9, 3), gru.PAD)
+    for i, t in enumerate(texts):
+        codes[:len(t), i] = list(t)
+    got = gru.label_positions({k: v.astype(np.float32) for k, v in model.items()}, codes)
+    for i in range(3):
+        states = {}
+        for way, order in ((0, range(9)), (1, range(8, -1, -1))):
+            state = [0.0] * 4
+            for t in order:
+                given, inner = model["embed"][way][:, codes[t, i]], model["inner"][way]
+                own = [sum(inner[g][j] * state[j] for j in range(4)) for g in range(12)]
+                z = [0.5 + 0.5 * bend(given[g] + own[g]) for g in range(4)]
+                r = [0.5 + 0.5 * bend(given[4 + g] + own[4 + g]) for g in range(4)]
+                new = [bend(given[8 + g] + r[g] * (own[8 + g] + model["bias"][way][g][0])) for g in range(4)]
+                state = [new[g] + z[g] * (state[g] - new[g]) for g in range(4)]
+                states[way, t] = state
+        for t in range(len(texts[i])):
+            both = states[0, t] + states[1, t]
+            raw = [math.exp(sum(w * x for w, x in zip(model["out"][c], both)) + model["out_bias"][c][0]) for c in range(3)]
+            assert got[t, :, i] == pytest.approx([x / sum(raw) for x in raw], abs=1e-4)
+
+
+def test_workers_let_go_of_their_words(spark):
+    """After a task a worker holds the vocabulary, and no lattices."""
+    def left(batches):
+        import pyarrow as pa
+
+        from eventloom.llm import piece_sampling
+        for batch in batches:
+            edges = max([x.n_edges for x in piece_sampling._LATTICES.values()], default=0)
+            yield pa.RecordBatch.from_pydict({"edges": pa.array([edges] * batch.num_rows, pa.int64())})
+
+    ship(spark)
+    docs = spark.createDataFrame([(i, f"some words {i} of many") for i in range(50)], "doc_id long, text string").coalesce(1)
+    assert encode(docs, PIECE_MODEL, 2).count() == 100
+    assert {r.edges for r in spark.range(8).mapInArrow(left, "edges long").collect()} == {0}
+
+
 def test_pages_edges(spark):
     ship(spark)
     pages = [(1, "u", None), (2, None, ""), (None, "u", "plain text only"), (4, "u", "<<<>>> & &bogus; </p></div>"), (4, "u", "<p>x"),
