@@ -28,6 +28,8 @@ VARIANTS = {
     "sensor_aggregates_1d", "user_paths_short_parts", "service_p99_month",
     "traces_per_service_range", "log_series", "rejected_user_events", "parse_user_events_strict",
     "date_filter_zoned", "date_time_filter_zoned", "stream_conversion_rate_wide", "stream_funnel_stats_7d",
+    "stream_late_rows", "stream_open_windows", "stream_bounded_batches", "stream_compacted_table",
+    "trace_times_stored", "merged_users_range", "merged_p99_day", "merged_p99_week",
 }
 
 

@@ -53,16 +53,6 @@ def _with(*parts: str) -> str:
     return "WITH " + ", ".join(parts) + " "
 
 
-def _final(size: int) -> str:
-    """Only windows that the last watermark of a stream has closed."""
-    return (f'WHERE "windowStart" + {size} <= (SELECT max(epoch_us(ts) // 1000) - 5000 '
-            "FROM events)")
-
-
-def _closed(sql: str, size: int) -> str:
-    return f"SELECT * FROM ({sql}) {_final(size)}"
-
-
 def _count(metric: str, key: str, size: int) -> str:
     return _with(_UE) + f"""SELECT '{metric}' AS metric, ({key})::VARCHAR AS "key",
       t - t % {size} AS "windowStart", t - t % {size} + {size} AS "windowEnd",
@@ -277,7 +267,15 @@ TEXT = {
     "parse_user_events_strict": _with(_UE) + """
       SELECT "userId", event, page, t AS "timestamp", seq FROM ue""",
     "rejected_user_events": _with(_TEXT_CTE) + """
-      SELECT seq, '{' || body AS "value" FROM text WHERE seq % 7 = 0""",
+      SELECT seq, '{' || body AS "value", 'not JSON' AS reason FROM text WHERE seq % 7 = 0""",
+    "parse_odd_events": _with(_UE) + """
+      SELECT "userId", event, page, t AS "timestamp", seq FROM ue WHERE seq % 11 IN (5, 6, 9, 10)""",
+    "event_reasons": """SELECT CASE WHEN event_id % 11 = 0 THEN 'not JSON' WHEN event_id % 11 IN (1, 8) THEN 'missing field'
+        WHEN event_id % 11 = 2 THEN 'surplus field' WHEN event_id % 11 IN (3, 4, 7) THEN 'wrong type' ELSE 'taken' END AS reason,
+      count(*) AS n FROM events GROUP BY ALL""",
+    "cdc_reasons": """SELECT CASE WHEN k = 99 THEN 'not an envelope' WHEN k % 10 IN (0, 1, 3) THEN 'other operation'
+        WHEN k % 10 = 2 THEN 'missing measure' ELSE 'taken' END AS reason, count(*) AS n
+      FROM (SELECT (props->>'$.k')::INT AS k FROM events) GROUP BY ALL""",
     "topic_records": f"""
       SELECT "windowStart"::VARCHAR AS "key", '{{"windowStart":' || "windowStart"
              || ',"windowEnd":' || "windowEnd" || ',"returningUsers":' || "returningUsers"
@@ -370,23 +368,44 @@ TRACES = {
     "trace_time_index": _with(_SPANS) + """SELECT "TraceId", min("Timestamp") AS "Start",
       max("Timestamp") AS "End" FROM spans GROUP BY ALL""",
 }
+TRACES["trace_times_stored"] = TRACES["trace_time_index"]
+
+# Sketches hold small sets exactly: here they must give the exact answers.
+SKETCHES = {
+    "merged_users_1d": f"""SELECT make_timestamp("windowStart" * 1000) AS "time", "key", "value"
+      FROM ({BEHAVIOUR["unique_users_per_page_1d"]})""",
+    "merged_users_range": _with(_UE) + """SELECT make_timestamp(min(t - t % 60000) * 1000) AS "time", page AS "key",
+      count(DISTINCT "userId")::DOUBLE AS "value" FROM ue
+      WHERE t - t % 60000 BETWEEN epoch_ms(TIMESTAMP '2024-01-10 06:00:00') AND epoch_ms(TIMESTAMP '2024-01-12 18:30:00')
+      GROUP BY page""",
+    "merged_p99_day": _p99(1, "quantile_disc"), "merged_p99_week": _p99(7, "quantile_disc"),
+    "merged_p99_month": _p99(30, "quantile_disc"),
+}
+
+_LATE = _with(_UE, f"""
+  last AS (SELECT max(t) AS t FROM ue),
+  given AS (SELECT event, t FROM ue UNION ALL
+            SELECT event, ue.t FROM ue, last WHERE seq % 97 = 0 AND ue.t - ue.t % {MIN} + {MIN} > last.t - 5000)""") + f"""
+  SELECT 'events_per_type' AS metric, event AS "key", t - t % {MIN} AS "windowStart",
+         t - t % {MIN} + {MIN} AS "windowEnd", count(*)::DOUBLE AS "value" FROM given GROUP BY ALL"""
 
+# A stream over a table that ends emits what the batch over it gives.
 STREAMS = {
-    "stream_events_per_type": _closed(BEHAVIOUR["events_per_type"], MIN),
-    "stream_page_views": _closed(BEHAVIOUR["page_views"], MIN),
-    "stream_unique_users_per_page": _closed(BEHAVIOUR["unique_users_per_page"], MIN),
-    "stream_conversion_rate": _closed(BEHAVIOUR["conversion_rate"], MIN),
-    "stream_session_stats": f"""SELECT * FROM ({BEHAVIOUR["session_stats"]})
-      WHERE "sessionEnd" + {30 * MIN} <= (SELECT max(epoch_us(ts) // 1000) - 5000 FROM events)""",
-    "stream_funnel_stats": _closed(BEHAVIOUR["funnel_stats"], 5 * MIN),
-    "stream_activity_heatmap": _closed(BEHAVIOUR["activity_heatmap"], MIN),
-    "stream_retention": _closed(BEHAVIOUR["retention"], HOUR),
-    "stream_count_metrics": _closed(BEHAVIOUR["count_metrics"], MIN),
-    "stream_conversion_rate_wide": _closed(BEHAVIOUR["conversion_rate_wide"], DAY),
-    "stream_funnel_stats_7d": _closed(BEHAVIOUR["funnel_stats_7d"], 7 * DAY),
+    **{f"stream_{name}": BEHAVIOUR[name] for name in (
+        "events_per_type", "page_views", "unique_users_per_page", "conversion_rate", "session_stats",
+        "funnel_stats", "activity_heatmap", "retention", "count_metrics", "conversion_rate_wide",
+        "funnel_stats_7d")},
     "stream_sensor_aggregates": SENSORS["sensor_aggregates"],
     "stream_topic_table": _with(_UE) + """
       SELECT "userId", event, page, t AS "timestamp" FROM ue""",
+    "stream_late_rows": _LATE,
+    "stream_open_windows": f"""SELECT "key", "windowStart", "windowEnd", "value"::BIGINT AS n
+      FROM ({BEHAVIOUR["events_per_type"]})
+      WHERE "windowEnd" > (SELECT max(epoch_us(ts) // 1000) - 5000 FROM events)""",
+    "stream_bounded_batches": "SELECT 3::BIGINT AS n_batches, count(*) AS n_rows FROM events",
+    "stream_compacted_table": f"""SELECT phase, r.* FROM ({BEHAVIOUR["retention"]}) r,
+      (VALUES ('before', 3), ('during', 3), ('after', 3), ('with a later run', 4)) p(phase, runs)
+      WHERE "windowStart" // {HOUR} % 4 < runs""",
 }
 
 # A load gives back what was sent to the topic.
@@ -397,5 +416,5 @@ LOADS = {
 }
 
 ORACLE: dict[str, str] = {
-    **BEHAVIOUR, **SENSORS, **LOGS, **PANELS, **TEXT, **TIME_SERIES, **TRACES, **STREAMS, **LOADS,
+    **BEHAVIOUR, **SENSORS, **LOGS, **PANELS, **TEXT, **TIME_SERIES, **TRACES, **SKETCHES, **STREAMS, **LOADS,
 }

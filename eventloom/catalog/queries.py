@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from eventloom.config import JobConfig, shared_dir
 from eventloom.functions import predicates as p
 from eventloom.operators import behaviour as b
-from eventloom.operators import logs, panels, sensors, traces
+from eventloom.operators import logs, panels, sensors, sketches, traces
 from eventloom.operators.funnel import funnel_stats
+from eventloom.plans import trace_store
 from eventloom.schemas import RESULT_TABLES
-from eventloom.sources import decode, tables
+from eventloom.sources import decode, manifest, tables
 from eventloom.sources.files import (
     json_lines, parquet_stream, put_file_data, result_table, text_stream)
-from eventloom.streaming import runs, sinks
+from eventloom.streaming import drain, runs, sinks, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -137,20 +138,36 @@ LOGS: dict[str, Query] = {
         _logs, logs.chart_query, ["event", "device"], time_range=EVENT_RANGE),
 }
 
-_STORED: dict[tuple[str, str, str], str] = {}
+_STORED: dict[tuple, str] = {}
+
+
+def _kept(spark: SparkSession, source: DataFrame, name: str, write: Callable[[str], None]) -> str:
+    """Where `write` has written something derived from a table; anew when the table's files change."""
+    name_of = spark._jvm.org.apache.hadoop.fs.Path
+    files = []
+    for file in source.inputFiles():
+        path = name_of(file)
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        files.append((file, status.getLen(), status.getModificationTime()))
+    key = (spark.sparkContext.applicationId, name, tuple(sorted(files)))
+    if key not in _STORED:
+        path = f"{_new_root(spark)}/{name}"
+        write(path)
+        _STORED[key] = path
+    return _STORED[key]
 
 
 def _stored(name: str, metric: Query, days: tuple[date, date] | None = None) -> Query:
     """A metric read from its result table, which the first reader in an application writes."""
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         schema, sort_by, day_of = RESULT_TABLES[name]
-        key = (spark.sparkContext.applicationId, sf_dir, name)
-        if key not in _STORED:
-            path = f"{_new_root(spark)}/{name}"
+
+        def write(path: str) -> None:
             sinks.write_run(metric(spark, sf_dir).select(*schema.fieldNames()), path, "0", sort_by,
                             "batch_id", day_of, JobConfig().files_per_day)
-            _STORED[key] = path
-        return result_table(spark, _STORED[key], schema, days)
+
+        path = _kept(spark, tables.table(spark, sf_dir, "events"), name, write)
+        return result_table(spark, path, schema, days)
     return query
 
 
@@ -196,7 +213,24 @@ def _strict_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _rejected_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, bad = decode.parse_user_events(_raw_text(spark, sf_dir))
-    return bad.select("seq", "value")
+    return bad.select("seq", "value", "reason")
+
+
+def _odd_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good, _ = decode.parse_user_events(tables.odd_event_text(tables.table(spark, sf_dir, "events")))
+    return good
+
+
+def _reason_counts(tagged: DataFrame) -> DataFrame:
+    return tagged.groupBy(F.coalesce("reason", F.lit("taken")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def _event_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reason_counts(decode.tagged_events(tables.odd_event_text(tables.table(spark, sf_dir, "events"))))
+
+
+def _cdc_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reason_counts(decode.tagged_changes(_changes(spark, sf_dir)))
 
 
 def _topic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,6 +242,9 @@ TEXT: dict[str, Query] = {
     "parse_user_events": _parsed_events,
     "parse_user_events_strict": _strict_events,
     "rejected_user_events": _rejected_events,
+    "parse_odd_events": _odd_events,
+    "event_reasons": _event_reasons,
+    "cdc_reasons": _cdc_reasons,
     "topic_records": _topic_rows,
 }
 
@@ -265,12 +302,54 @@ TIME_SERIES: dict[str, Query] = {
 }
 
 
+def _trace_store(spark: SparkSession, sf_dir: str) -> str:
+    """A store of all spans that took them in two runs, so that traces lie in both."""
+    def write(root: str) -> None:
+        spans = _spans(spark, sf_dir)
+        for run in (0, 1):
+            trace_store.load_spans(spans.where(F.pmod(F.hash("SpanId"), F.lit(2)) == run), root, f"run-{run}")
+
+    return _kept(spark, tables.table(spark, sf_dir, "lineitem"), "traces", write)
+
+
 def _trace_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = _spans(spark, sf_dir)
-    detail = traces.trace_detail(spans, TRACE_ID, traces.trace_time_index(spans))
+    detail = trace_store.stored_trace_detail(spark, _trace_store(spark, sf_dir), TRACE_ID)
     return _as_json("serviceTags")(_as_json("tags")(detail))
 
 
+def _stored_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trace_store.trace_times(spark, _trace_store(spark, sf_dir))
+
+
+def _latency_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Day sketches of all services, from their stored table."""
+    def write(path: str) -> None:
+        rows = sketches.latency_sketches(_spans(spark, sf_dir), DAY)
+        sinks.write_run(rows, path, "0", sketches.LATENCY_SKETCHES, "batch_id")
+
+    path = _kept(spark, tables.table(spark, sf_dir, "lineitem"), "latency_sketches", write)
+    return spark.read.parquet(path).select("time", "ServiceName", "latency")
+
+
+def _user_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minute sketches of the users of all pages, from their stored table."""
+    def write(path: str) -> None:
+        rows = sketches.user_sketches(_events(spark, sf_dir))
+        sinks.write_run(rows, path, "0", sketches.USER_SKETCHES, "batch_id", "windowStart")
+
+    path = _kept(spark, tables.table(spark, sf_dir, "events"), "user_sketches", write)
+    return spark.read.parquet(path).select("page", "windowStart", "windowEnd", "users")
+
+
+SKETCHES: dict[str, Query] = {
+    "merged_users_1d": _on(_user_sketches, sketches.merged_users, "1 day"),
+    "merged_users_range": _on(_user_sketches, sketches.merged_users, None, EVENT_RANGE),
+    "merged_p99_day": _on(_latency_sketches, sketches.merged_quantile, DAY),
+    "merged_p99_week": _on(_latency_sketches, sketches.merged_quantile, 7 * DAY),
+    "merged_p99_month": _on(_latency_sketches, sketches.merged_quantile, 30 * DAY),
+}
+
+
 def _trace_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = traces.trace_spans(_spans(spark, sf_dir))
     return _as_json("serviceTags")(_as_json("tags")(spans))
@@ -297,6 +376,7 @@ TRACES: dict[str, Query] = {
     "service_names": _on(_spans, traces.service_names),
     "root_trace_ids": _on(_spans, traces.root_trace_ids),
     "trace_time_index": _on(_spans, traces.trace_time_index),
+    "trace_times_stored": _stored_times,
 }
 
 
@@ -316,16 +396,91 @@ def _loaded(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def _streamed(name: str, metric: Callable[[DataFrame], DataFrame] | None = None) -> Query:
-    """Run one metric as a stream over the whole table into its result table and read that back."""
+    """Run one metric as a stream over the whole table into its result table and read that back.
+
+    The table ends, so its last windows are closed by a marker. The stream takes all files in one
+    micro-batch, and the marker may come with them: a batch drops what the one before it made late.
+    """
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         root = _new_root(spark)
-        events = b.with_event_time(tables.user_events(_event_stream(spark, sf_dir)))
-        rows = (metric or runs.METRICS[name])(events)
+        events = drain.with_markers(tables.user_events(_event_stream(spark, sf_dir)), root)
+        drain.put_marker(spark, root, events.schema)
+        rows = (metric or runs.METRICS[name])(b.with_event_time(events))
         runs.start_metric(spark, name, rows, root, _job(spark)).awaitTermination()
         return _loaded(spark, root, name)
     return query
 
 
+#: The moment at which the table is cut for streams that are stopped and started again.
+HALF = datetime(2024, 1, 16)
+
+
+def _streamed_with_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs over one checkpoint, and a drain: the first half of the events, the second, and then
+    every 97th once more. Those are late, but for the ones whose window is still open."""
+    root = _new_root(spark)
+    events = tables.user_events(tables.table(spark, sf_dir, "events"))
+    half = int(HALF.replace(tzinfo=timezone.utc).timestamp() * 1000)
+
+    def start():
+        stream = drain.with_markers(parquet_stream(spark, f"{root}/in", events.schema), root)
+        rows = b.events_per_type(b.with_event_time(stream))
+        return runs.start_metric(spark, "events_per_type", rows, root, _job(spark))
+
+    early, again = F.col("timestamp") < half, F.pmod("seq", F.lit(97)) == 0
+    for part in (early, ~early, again):
+        events.where(part).write.mode("append").parquet(f"{root}/in")
+        if part is not again:
+            start().awaitTermination()
+    drain.run_and_drain(start, lambda: drain.put_marker(spark, root, events.schema))
+    return _loaded(spark, root, "events_per_type")
+
+
+def _open_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stream over the whole table still holds when it is stopped without a drain."""
+    root = _new_root(spark)
+    rows = b.events_per_type(b.with_event_time(tables.user_events(_event_stream(spark, sf_dir))))
+    runs.start_metric(spark, "events_per_type", rows, root, _job(spark)).awaitTermination()
+    return state.open_windows(spark, f"{root}/_checkpoints/events_per_type")
+
+
+def _in_bounded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages in six files, two files a micro-batch: how many batches the load took, and its rows."""
+    root, config = _new_root(spark), JobConfig(files_per_batch=2)
+    texts = tables.user_event_text(tables.table(spark, sf_dir, "events"))
+    texts.repartition(6, "seq").select("value").write.text(f"{root}/topic")
+    messages = text_stream(spark, f"{root}/topic", config.files_per_batch)
+    sinks.topic_table(messages, tables.USER_EVENT, f"{root}/table", f"{root}/_checkpoint",
+                      config=config).awaitTermination()
+    return spark.read.parquet(f"{root}/table").agg(
+        F.count_distinct("batch_id").alias("n_batches"), F.count("*").alias("n_rows"))
+
+
+def _compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that was loaded in three runs: read before it is compacted, while the compacted files are
+    there but no manifest names them, and after; a fourth run that comes later is read beside them."""
+    path = f"{_new_root(spark)}/retention"
+    schema, sort_by, day_of = RESULT_TABLES["retention"]
+    rows = BEHAVIOUR["retention"](spark, sf_dir)
+    part = F.pmod(F.floor(F.col("windowStart") / 3_600_000), F.lit(4))
+
+    def load(run: int) -> None:
+        sinks.write_run(rows.where(part == run), path, f"{run:012d}", sort_by, "batch_id", day_of)
+
+    def read(phase: str) -> DataFrame:
+        return result_table(spark, path, schema).select(F.lit(phase).alias("phase"), "*")
+
+    for run in range(3):
+        load(run)
+    before = read("before")
+    prepared = manifest.prepare(spark, path, sort_by)
+    during = read("during")
+    manifest.publish(spark, path, prepared)
+    after = read("after")
+    load(3)
+    return before.unionByName(during).unionByName(after).unionByName(read("with a later run"))
+
+
 def _streamed_sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _new_root(spark)
     changes = tables.cdc_text(_event_stream(spark, sf_dir))
@@ -364,12 +519,16 @@ STREAMS: dict[str, Query] = {
     "stream_conversion_rate_wide": _streamed(
         "conversion_rate", lambda df: b.conversion_rate(df, "5 days", "1 day")),
     "stream_funnel_stats_7d": _streamed(
-        "funnel_stats", lambda df: funnel_stats(df, "7 days", slice="1 hour")),
+        "funnel_stats", lambda df: funnel_stats(df, "7 days")),
     "stream_sensor_aggregates": _streamed_sensors,
     "stream_topic_table": _streamed_topic_load,
+    "stream_late_rows": _streamed_with_late_rows,
+    "stream_open_windows": _open_windows,
+    "stream_bounded_batches": _in_bounded_batches,
+    "stream_compacted_table": _compacted,
 }
 
 QUERIES: dict[str, Query] = {
-    **BEHAVIOUR, **SENSORS, **LOGS, **PANELS, **TEXT, **TIME_SERIES, **TRACES, **STREAMS,
+    **BEHAVIOUR, **SENSORS, **LOGS, **PANELS, **TEXT, **TIME_SERIES, **TRACES, **SKETCHES, **STREAMS,
     **LOADS,
 }

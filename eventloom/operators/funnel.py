@@ -16,12 +16,14 @@ from eventloom.functions.timeparts import floor_ms, to_ms
 STEPS = ("view", "click", "purchase")
 COUNTS = ("viewed", "clicked", "purchased", "completedVC", "completedCP", "completedVCP")
 
-# Clicks of one user and window are spread over this many join keys.
-_SALTS = 16
+#: Time levels of the streaming fold. Each joins 1000 or 60 summaries of the one below at most.
+LEVELS = ("1 millisecond", "1 second", "1 minute", "1 hour", "1 day")
+#: Slots of a window that a user's clicks are summed up in before they are joined.
+_SLOTS = 1000
 
 
 def funnel_stats(df: DataFrame, size: str = "5 minutes", steps: Sequence[str] = STEPS,
-                 seq: str = "seq", slice: str = "1 second") -> DataFrame:
+                 seq: str = "seq", slice: str = LEVELS[0]) -> DataFrame:
     """Funnel counts per window. `slice` only matters for streams (see `_funnel_stream`).
 
     The third step needs the second, so `completedCP` always equals `completedVCP`.
@@ -41,14 +43,14 @@ def _funnel_batch(df: DataFrame, size: str, steps: Sequence[str], seq: str) -> D
     """Constant-size state per user and window; nothing is gathered.
 
     A click lies between the first view and the last purchase or it does not. The first and last
-    click settle that for most users. For the rest the clicks are read again and joined to the
-    open question, salted so that a hot user's clicks spread over many tasks.
+    click settle that for most users. For the rest the first and last click of every slot, a
+    thousandth of the window, are looked at: a hot user brings a thousand rows at most. What is open
+    then has view, purchase and clicks around them all in one slot, whose clicks are read again.
     """
     view, click, purchase = (F.col("event") == step for step in steps)
     placed = df.select(
         "userId", floor_ms(F.col("timestamp"), to_ms(size)).alias("ws"), "event",
-        F.when(F.col("event").isin(list(steps)), _position(seq)).alias("pos"),
-        F.col(seq).alias("seq"))
+        F.when(F.col("event").isin(list(steps)), _position(seq)).alias("pos"), "timestamp")
     # The join below implies this filter for one of the two uses of `marks`; stated here it holds
     # for both, and their shuffle is shared.
     placed = placed.filter(F.col("userId").isNotNull() & F.col("ws").isNotNull())
@@ -74,16 +76,22 @@ def _funnel_batch(df: DataFrame, size: str, steps: Sequence[str], seq: str) -> D
         flag(last_purchase.isNotNull()).alias("purchased"),
         flag(last_click > first_view).alias("vc"), flag(certain).alias("vcp"))
 
-    open_question = marks.filter(possible & ~certain).select(
-        "userId", "ws", "first_view", "last_purchase",
-        F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
-    clicks = placed.filter(click).select(
-        "userId", "ws", "pos", F.pmod(F.xxhash64("seq"), F.lit(_SALTS)).cast("int").alias("salt"))
+    asked = marks.filter(possible & ~certain).select(
+        "userId", "ws", F.col("first_view").alias("lo"), F.col("last_purchase").alias("hi"))
+    inside = lambda c: (F.col(c) > F.col("lo")) & (F.col(c) < F.col("hi"))
+    slot = F.floor((F.col("timestamp") - F.col("ws")) / F.lit(max(1, to_ms(size) // _SLOTS)))
+    clicks = placed.filter(click).withColumn("slot", slot)
+    met = (
+        clicks.groupBy("userId", "ws", "slot").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+        .join(asked, ["userId", "ws"]).filter((F.col("last") > F.col("lo")) & (F.col("first") < F.col("hi")))
+        .withColumn("yes", inside("first") | inside("last"))
+    )
+    seen = met.filter("yes").select("userId", "ws")
+    still = met.filter("NOT yes").select("userId", "ws", "slot", "lo", "hi")
+    again = clicks.join(still, ["userId", "ws", "slot"]).filter(inside("pos")).select("userId", "ws")
     none = F.lit(0).cast("bigint")
     answered = (
-        clicks.join(open_question, ["userId", "ws", "salt"])
-        .filter((F.col("pos") > F.col("first_view")) & (F.col("pos") < F.col("last_purchase")))
-        .select("userId", "ws").distinct()
+        seen.unionByName(again).distinct()
         .select("ws", none.alias("viewed"), none.alias("clicked"), none.alias("purchased"),
                 none.alias("vc"), (none + 1).alias("vcp"))
     )
@@ -125,28 +133,31 @@ def _append(s: Column, t: Column) -> Column:
 
 def _funnel_stream(df: DataFrame, size: str, steps: Sequence[str], seq: str,
                    slice: str) -> DataFrame:
-    """Events are put in order inside short slices only, and each slice becomes six flags.
+    """Events are put in order inside one `slice` only, by default a millisecond, where `seq` decides;
+    each slice becomes six flags, and flags are joined level by level up to the window.
 
-    A window then joins at most size/slice summaries per user, so what is held per key is bounded
-    by one user's events within one slice, not within a whole window.
+    No state row holds more than the events of one user and slice, or 1000 summaries: the seconds of a
+    hot user become one row each, and so do the minutes and hours.
     """
     if to_ms(size) % to_ms(slice):
         raise ValueError("size must be a multiple of slice")
     step_event = F.when(F.col("event").isin(list(steps)),
                         F.struct("timestamp", F.col(seq).alias("seq"), "event"))
-    slices = (
+    part = (
         df.groupBy("userId", F.window("et", slice).alias("w"))
         .agg(F.sort_array(F.collect_list(step_event)).alias("steps"))
-        .select("userId", "w", _fold(
-            F.col("steps"), lambda s, x: _add_event(s, x, steps)).alias("summary"))
-    )
-    users = (
-        slices.groupBy("userId", F.window(F.window_time("w"), size).alias("w2"))
-        .agg(F.sort_array(F.collect_list(F.struct(F.col("w.start").alias("at"), "summary")))
-             .alias("parts"))
-        .select(F.col("w2").alias("w"),
-                _fold(F.col("parts"), lambda s, x: _append(s, x["summary"])).alias("s"))
+        .select("userId", "w", _fold(F.col("steps"), lambda s, x: _add_event(s, x, steps)).alias("s"))
     )
+    between = [x for x in LEVELS if to_ms(slice) < to_ms(x) < to_ms(size)
+               and to_ms(x) % to_ms(slice) == 0 and to_ms(size) % to_ms(x) == 0]
+    for level in [*between, size]:
+        part = (
+            part.groupBy("userId", F.window(F.window_time("w"), level).alias("up"))
+            .agg(F.sort_array(F.collect_list(F.struct(F.col("w.start").alias("at"), "s"))).alias("parts"))
+            .select("userId", F.col("up").alias("w"),
+                    _fold(F.col("parts"), lambda s, x: _append(s, x["s"])).alias("s"))
+        )
+    users = part
     flags = ("s.v", "s.c", "s.p", "s.vc", "s.vcp", "s.vcp")
     totals = users.groupBy(F.window(F.window_time("w"), size).alias("w3")).agg(
         *[F.sum(F.col(f).cast("bigint")).alias(name) for f, name in zip(flags, COUNTS)])

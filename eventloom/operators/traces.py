@@ -15,9 +15,6 @@ from eventloom.functions.quantiles import approx_quantile, exact_quantile
 ERROR_STATUS = ("Error", "STATUS_CODE_ERROR")
 HIDDEN_SERVICE = "loadgenerator"
 
-# A ranking of at most this many traces is small enough to send to every executor.
-_BROADCAST_ROWS = 10_000
-
 TimeRange = tuple[datetime, datetime]
 
 
@@ -75,15 +72,14 @@ def trace_list(spans: DataFrame, time_range: TimeRange | None = None,
     """The slowest traces with their start, first service and longest span in ms.
 
     The ranking shuffles only (trace, longest span) through hash aggregation. Start and service
-    are then looked up for the `limit` winners alone; only a short ranking is broadcast.
+    are then looked up for the `limit` winners alone; Spark knows the ranking's size from its limit, and
+    sends it to every executor where that is below its threshold.
     """
     chosen = _visible(_selected(spans, time_range, services, trace_ids))
     slowest = (
         chosen.groupBy("TraceId").agg(F.max("Duration").alias("ns"))
         .orderBy(F.desc("ns"), "TraceId").limit(limit)
     )
-    if limit <= _BROADCAST_ROWS:
-        slowest = F.broadcast(slowest)
     first = F.min_by("ServiceName", F.struct("Timestamp", "SpanId"))
     return (
         chosen.join(slowest, "TraceId")
@@ -122,7 +118,8 @@ def trace_detail(spans: DataFrame, trace_id: str, index: DataFrame | None = None
     """The timed spans of one trace, latest first.
 
     With the time index, the trace's own time span (plus a second) is a scalar subquery that
-    reaches the scan as a range, so only files of that time are read.
+    reaches the scan as a range, so only files of that time are read; where spans have a `month`,
+    only the folders of those months are read.
     """
     mine = spans.filter((F.col("TraceId") == trace_id) & (F.col("Duration") > 0))
     if time_range is not None:
@@ -132,6 +129,8 @@ def trace_detail(spans: DataFrame, trace_id: str, index: DataFrame | None = None
         start = entry.agg(F.min("Start")).scalar()
         end = entry.agg(F.max("End") + F.expr("interval 1 second")).scalar()
         mine = mine.filter(F.col("Timestamp").between(start, end))
+        if "month" in spans.columns:      # a store that is split by month
+            mine = mine.filter(F.col("month").between(F.trunc(start, "month"), F.trunc(end, "month")))
     return (
         mine.orderBy(F.desc("Timestamp"), F.desc("Duration"), "SpanId").limit(limit)
         .select(*_trace_columns())

@@ -23,19 +23,19 @@ REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
 
 
 def run_logs(spark: SparkSession, path: str, table_path: str, run_id: str,
-             jdbc: dict[str, str] | None = None) -> dict[str, DataFrame]:
+             jdbc: dict[str, str] | None = None, jdbc_mode: str = "append") -> dict[str, DataFrame]:
     """Decode a log file, load it as one run and return the reports over that run.
 
     The text is decoded once: the reports read the loaded columnar run, where each scans only its
-    own column. Loading a run again replaces it. With `jdbc` options the rows are also appended to
-    a relational table.
+    own column. Loading a run again replaces it. With `jdbc` options the rows also go to a
+    relational table; `jdbc_mode="overwrite"` empties it first, so that a rerun repeats nothing.
     """
     lines = parse_logs(json_lines(spark, path))
     write_run(lines, table_path, run_id, ["timestamp"])
     declared = T.StructType([*lines.schema.fields, T.StructField("run_id", T.StringType())])
     run = spark.read.schema(declared).parquet(table_path).where(F.col("run_id") == run_id).drop("run_id")
     if jdbc:
-        to_jdbc(run, jdbc)
+        to_jdbc(run, jdbc, jdbc_mode)
     reports = {name: report(run) for name, report in REPORTS.items()}
     reports["user_paths"] = logs.user_paths(run, order=("timestamp", "sessionId"))
     return reports

@@ -11,6 +11,11 @@ def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
 
 USER_EVENT = _struct(("userId", _S), ("event", _S), ("page", _S), ("timestamp", _L))
 
+# A decoded event, or a text that was set aside and why, as the streaming job keeps both.
+DECODED = T.StructType([
+    *USER_EVENT.fields, T.StructField("seq", _L, True), T.StructField("reason", _S, True),
+    T.StructField("value", _S, True), T.StructField("kind", _S, True)])
+
 # A decoded event as the streaming job keeps it: `seq` is the arrival order.
 STORED_EVENT = T.StructType([*USER_EVENT.fields, T.StructField("seq", _L, True)])
 
@@ -58,6 +63,8 @@ SPAN = _struct(
     ("SpanAttributes", T.MapType(_S, _S)), ("ResourceAttributes", T.MapType(_S, _S)),
 )
 
+TRACE_TIMES = _struct(("TraceId", _S), ("Start", _TS), ("End", _TS))
+
 LOG_RECORD = _struct(("Timestamp", _TS), ("Body", _S), ("SeverityText", _S))
 
 # Result tables: record schema, the order rows are kept in inside each file, and the column whose

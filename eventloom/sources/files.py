@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from eventloom.functions.predicates import date_filter
 from eventloom.schemas import LOG_LINE
+from eventloom.sources.manifest import live_table
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType = LOG_LINE) -> DataFrame:
@@ -42,9 +43,12 @@ def result_table(spark: SparkSession, path: str, schema: T.StructType,
                  days: tuple[date, date] | None = None) -> DataFrame:
     """A table written by `streaming.sinks.to_table`; the load bookkeeping is left out.
 
-    `days` (first, last) lists only those days' files of a table that is split by day.
+    `days` (first, last) lists only those days' files of a table that is split by day. Of a table that
+    was compacted the folders that its newest manifest leaves alive are read.
     """
-    table = spark.read.parquet(path)
+    table = live_table(spark, path, days)
+    if table is None:
+        table = spark.read.parquet(path)
     if days is not None:
         table = date_filter(table, "day", *days)
     return table.select(*schema.fieldNames())

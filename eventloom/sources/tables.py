@@ -65,6 +65,29 @@ def raw_event_text(events: DataFrame) -> DataFrame:
     return user_event_text(events).withColumn("value", F.concat(stray, "value"))
 
 
+def odd_event_text(events: DataFrame) -> DataFrame:
+    """As `user_event_text`, with the ways in which a record can be unusual, by `seq` modulo 11.
+
+    0 broken text, 1 no event, 2 a surplus member, 3 an object for the user, 4 a list for the page, 5 the
+    user named twice, 6 the time as text, 7 a time that is no number, 8 no page (null); the rest plain.
+    """
+    case = F.pmod("seq", F.lit(11))
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    member = lambda name, c: F.concat(F.lit(f'"{name}":'), c)
+    pick = lambda digit, c, other: F.when(case == digit, c).otherwise(other)
+    user = pick(3, F.concat(F.lit('{"id":'), quoted(F.col("userId")), F.lit("}")), quoted(F.col("userId")))
+    page = F.when(case == 4, F.concat(F.lit("["), quoted(F.col("page")), F.lit("]"))).when(
+        case == 8, F.lit("null")).otherwise(quoted(F.col("page")))
+    time = F.when(case == 6, quoted(F.col("timestamp").cast("string"))).when(
+        case == 7, F.lit('"soon"')).otherwise(F.col("timestamp").cast("string"))
+    members = F.array_compact(F.array(
+        F.when(case == 5, F.lit('"userId":"nobody"')), member("userId", user),
+        F.when(case != 1, member("event", quoted(F.col("event")))), member("page", page), member("timestamp", time),
+        F.when(case == 2, F.lit('"more":1'))))
+    return user_events(events).select(
+        F.concat(pick(0, F.lit("{{"), F.lit("{")), F.array_join(members, ","), F.lit("}")).alias("value"), "seq")
+
+
 def cdc_text(events: DataFrame) -> DataFrame:
     """Change envelopes as JSON text with their record time.
 

@@ -9,11 +9,14 @@ from eventloom.config import JobConfig
 
 
 def topic_options(config: JobConfig, topic: str) -> dict[str, str]:
-    return {
+    options = {
         "kafka.bootstrap.servers": config.bootstrap,
         "subscribe": topic,
         "startingOffsets": "earliest",
     }
+    if config.offsets_per_batch:
+        options["maxOffsetsPerTrigger"] = str(config.offsets_per_batch)
+    return options
 
 
 def topic_stream(spark: SparkSession, config: JobConfig, topic: str) -> DataFrame:

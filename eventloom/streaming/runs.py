@@ -6,16 +6,19 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from eventloom.config import JobConfig
 from eventloom.operators import behaviour as b
 from eventloom.operators.funnel import funnel_stats
 from eventloom.operators.sensors import sensor_aggregates, sensor_messages
-from eventloom.schemas import RESULT_TABLES, STORED_EVENT
+from eventloom.schemas import DECODED, RESULT_TABLES, STORED_EVENT, USER_EVENT
 from eventloom.session import ROCKSDB
-from eventloom.sources.decode import parse_cdc, parse_user_events
+from eventloom.sources.decode import (
+    CDC_REASONS, EVENT_REASONS, count_reasons, parse_cdc, readings_of, tagged_changes, tagged_events)
 from eventloom.sources.files import parquet_stream
+from eventloom.streaming.drain import put_marker, with_markers
 from eventloom.streaming.sinks import to_table, to_topic, topic_records, topic_table
 
 METRICS: dict[str, Callable[[DataFrame], DataFrame]] = {
@@ -62,9 +65,9 @@ def state_settings(spark: SparkSession, partitions: int | None) -> Iterator[None
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-def event_table_stream(spark: SparkSession, root: str) -> DataFrame:
+def event_table_stream(spark: SparkSession, root: str, files_per_batch: int | None = None) -> DataFrame:
     """The decoded events of `run_user_behaviour` as they arrive."""
-    return parquet_stream(spark, f"{root}/events", STORED_EVENT)
+    return _decoded(spark, root, "event", files_per_batch).select(*STORED_EVENT.fieldNames())
 
 
 def start_metric(spark: SparkSession, name: str, rows: DataFrame, root: str, config: JobConfig,
@@ -73,50 +76,88 @@ def start_metric(spark: SparkSession, name: str, rows: DataFrame, root: str, con
     _, sort_by, day_of = RESULT_TABLES[name]
     with state_settings(spark, config.state_partitions):
         return to_table(rows, f"{root}/{name}", f"{root}/_checkpoints/{name}", sort_by, day_of,
-                        config.files_per_day, output_mode, available_now)
+                        config.files_per_day, output_mode, available_now, config)
 
 
 def run_user_behaviour(spark: SparkSession, raw: DataFrame, root: str,
                        config: JobConfig | None = None, metrics: Sequence[str] = SEPARATE,
-                       available_now: bool = True) -> list[StreamingQuery]:
+                       available_now: bool = True, drain: bool = False) -> list[StreamingQuery]:
     """Raw event text to the metric tables.
 
-    The text is decoded once, into an event table; every metric reads that table as its own
+    The text is decoded once, into a table of events; every metric reads that table as its own
     stream, so metrics can be restarted or added one by one without decoding again. `raw` has
-    `value` and `seq`, the order in which equal times arrived. Rejected text is kept aside.
+    `value` and `seq`, the order in which equal times arrived. Rejected text is kept aside with the
+    reason. `drain` is for a source that ends: the windows that are open at its end
+    are closed and emitted too, and events that come later are late.
     """
     config = config or JobConfig()
-    good, bad = parse_user_events(raw)
-    events = good.select(*STORED_EVENT.fieldNames())
-    decode = [
-        _table_stream(events, f"{root}/events", root, "events", available_now),
-        _table_stream(bad, f"{root}/rejected", root, "rejected", available_now),
-    ]
+    if drain and not available_now:
+        raise ValueError("only a source that is read up can be drained")
+    decode = decode_events(spark, raw, root, config, available_now)
     if available_now:
-        for query in decode:
+        decode[-1].awaitTermination()
+
+    def start(name: str) -> StreamingQuery:
+        events = event_table_stream(spark, root, config.files_per_batch)
+        if drain:
+            events = with_markers(events, root)
+        rows = METRICS[name](b.with_event_time(events, config.event_delay))
+        return start_metric(spark, name, rows, root, config, available_now=available_now)
+
+    queries = [start(name) for name in metrics]
+    if drain:
+        for query in queries:
             query.awaitTermination()
-    queries = []
-    for name in metrics:
-        events = b.with_event_time(event_table_stream(spark, root), config.event_delay)
-        queries.append(start_metric(
-            spark, name, METRICS[name](events), root, config, available_now=available_now))
+        put_marker(spark, root, STORED_EVENT)
+        queries = [start(name) for name in metrics]
     return decode + queries
 
 
-def _table_stream(rows: DataFrame, path: str, root: str, name: str,
-                  available_now: bool) -> StreamingQuery:
+def decode_events(spark: SparkSession, raw: DataFrame, root: str, config: JobConfig | None = None,
+                  available_now: bool = True) -> list[StreamingQuery]:
+    """Event text to the table `decoded`, and what was set aside from there to the table `rejected`.
+
+    Each text is read and decoded once. The progress of the first query counts what was taken and what
+    was set aside, by reason. Both tables have Spark's exactly-once file log, which readers follow.
+    """
+    config = config or JobConfig()
+    tagged = count_reasons(tagged_events(raw), EVENT_REASONS, "decoded")
+    rows = tagged.select(
+        *[F.col(f"event.{name}") for name in USER_EVENT.fieldNames()], "seq", "reason",
+        F.when(F.col("reason").isNotNull(), F.col("value")).alias("value"),
+        F.when(F.col("reason").isNull(), "event").otherwise("rejected").alias("kind"))
+    first = _table_stream(rows, f"{root}/decoded", root, "decoded", config, available_now, ["kind"])
+    if available_now:
+        first.awaitTermination()
+    bad = _decoded(spark, root, "rejected", config.files_per_batch).select("value", "seq", "reason")
+    return [first, _table_stream(bad, f"{root}/rejected", root, "rejected", config, available_now)]
+
+
+def _decoded(spark: SparkSession, root: str, kind: str, files_per_batch: int | None) -> DataFrame:
+    """Rows of one kind of the decoded table; files of the other kind are not read."""
+    return parquet_stream(spark, f"{root}/decoded", DECODED, files_per_batch).where(F.col("kind") == kind)
+
+
+def _table_stream(rows: DataFrame, path: str, root: str, name: str, config: JobConfig,
+                  available_now: bool, partition_by: Sequence[str] = ()) -> StreamingQuery:
     """Append-only file table with Spark's own exactly-once file log."""
     writer = rows.writeStream.format("parquet").option("path", path).option(
         "checkpointLocation", f"{root}/_checkpoints/{name}")
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    return writer.trigger(**config.trigger(available_now)).start()
 
 
 def run_sensors(spark: SparkSession, changes: DataFrame, root: str,
                 config: JobConfig | None = None, size: str = "10 seconds",
                 available_now: bool = True) -> StreamingQuery:
-    """Change envelopes to a log of window refinements; `latest_per_window` reads it."""
+    """Change envelopes to a log of window refinements; `latest_per_window` reads it.
+
+    The progress counts the readings and what gave none, by reason.
+    """
     config = config or JobConfig()
-    rows = sensor_aggregates(parse_cdc(changes), size, delay=config.sensor_delay)
+    readings = readings_of(count_reasons(tagged_changes(changes), CDC_REASONS, "changes"))
+    rows = sensor_aggregates(readings, size, delay=config.sensor_delay)
     return start_metric(spark, "sensor_aggregates", rows, root, config, "update", available_now)
 
 
@@ -156,5 +197,5 @@ def run_loads(messages: Mapping[str, DataFrame], root: str, config: JobConfig |
         schema, sort_by, day_of = RESULT_TABLES[name]
         queries.append(topic_table(texts, schema, f"{root}/{name}", f"{root}/_checkpoints/{name}",
                                    sort_by, day_of, config.files_per_day,
-                                   available_now=available_now))
+                                   available_now=available_now, config=config))
     return queries

@@ -29,7 +29,7 @@ def to_topic(records: DataFrame, config: JobConfig, topic: str, checkpoint: str,
         .option("kafka.bootstrap.servers", config.bootstrap).option("topic", topic)
         .option("checkpointLocation", checkpoint).outputMode(output_mode)
     )
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    return writer.trigger(**config.trigger(available_now)).start()
 
 
 def jdbc_options(url: str, table: str, user: str | None = None, password: str | None = None,
@@ -85,20 +85,21 @@ def write_run(df: DataFrame, path: str, run_id: str, sort_by: Sequence[str] = ()
 
 def to_table(stream: DataFrame, path: str, checkpoint: str, sort_by: Sequence[str] = (),
              day_of: str | None = None, files_per_day: int | None = None, output_mode: str = "append",
-             available_now: bool = True) -> StreamingQuery:
+             available_now: bool = True, config: JobConfig | None = None) -> StreamingQuery:
     """Continuous load of a table: every micro-batch is a run, so a replayed batch replaces itself."""
     def write(batch: DataFrame, batch_id: int) -> None:
         write_run(batch, path, f"{batch_id:012d}", sort_by, "batch_id", day_of, files_per_day)
 
     writer = stream.writeStream.foreachBatch(write).outputMode(output_mode).option(
         "checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    return writer.trigger(**(config or JobConfig()).trigger(available_now)).start()
 
 
 def topic_table(messages: DataFrame, schema: T.StructType, path: str, checkpoint: str,
                 sort_by: Sequence[str] = (), day_of: str | None = None, files_per_day: int | None = None,
-                value: str = "value", available_now: bool = True) -> StreamingQuery:
+                value: str = "value", available_now: bool = True,
+                config: JobConfig | None = None) -> StreamingQuery:
     """Topic of JSON rows into a table."""
     rows = messages.select(F.from_json(value, schema).alias("r")).select("r.*")
     return to_table(
-        rows, path, checkpoint, sort_by, day_of, files_per_day, available_now=available_now)
+        rows, path, checkpoint, sort_by, day_of, files_per_day, available_now=available_now, config=config)

@@ -5,6 +5,7 @@ from datetime import datetime
 
 import pytest
 
+from eventloom import jobs
 from eventloom.operators import sensors
 from eventloom.sources import decode, files, topics
 from eventloom.config import JobConfig, shared_dir
@@ -52,6 +53,47 @@ def test_bad_event_fails_the_job_on_request(spark, rows):
             good.collect()
 
 
+def test_unusual_records(spark, rows):
+    texts = {
+        '{"userId":{"a":1},"event":"view","page":"/p","timestamp":5}': "wrong type",
+        '{"userId":"u","event":"view","page":["p"],"timestamp":5}': "wrong type",
+        '{"userId":"u","event":"view","page":"/p","timestamp":{"a":1}}': "wrong type",
+        '{"userId":"u","userId":{"a":1},"event":"view","page":"/p","timestamp":5}': "wrong type",
+        '{"userId":"u","event":"view","page":"/p","timestamp":5,"timestamp":null}': "missing field",
+        '{"userId":"u","event":"view","page":"/p","timestamp":5,"a":{"b":[1]}}': "surplus field",
+        '{"event":"view","page":"/p","timestamp":5,"more":1}': "missing field",
+        '{"userId":"u","event":"view","page":"/p","timestamp":5} x': None,
+        '{"userId":"u","event":"view","page":"/p","timestamp":NaN}': "not JSON",
+        "[1]": "not JSON", "null": "not JSON", "{bad": "not JSON",
+        '{"userId":"x","event":"view","page":"/p","timestamp":5,"userId":"u"}': None,
+        '{"userId":"u","event":"view","page":"/p","timestamp":9,"timestamp":5}': None,
+        '{"userId":"u","event":"view","page":"/p","timestamp":"5"}': None,
+        '{"userId":"u","userId":{"a":1},"userId":"u","event":"view","page":"/p","timestamp":5}': None,
+    }
+    given = lines(spark, list(texts))
+    assert {r.value: r.reason for r in decode.tagged_events(given).collect()} == texts
+    good, bad = decode.parse_user_events(given)
+    assert {tuple(r)[1:] for r in good.select("seq", "userId", "event", "page", "timestamp").collect()} == {("u", "view", "/p", 5)}
+    assert good.count() == 5 and bad.count() == len(texts) - 5
+    brackets = lines(spark, ['{"userId":"[u]","event":"{view","page":"/p","timestamp":5}'])
+    assert [(r.userId, r.event) for r in decode.parse_user_events(brackets)[0].collect()] == [("[u]", "{view")]
+
+
+@pytest.mark.parametrize("allowed", ["true", "false"])
+def test_no_setting_changes_what_the_gate_and_the_decoder_take(spark, allowed):
+    key = "spark.sql.variant.allowDuplicateKeys"
+    before = spark.conf.get(key)
+    spark.conf.set(key, allowed)
+    try:
+        texts = ['{"a":1,"a":2}', '1,2', '1],[2', '"x" y', '"\t"', "NaN", "01", "// c\n1", "'a'", '1,"x"],["y"', " [] ", "\ufeff1", '"\\x"', "-0.5e3"]
+        kept = [r.value for r in decode.json_gate(lines(spark, texts)).orderBy("seq").collect()]
+        assert kept == ['{"a":1,"a":2}', " [] ", "-0.5e3"]
+        twice = lines(spark, ['{"userId":"x","event":"view","page":"/p","timestamp":5,"userId":"u"}'])
+        assert [r.userId for r in decode.parse_user_events(twice)[0].collect()] == ["u"]
+    finally:
+        spark.conf.set(key, before)
+
+
 def envelope(op="c", after=True, **changes):
     row = {"id": 1, "device_id": "d", "temperature": 20.0, "humidity": 30.0, "pressure": 1000.0,
            "timestamp": "t", "unknown": 9}
@@ -70,6 +112,11 @@ def test_cdc_keeps_complete_inserts(spark, rows):
     assert got == [(0, "d", 20.0, 30.0, 1000.0, "t"), (1, "d", 20.0, 30.0, 1000.0, "")]
     snapshots = decode.parse_cdc(lines(spark, texts), ops=("c", "r"))
     assert snapshots.count() == 3
+    tagged = decode.tagged_changes(lines(spark, texts))
+    assert rows(decode.readings_of(tagged)) == got
+    none = "not an envelope"
+    assert [r.reason for r in tagged.orderBy("seq").collect()] == [
+        None, None, *["other operation"] * 3, "no new row", *["missing measure"] * 4, *[none] * 9]
 
 
 def test_sensor_windows_and_messages(spark, rows):
@@ -115,6 +162,21 @@ def test_topic_options():
     options = topics.topic_options(JobConfig(bootstrap="b:1"), "raw_events")
     assert options == {"kafka.bootstrap.servers": "b:1", "subscribe": "raw_events",
                        "startingOffsets": "earliest"}
+    bounded = topics.topic_options(JobConfig(bootstrap="b:1", offsets_per_batch=500), "raw_events")
+    assert bounded == options | {"maxOffsetsPerTrigger": "500"}
+
+
+def test_settings_of_a_job(monkeypatch):
+    args = jobs.arguments(["behaviour", "--once", "--drain", "--offsets-per-batch", "9", "--batch-interval", "5 seconds"])
+    config = jobs.config_of(args)
+    assert (config.offsets_per_batch, config.files_per_batch, args.drain) == (9, None, True)
+    assert config.trigger(False) == {"processingTime": "5 seconds"} and config.trigger(True) == {"availableNow": True}
+    monkeypatch.setenv("EVENTLOOM_FILES_PER_BATCH", "4")
+    assert JobConfig().files_per_batch == 4 and JobConfig(files_per_batch=2).files_per_batch == 2
+    with pytest.raises(SystemExit):
+        jobs.arguments(["behaviour", "--drain"])
+    load = jobs.arguments(["logs", "--input", "i", "--table", "t", "--run-id", "1", "--jdbc-url", "jdbc:x", "--jdbc-mode", "overwrite"])
+    assert (load.jdbc_url, load.jdbc_table, load.jdbc_mode) == ("jdbc:x", "log_events", "overwrite")
 
 
 def test_topic_rows_carry_arrival_order(spark, rows):

@@ -3,6 +3,7 @@
 import json
 import os
 import random
+from collections import Counter
 from datetime import date, datetime, timedelta
 
 import pyarrow.parquet as pq
@@ -14,9 +15,10 @@ from eventloom.operators import behaviour as b
 from eventloom.operators import sensors
 from eventloom.operators.funnel import funnel_stats
 from eventloom.schemas import RESULT_TABLES
+from eventloom.sources import manifest
 from eventloom.sources.decode import parse_cdc
 from eventloom.sources.files import parquet_stream, result_table, text_stream
-from eventloom.streaming import runs, sinks
+from eventloom.streaming import drain, runs, sinks, state
 
 CONFIG = JobConfig(state_partitions=2, files_per_day=2)
 COLUMNS = ["userId", "event", "page", "timestamp", "seq"]
@@ -76,6 +78,97 @@ def test_funnel_slices_do_not_change_the_result(spark, rows, tmp_path, slice):
     assert got == rows(funnel_stats(b.with_event_time(spark.createDataFrame(given, SCHEMA))))
 
 
+@pytest.mark.parametrize("name", list(runs.METRICS))
+def test_drained_stream_equals_batch(spark, rows, tmp_path, name):
+    """Several micro-batches, a restart, and the marker at the end: no window is left behind."""
+    given = random_events(17, n=250, span=200 * MIN)
+    source, root = str(tmp_path / "in"), str(tmp_path / "out")
+    metric, schema = runs.METRICS[name], spark.createDataFrame([], SCHEMA).schema
+    for chunk in in_order_chunks(given, 3):
+        put(spark, source, chunk)
+
+    def start():
+        stream = drain.with_markers(parquet_stream(spark, source, schema, 1), root)
+        return runs.start_metric(spark, name, metric(b.with_event_time(stream)), root, CONFIG)
+
+    drain.run_and_drain(start, lambda: drain.put_marker(spark, root, schema))
+    got = rows(result_table(spark, f"{root}/{name}", RESULT_TABLES[name][0]))
+    assert got == rows(metric(b.with_event_time(spark.createDataFrame(given, SCHEMA))))
+    drain.run_and_drain(start, lambda: drain.put_marker(spark, root, schema))      # once more changes nothing
+    assert rows(result_table(spark, f"{root}/{name}", RESULT_TABLES[name][0])) == got
+
+
+def test_state_of_the_funnel_holds_no_long_list(spark, rows, tmp_path):
+    """One user has a third of the rows, hundreds of them in one second; no state row lists more than
+    the events of a millisecond, or the summaries of one level."""
+    given = random_events(18, n=600, span=2_000, grain=4)
+    source, root = str(tmp_path / "in"), str(tmp_path / "out")
+    put(spark, source, given)
+    runs.start_metric(spark, "funnel_stats", funnel_stats(stream_of(spark, source)), root, CONFIG).awaitTermination()
+    longest = {}
+    for operator in range(5):
+        sizes = [len(value) for r in state.state_rows(spark, f"{root}/_checkpoints/funnel_stats", operator).collect()
+                 for value in r["value"].asDict().values() if isinstance(value, list)]
+        longest[operator] = max(sizes, default=0)
+    per_ms = Counter((u, t) for u, e, _, t, _ in given)
+    # From the result to the source: totals, windows, minutes, seconds, milliseconds.
+    assert longest[0] == 0 and longest[1] <= 5 and longest[2] <= 60 and longest[3] <= 1000
+    assert longest[4] <= max(per_ms.values()) < 20
+
+
+def test_open_windows_of_a_stopped_stream(spark, tmp_path):
+    source, root = str(tmp_path / "in"), str(tmp_path / "out")
+    put(spark, source, [("u", "view", "/p", 1_000, 0), ("u", "view", "/p", 9 * MIN + 58_000, 1), ("v", "click", "/p", 10 * MIN, 2),
+                        ("v", "click", "/p", 10 * MIN + 1, 3)])
+    rows_ = b.events_per_type(stream_of(spark, source))
+    runs.start_metric(spark, "events_per_type", rows_, root, CONFIG).awaitTermination()
+    held = state.open_windows(spark, f"{root}/_checkpoints/events_per_type").collect()
+    assert sorted(map(tuple, held)) == [("click", 10 * MIN, 11 * MIN, 2), ("view", 9 * MIN, 10 * MIN, 1)]
+
+
+def test_progress_counts_what_was_set_aside(spark, tmp_path):
+    (tmp_path / "raw").mkdir()
+    texts = ['{"userId":"u","event":"view","page":"/p","timestamp":5}', "{bad", '{"userId":"u"}', "", '{"userId":"v","event":"click","page":"/p","timestamp":6}']
+    (tmp_path / "raw" / "a").write_text("\n".join(texts))
+    raw = text_stream(spark, str(tmp_path / "raw")).selectExpr("value", "0L AS seq")
+    first, second = runs.decode_events(spark, raw, str(tmp_path / "lake"), CONFIG)
+    second.awaitTermination()
+    seen = first.lastProgress["observedMetrics"]["decoded"]
+    assert (seen["taken"], seen["not JSON"], seen["missing field"], seen["wrong type"]) == (2, 1, 1, 0)
+    kept = spark.read.parquet(str(tmp_path / "lake" / "rejected")).collect()
+    assert sorted((r.value, r.reason) for r in kept) == [('{"userId":"u"}', "missing field"), ("{bad", "not JSON")]
+
+
+def test_compaction_changes_nothing_for_readers(spark, rows, tmp_path):
+    path, day = str(tmp_path / "t"), 86_400_000
+    schema, sort_by, day_of = RESULT_TABLES["page_views"]
+    given = [("m", f"k{i * 7 % 5}", i * day // 20, 0, float(i)) for i in range(60)]
+    load = lambda part, run: sinks.write_run(
+        spark.createDataFrame(part, schema), path, f"{run:012d}", sort_by, "batch_id", day_of, files_per_day=2)
+    read = lambda: rows(result_table(spark, path, schema))
+    for run in range(3):
+        load(given[run::3], run)
+    assert read() == sorted(given) and manifest.versions(spark, path) == []
+    prepared = manifest.prepare(spark, path, sort_by)
+    assert read() == sorted(given)                      # files of both kinds are there
+    assert manifest.publish(spark, path, prepared) == 1
+    assert read() == sorted(given) and len(manifest.live_folders(spark, path)) == 3
+    load(given[1::3], 1)                                # a run that is written again is in the compacted one
+    assert read() == sorted(given)
+    more = [("m", "later", day, 0, 9.0)]
+    load(more, 3)
+    assert read() == sorted(given + more)
+    one = result_table(spark, path, schema, (date(1970, 1, 2), date(1970, 1, 2)))
+    assert rows(one) == sorted(r for r in given + more if day <= r[2] < 2 * day)
+    assert manifest.compact(spark, path, sort_by) == 2 and read() == sorted(given + more)
+    assert manifest.compact(spark, path, sort_by) is None
+    gone = manifest.vacuum(spark, path, keep=1)
+    assert gone and read() == sorted(given + more)
+    assert len(list((tmp_path / "t").glob("day=*/batch_id=*"))) == len(manifest.live_folders(spark, path)) == 3
+    load([("m", "last", 2 * day, 0, 1.0)], 4)
+    assert manifest.vacuum(spark, path, keep=1) == [] and len(read()) == 62
+
+
 def test_late_rows_are_dropped_and_open_ones_kept(spark, rows, tmp_path):
     source, root = str(tmp_path / "in"), str(tmp_path / "out")
 
@@ -183,6 +276,7 @@ def test_user_behaviour_job_from_text(spark, rows, tmp_path):
     for query in runs.run_user_behaviour(spark, raw, root, CONFIG):
         query.awaitTermination()
         assert query.exception() is None
+    assert spark.read.parquet(f"{root}/decoded").where("kind = 'event'").count() == len(given) + 1
     assert [r.value for r in spark.read.parquet(f"{root}/rejected").collect()] == [
         '{"userId":"broken"']
     events = b.with_event_time(spark.createDataFrame(given, SCHEMA))
@@ -192,6 +286,21 @@ def test_user_behaviour_job_from_text(spark, rows, tmp_path):
         assert got == rows(metric(events)), name
 
 
+def test_user_behaviour_job_of_a_topic_that_ends(spark, rows, tmp_path):
+    given = random_events(19, n=80, span=60 * MIN)
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "a.json").write_text("\n".join(
+        json.dumps({"seq": e[4], "body": json.dumps(dict(zip(COLUMNS[:4], e)))}) for e in given))
+    raw = text_stream(spark, str(tmp_path / "raw")).selectExpr(
+        "get_json_object(value, '$.body') AS value", "CAST(get_json_object(value, '$.seq') AS bigint) AS seq")
+    root, names = str(tmp_path / "lake"), ["events_per_type", "session_stats", "funnel_stats"]
+    for query in runs.run_user_behaviour(spark, raw, root, CONFIG, names, drain=True):
+        query.awaitTermination()
+    events = b.with_event_time(spark.createDataFrame(given, SCHEMA))
+    for name in names:
+        assert rows(result_table(spark, f"{root}/{name}", RESULT_TABLES[name][0])) == rows(runs.METRICS[name](events)), name
+
+
 def test_user_behaviour_job_keeps_running(spark, rows, tmp_path):
     """All streams start at once, before any event was decoded, and take what arrives later."""
     given = random_events(16, n=60, span=20 * MIN)
