@@ -9,7 +9,8 @@ from llm_cases import SCHEMA, edge_texts, rows, words
 import corpus_pipeline
 from eventloom.llm.common import ship
 from eventloom.llm.mixing import mix_sources, pivotal_rounding
-from eventloom.llm.topk_search import build_tree, search_tree, top_k
+from eventloom.llm.topk_search import (
+    _searched, build_tree, part_of, quantised, search_tree, top_k, upper_splits)
 
 
 def floor(x):
@@ -51,6 +52,40 @@ def test_more_empty_vectors_than_a_leaf_holds(spark):
     assert sorted(tuple(r) for r in top_k(df).collect()) == brute(vectors, 10)      # 600 empty ones, leaf 256
 
 
+def test_parts_of_the_upper_splits():
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(4000, 5))
+    splits = upper_splits(points, 16)
+    parts = part_of(splits, points)
+    assert sorted(Counter(parts.tolist())) == list(range(16)) and max(Counter(parts.tolist()).values()) < 400
+    same = upper_splits(np.ones((50, 5)), 4)
+    assert set(part_of(same, np.ones((3, 5)))) == {0} and set(part_of(same, np.zeros((3, 5)))) == {0}
+
+
+def test_queries_go_to_few_shards(spark):
+    """Clustered vectors in many shards: what is sent does not grow with shards x blocks, results are whole."""
+    ship(spark)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 6))
+    vectors = [(i, (centres[i % 40] * 3 + rng.normal(size=6) * 0.02).tolist()) for i in range(6000)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    sent, queries = {}, sum(i % 25 == 0 for i, _ in vectors)
+    for shard_rows in (300, 75):
+        found, reached = _searched(quantised(df, "vec_id", "embedding", 1024), 3, 25, shard_rows, 16, 4)
+        rows_ = reached.collect()
+        shards, blocks = len({r.shard for r in rows_}), len({r.block for r in rows_})
+        sent[shard_rows] = sum(len(r.places) // 4 for r in rows_)
+        assert sent[shard_rows] < 0.4 * shards * queries and len(rows_) < 0.5 * shards * blocks
+        got = sorted((r.query_id, -r.score, r.vec_id) for r in found.collect())
+        best = {q: [x[1:] for x in got if x[0] == q][:3] for q in {x[0] for x in got}}
+        whole = np.floor(np.array([v for _, v in vectors]) * 1024)
+        for q in range(0, 6000, 25):
+            scores = whole @ whole[q]
+            order = sorted((-int(s), i) for i, s in enumerate(scores) if i != q)[:3]
+            assert best[q] == order
+    assert sent[75] < 4 * sent[300]
+
+
 def test_search_looks_into_few_leaves():
     """Where near vectors share a leaf, bounds leave most of the tree alone."""
     rng = np.random.default_rng(2)
