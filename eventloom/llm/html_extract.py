@@ -147,8 +147,7 @@ class _Blocks:
 
     def _push(self, tag: str, attributes: str) -> None:
         said, above = _cue(tag, attributes), self.stack[-1][1] if self.stack else 0
-        # The inner mark counts, but one for the article inside one against it only makes up for that.
-        cue = -1 if said < 0 else min(1, self.cue[above] + 1) if said else self.cue[above]
+        cue = -1 if -1 in (said, self.cue[above]) else max(said, self.cue[above])
         key = (above, tag if said >= 0 else f"-{tag}", cue)
         if key not in self.nodes:
             node = self.nodes[key] = len(self.parent)

@@ -16,8 +16,9 @@ from eventloom.functions.timeparts import floor_ms, to_ms
 STEPS = ("view", "click", "purchase")
 COUNTS = ("viewed", "clicked", "purchased", "completedVC", "completedCP", "completedVCP")
 
-#: Time levels of the streaming fold. Each joins 1000 or 60 summaries of the one below at most.
+#: Time levels of the streaming fold, and how many summaries of one level the next may join.
 LEVELS = ("1 millisecond", "1 second", "1 minute", "1 hour", "1 day")
+_FAN_IN = 1000
 #: Slots of a window that a user's clicks are summed up in before they are joined.
 _SLOTS = 1000
 
@@ -131,6 +132,19 @@ def _append(s: Column, t: Column) -> Column:
         vcp=s["vcp"] | t["vcp"] | (s["vc"] & t["p"]) | (s["v"] & t["cp"]))
 
 
+def _between(slice: str, size: str) -> list[str]:
+    """As few levels as take a slice to the window with at most _FAN_IN summaries joined in each."""
+    at, whole, out = to_ms(slice), to_ms(size), []
+    while whole > at * _FAN_IN:
+        fits = [x for x in LEVELS if at < to_ms(x) <= min(at * _FAN_IN, whole - 1)
+                and to_ms(x) % at == 0 and whole % to_ms(x) == 0]
+        if not fits:
+            break
+        out.append(max(fits, key=to_ms))
+        at = to_ms(out[-1])
+    return out
+
+
 def _funnel_stream(df: DataFrame, size: str, steps: Sequence[str], seq: str,
                    slice: str) -> DataFrame:
     """Events are put in order inside one `slice` only, by default a millisecond, where `seq` decides;
@@ -148,9 +162,7 @@ def _funnel_stream(df: DataFrame, size: str, steps: Sequence[str], seq: str,
         .agg(F.sort_array(F.collect_list(step_event)).alias("steps"))
         .select("userId", "w", _fold(F.col("steps"), lambda s, x: _add_event(s, x, steps)).alias("s"))
     )
-    between = [x for x in LEVELS if to_ms(slice) < to_ms(x) < to_ms(size)
-               and to_ms(x) % to_ms(slice) == 0 and to_ms(size) % to_ms(x) == 0]
-    for level in [*between, size]:
+    for level in [*_between(slice, size), size]:
         part = (
             part.groupBy("userId", F.window(F.window_time("w"), level).alias("up"))
             .agg(F.sort_array(F.collect_list(F.struct(F.col("w.start").alias("at"), "s"))).alias("parts"))
