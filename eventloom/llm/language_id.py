@@ -7,12 +7,14 @@ position gets a distribution over the languages, and a document's is the mean ov
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 from eventloom.llm import gru
 from eventloom.llm.common import slices, uniform, utf8
@@ -117,20 +119,24 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", row:
     so rows that repeat get the same answer. Of languages with the same chance the first by name is
     taken. Long texts are read in segments, whole.
     """
-    text = F.col(text_col)
-
-    def label(texts: pa.Array) -> pa.Array:
-        langs, scores = [], []
-        for some in slices([pa.RecordBatch.from_arrays([texts], ["text"])], "text", 1 << 20):
-            blank = np.asarray(some.column(0).is_null()) | (model.weights is None)
-            chances = np.zeros((some.num_rows, 1)) if model.weights is None else pooled(model, *utf8(some.column(0)))
-            best = chances.argmax(axis=1)
-            langs += [UNKNOWN if b else model.labels[i] for b, i in zip(blank.tolist(), best.tolist())]
-            scores += np.where(blank, 0.0, np.clip(chances.max(axis=1), 0.0, 1.0)).tolist()
-        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
-
-    # Only the text goes to the workers. A condition on the answer must not have it worked out again.
-    labelled = F.arrow_udf(label, "lang_pred string, score double").asNondeterministic()
-    return docs.select(
-        F.struct("*").alias(row), labelled(F.when(text.rlike(r"\p{L}"), text)).alias("_found")
-    ).select(row, "_found.lang_pred", "_found.score")
+    given = docs.select(F.struct("*").alias("row"), F.col(text_col).rlike(r"\p{L}").alias("letters"))
+    place = docs.columns.index(text_col)
+    # A typed schema, not text: column names of the table may hold any character.
+    schema = (
+        StructType().add("row", given.schema["row"].dataType)
+        .add("lang_pred", StringType()).add("score", DoubleType())
+    )
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            texts = whole.column(0).field(place)        # the text goes to the worker once, in its row
+            for batch in slices([pa.RecordBatch.from_arrays([*whole.columns, texts], ["row", "letters", "text"])], "text", 1 << 20):
+                blank = ~np.asarray(batch.column(1).fill_null(False).to_numpy(zero_copy_only=False), bool) | (model.weights is None)
+                chances = np.zeros((batch.num_rows, 1)) if model.weights is None else pooled(model, *utf8(batch.column(2)))
+                best = chances.argmax(axis=1)
+                langs = [UNKNOWN if b else model.labels[i] for b, i in zip(blank.tolist(), best.tolist())]
+                score = np.where(blank, 0.0, np.clip(chances.max(axis=1), 0.0, 1.0))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(langs, pa.string()), pa.array(score)], ["row", "lang_pred", "score"])
+
+    return given.mapInArrow(label, schema).withColumnRenamed("row", row)
