@@ -55,14 +55,15 @@ def _day_of(df: DataFrame, column: str) -> Column:
 
 def write_run(df: DataFrame, path: str, run_id: str, sort_by: Sequence[str] = (),
               run_column: str = "run_id", day_of: str | None = None,
-              files_per_day: int | None = None) -> None:
+              files_per_day: int | None = None, skip_empty: bool = False) -> None:
     """Write one run of a load into partitions of its own; writing the run again replaces them.
 
     Files are kept in `sort_by` order. With `day_of` the run is also split by the day of that column,
     so that a read of some days lists only those; rows are first dealt out in ranges of day and sort
     key, in as many parts as the run's size asks for, so the files of a day do not overlap. The rows
     are held meanwhile, because ranges are found by a first pass over them. `files_per_day` sets the
-    number of files instead, for small runs; rows are then dealt out evenly.
+    number of files instead, for small runs; rows are then dealt out evenly. With `skip_empty` held rows
+    are counted first, and a run without any, as most micro-batches between two windows are, costs no more.
     """
     out, parts, held = df.withColumn(run_column, F.lit(run_id)), [run_column], None
     if day_of is not None:
@@ -70,6 +71,9 @@ def write_run(df: DataFrame, path: str, run_id: str, sort_by: Sequence[str] = ()
         if files_per_day is None:
             held = out.persist()
             out = held.repartitionByRange("day", *sort_by)
+            if skip_empty and not held.count():
+                held.unpersist()
+                return
         else:
             out = out.repartition("day", F.pmod(F.xxhash64(*df.columns), F.lit(files_per_day)))
     try:
@@ -88,7 +92,7 @@ def to_table(stream: DataFrame, path: str, checkpoint: str, sort_by: Sequence[st
              available_now: bool = True, config: JobConfig | None = None) -> StreamingQuery:
     """Continuous load of a table: every micro-batch is a run, so a replayed batch replaces itself."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_run(batch, path, f"{batch_id:012d}", sort_by, "batch_id", day_of, files_per_day)
+        write_run(batch, path, f"{batch_id:012d}", sort_by, "batch_id", day_of, files_per_day, skip_empty=True)
 
     writer = stream.writeStream.foreachBatch(write).outputMode(output_mode).option(
         "checkpointLocation", checkpoint)
