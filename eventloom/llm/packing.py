@@ -26,6 +26,8 @@ from eventloom.llm.common import slices, stored, utf8
 
 #: Words that a worker keeps with their ids, and ids it keeps; beyond, it begins anew.
 _MOST_WORDS, _MOST_IDS = 400_000, 4_000_000
+#: New words that are encoded at once.
+_TOGETHER = 16_384
 #: Characters of a text that are cut into words at once.
 _PIECE = 1 << 20
 #: Partitions whose totals are summed up together.
@@ -78,7 +80,12 @@ class WordIds:
         self.ids = np.concatenate((self.ids, ids))
         self.bounds = np.concatenate((self.bounds, self.bounds[-1] + np.cumsum(sizes)))
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
+        """Some at a time: what the tokenizer returns takes a hundred bytes a token."""
+        for at in range(0, len(words), _TOGETHER):
+            self._learn_some(words[at:at + _TOGETHER])
+
+    def _learn_some(self, new: list[str]) -> None:
         """Runs of letters are encoded one behind the other and told apart by their closing tokens."""
         runs = [w for w in new if _letters(w)]
         texts = [" ".join(runs[i:i + 128]) for i in range(0, len(runs), 128)]
@@ -130,7 +137,7 @@ class WordIds:
 def _tokenised(tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, before = WordIds(tokenizer), TaskContext.get().partitionId(), 0
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             ids, sizes = words.of(batch.column(1).cast(pa.large_string()).fill_null(""))
             bounds = np.concatenate(([0], np.cumsum(sizes + 1)))
             closed = np.full(bounds[-1], end_id, np.int32)
