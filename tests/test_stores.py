@@ -4,8 +4,13 @@ import random
 import re
 from datetime import datetime, timedelta
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from compare import difference
+from eventloom.catalog.oracle import ORACLE
+from eventloom.catalog.queries import QUERIES
 from eventloom.operators import behaviour as b
 from eventloom.operators import sketches, traces
 from eventloom.operators.funnel import funnel_stats
@@ -34,6 +39,22 @@ def test_merged_users_are_within_the_error(spark):
     assert {r.key for r in hour} == per_hour.keys() and all(abs(r.value / per_hour[r.key] - 1) < 0.04 for r in hour)
 
 
+@pytest.mark.parametrize("name", ["merged_users_1d", "merged_users_range"])
+def test_merged_users_of_large_groups_are_exact(spark, tmp_path, name):
+    """30,000 users on each of two pages; half of them come again on the next day."""
+    n = F.col("id")
+    spark.range(120_000).select(
+        n.alias("event_id"),
+        F.timestamp_micros(F.lit(1_704_931_200_000_000) + n * 1_000_000).cast("timestamp_ntz").alias("ts"),
+        F.when(n % 1009 != 0, F.pmod(n, F.lit(60_000)) + F.when(n < 60_000, 0).otherwise(30_000)).alias("user_id"),
+        F.lit("view").alias("event_type"), n.cast("double").alias("value"),
+        F.concat(F.lit('{"k": '), n % 2, F.lit("}")).alias("props"),
+    ).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert difference(QUERIES[name](spark, str(tmp_path)), con, ORACLE[name]) is None
+
+
 def spans(spark, n=20_000):
     rng = random.Random(3)
     given = [(T0 + timedelta(seconds=rng.randrange(10 * 86_400)), f"t{i % 4000}", f"s{i}", "", rng.choice("ab"), "op",
