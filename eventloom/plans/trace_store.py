@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from eventloom.operators.traces import trace_detail, trace_time_index
 from eventloom.schemas import SPAN, TRACE_TIMES
 
+#: Rows that a task sorts, about: spans are some 450 bytes each in memory, entries of the index some 80.
+_SPANS_A_PART, _ENTRIES_A_PART = 250_000, 1_000_000
+
 
 def load_spans(spans: DataFrame, root: str, run_id: str) -> None:
     """One run of spans into the store; loading it again replaces it.
@@ -16,22 +19,31 @@ def load_spans(spans: DataFrame, root: str, run_id: str) -> None:
     one month's folder and in few files of it. The run's part of the index comes from the stored spans,
     sorted by trace and with Bloom filters, so that a look-up opens the pages of one trace only. A trace
     whose spans come in several runs has an entry in each; look-ups take the widest.
+
+    Rows are counted first and dealt out in as many ranges as that asks for. Left to itself Spark joins
+    ranges by their compressed size, and one range unpacked does not fit a task's memory. Equal times may
+    lie in several ranges, so that a moment with very many spans is no task of its own.
     """
-    spark, parts = spans.sparkSession, ["month", "run_id"]
+    spark, parts, rows_in = spans.sparkSession, ["month", "run_id"], spans.count()
     rows = spans.withColumns({"month": F.trunc("Timestamp", "month"), "run_id": F.lit(run_id)})
     (
-        rows.repartitionByRange("Timestamp").sortWithinPartitions(*parts, "Timestamp")
+        rows.repartitionByRange(_ranges(rows_in, _SPANS_A_PART), "Timestamp", "TraceId")
+        .sortWithinPartitions(*parts, "Timestamp")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(f"{root}/spans")
     )
     stored = stored_spans(spark, root).where(F.col("run_id") == run_id)
     (
         trace_time_index(stored).withColumn("run_id", F.lit(run_id))
-        .repartitionByRange("TraceId").sortWithinPartitions("run_id", "TraceId")
+        .repartitionByRange(_ranges(rows_in, _ENTRIES_A_PART), "TraceId").sortWithinPartitions("run_id", "TraceId")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .option("parquet.bloom.filter.enabled#TraceId", "true").partitionBy("run_id").parquet(f"{root}/trace_times")
     )
 
 
+def _ranges(rows: int, per_range: int) -> int:
+    return max(1, -(-rows // per_range))
+
+
 def stored_spans(spark: SparkSession, root: str) -> DataFrame:
     """The spans with their `month` and `run_id`, by which the files are split."""
     return spark.read.schema(f"{_ddl(SPAN)}, month date, run_id string").parquet(f"{root}/spans")

@@ -95,6 +95,20 @@ def test_look_up_reads_the_time_of_one_trace(spark, tmp_path):
     assert trace_store.stored_trace_detail(spark, root, "nobody").collect() == []
 
 
+def test_spans_are_sorted_in_parts_that_follow_their_number(spark, tmp_path, monkeypatch):
+    """2,000 spans, a third of them at one moment, of 100 rows a part; the index of 700 traces of 100, too."""
+    monkeypatch.setattr(trace_store, "_SPANS_A_PART", 100)
+    monkeypatch.setattr(trace_store, "_ENTRIES_A_PART", 100)
+    given = [(T0 + timedelta(hours=i if i % 3 else 0), f"t{i % 700}", f"s{i}", "", "a", "op", 1, "Ok", {}, {}) for i in range(2000)]
+    root = str(tmp_path / "store")
+    trace_store.load_spans(spark.createDataFrame(given, SPAN), root, "r")
+    for table, rows, files in (("spans", 2000, 15), ("trace_times", 700, 15)):
+        held = spark.read.parquet(f"{root}/{table}").groupBy(F.input_file_name()).count().collect()
+        assert sum(r["count"] for r in held) == rows and len(held) >= files
+        assert max(r["count"] for r in held) <= 300
+    assert trace_store.trace_times(spark, root).count() == 700
+
+
 def test_hot_user_of_the_batch_funnel(spark, rows):
     """One user has a third of the clicks; view and purchase lie close together in the middle of them."""
     hot = [("hot", "click", "/p", t, t) for t in range(0, 300_000, 25)]
