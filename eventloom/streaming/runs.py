@@ -48,9 +48,12 @@ SHARED = (
 def state_settings(spark: SparkSession, partitions: int | None) -> Iterator[None]:
     """RocksDB state, sessions merged before the shuffle (a hot user's rows shrink to sessions), and
     a partition count that the checkpoint then keeps. The session's own settings come back after.
+
+    State rows are not counted for the progress: that costs a look-up with every write and removal.
     """
     wanted = {
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+        "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
         "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     }
     if partitions:

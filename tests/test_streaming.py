@@ -385,3 +385,15 @@ def test_jdbc_options():
     options = sinks.jdbc_options("jdbc:x", "log_events", driver="d", connections=4)
     assert options == {"url": "jdbc:x", "dbtable": "log_events", "driver": "d",
                        "batchsize": "10000", "numPartitions": "4"}
+
+
+def test_state_rows_are_not_counted(spark, tmp_path):
+    """A count of state rows costs a look-up with every write; the session's own setting comes back."""
+    path, name = str(tmp_path / "in"), "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"
+    put(spark, path, random_events(50))
+    before = spark.conf.get(name, None)
+    query = runs.start_metric(spark, "retention", b.retention(stream_of(spark, path)), str(tmp_path / "out"), CONFIG)
+    query.awaitTermination()
+    assert max(op["numRowsUpdated"] for p in query.recentProgress for op in p["stateOperators"]) > 0
+    assert all(op["numRowsTotal"] <= 0 for p in query.recentProgress for op in p["stateOperators"])
+    assert spark.conf.get(name, None) == before
