@@ -4,8 +4,10 @@ Shingles are put in one order for all documents, rare ones first. Two sets that
 share a shingle among the first few of each (n - ceil(least * n) + 1 of n), so only those are
 indexed. Pairs that meet in a posting list are held against bit maps of their sets first, which rule
 out most that are not similar and none that are, and then compared shingle by shingle. A first round
-compares each document with a few others of its list, drawn by hashes; the second leaves out pairs
-that are already in one component, so that a large group of copies does not give all its pairs.
+compares the documents whose SimHash fingerprints the index over byte positions links, and each
+document with a few others of its list, drawn by hashes; the second leaves out pairs that are already
+in one component, so that a large group of copies does not give all its pairs. Fingerprints alone miss
+pairs near the threshold; the lists find those.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.common import parts_for, slices, stored
 from eventloom.llm.components import connected_components
-from eventloom.llm.simhash import shingle_hashes
+from eventloom.llm.simhash import bit_counts, fingerprint_links, shingle_hashes
 
 #: About so many documents tell which shingles are frequent, and so many shingles are held as such.
 #: Both set the order only, so they change the cost and never the result.
@@ -48,19 +50,27 @@ def bit_map(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set, as a signed number: the bits that more than half of its shingles have."""
+    most = 2 * bit_counts(hashes.view(np.uint64), np.array([0, len(hashes)]))[0] > len(hashes)
+    return int(np.packbits(most, bitorder="little").view("<i8")[0])
+
+
 def _sets(shingle: int, least: Fraction | None = None, hot: dict[int, int] | None = None):
-    """`key`, `n` and the shingles of every text: all, or those to be indexed, and the map, where `least` is given."""
+    """`key`, `n` and the shingles of every text: all, or where `least` is given those to be indexed, the map and
+    the fingerprint."""
     frequent = np.array(sorted(hot or ()), np.int64)
     counts = np.array([hot[h] for h in frequent.tolist()] if hot else [], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
-            sizes, held, maps = [], [], []
+            sizes, held, maps, prints = [], [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 found = shingle_set(text or b"", shingle)
                 sizes.append(len(found))
                 if least is not None:
                     maps.append(bit_map(found))
+                    prints.append(fingerprint(found))
                     rank = np.zeros(len(found), np.int64)
                     if len(frequent):
                         at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
@@ -74,6 +84,7 @@ def _sets(shingle: int, least: Fraction | None = None, hot: dict[int, int] | Non
             if least is not None:
                 starts = np.concatenate(([0], np.cumsum([len(m) for m in maps]))).astype(np.int32)
                 columns["map"] = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(maps)))
+                columns["fp"] = pa.array(prints, pa.int64())
             yield pa.RecordBatch.from_pydict(columns)
 
     return run
@@ -114,6 +125,28 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int
         .select("a", "b"), "near-links")
 
 
+def _alike(nodes: DataFrame) -> DataFrame:
+    """`a`, `b`: nodes to compare as their fingerprints are equal, or joined by the index over byte positions."""
+    held = nodes.select("node", "fp")
+    least = held.groupBy("fp").agg(F.min("node").alias("first"))
+    equal = held.join(least, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    at = lambda s: least.select(F.col("fp").alias(f"fp_{s}"), F.col("first").alias(s))
+    linked = fingerprint_links(least.select("fp")).distinct().select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
+    return equal.union(linked.join(at("a"), "fp_a").join(at("b"), "fp_b").select("a", "b")).where("a <> b")
+
+
+def _unlike_lists(entries: DataFrame) -> DataFrame:
+    """One `shingle` for each posting list of two nodes or more; of lists with the same nodes, one.
+
+    All shingles of a passage are in the same documents, which would meet in each of them. What `may` asks
+    holds for similar sets at every shingle they share, so one list finds them. Lists are compared by the
+    number of their nodes and 128 bits of hashes.
+    """
+    seen = entries.groupBy("shingle").agg(
+        F.count("*").alias("many"), *(F.bit_xor(F.xxhash64("node", F.lit(h))).alias(f"nodes_{h}") for h in range(2)))
+    return seen.where("many > 1").groupBy("many", "nodes_0", "nodes_1").agg(F.min("shingle").alias("shingle")).select("shingle")
+
+
 def _among(texts: DataFrame, keys: DataFrame) -> DataFrame:
     """The texts whose key is among `keys`. Texts stay where they are while the keys, as 64-bit hashes, are
     few enough to go to every executor, which is counted first; else both sides are shuffled."""
@@ -144,7 +177,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select(F.explode("shingles").alias("shingle")).groupBy("shingle").count().where("count > 2")
         .orderBy(F.col("count").desc(), "shingle").limit(_HOT).collect())
     nodes = stored(
-        texts.mapInArrow(_sets(shingle, level, hot), f"{_SETS_DDL}, map array<long>").dropDuplicates(["key"])
+        texts.mapInArrow(_sets(shingle, level, hot), f"{_SETS_DDL}, map array<long>, fp long").dropDuplicates(["key"])
         .withColumn("node", F.monotonically_increasing_id()), "near-nodes")
 
     def may(a: str, b: str) -> Column:
@@ -156,17 +189,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     row = F.struct("n", "node", F.col("at").cast("long").alias("at"))
     together = Window.partitionBy("shingle")
+    entries = nodes.select("node", "n", F.posexplode("shingles").alias("at", "shingle"))
     lists = stored(
-        nodes.select("node", "n", F.posexplode("shingles").alias("at", "shingle"))
-        .select("shingle", row.alias("x"))
-        .withColumns({"hubs": F.array(*(F.min_by("x", F.xxhash64("x.node", F.lit(h))).over(together) for h in range(_HUBS))),
-                      "many": F.count("*").over(together)})
-        .where("many > 1").drop("many"), "near-lists")
+        entries.join(_unlike_lists(entries), "shingle", "left_semi").select("shingle", row.alias("x"))
+        .withColumn("hubs", F.array(*(F.min_by("x", F.xxhash64("x.node", F.lit(h))).over(together) for h in range(_HUBS)))),
+        "near-lists")
     stars = (
         lists.select("x", F.explode(F.array_distinct("hubs")).alias("hub"))
         .where((F.col("x.node") != F.col("hub.node")) & may("x", "hub")))
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    first = stored(stars.select(*pair(F.col("x.node"), F.col("hub.node"))).distinct(), "near-pairs")
+    alike = stored(_alike(nodes), "near-alike").select(*pair(F.col("a"), F.col("b")))
+    first = stored(stars.select(*pair(F.col("x.node"), F.col("hub.node"))).union(alike).distinct(), "near-pairs")
     links = _verified(first, nodes, texts, shingle, level)
 
     placed = stored(

@@ -120,3 +120,33 @@ def test_maps_of_sets_of_any_size():
         strange = bit_map(np.unique(rng.integers(-2**63, 2**63 - 1, n)))
         if len(strange) == len(bit_map(base)) and n > 900:
             assert int(np.bitwise_count((strange ^ bit_map(base)).view(np.uint64)).sum()) > 2 * n / 9
+
+
+def test_fingerprints_and_unlike_lists_give_the_pairs(spark, monkeypatch):
+    """Copies that the index over byte positions links are in the first round, and a passage of 40 words that
+    20 texts share is one list, not one for each of its shingles; all links are found."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [f"{passage} x{i}" for i in range(20)] + [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(10)]
+    texts += [t.upper() + " more" for t in texts[20:]]
+    kept, formed = module.stored, []
+    monkeypatch.setattr(module, "stored", lambda df, name: (formed.append((name, out := kept(df, name))), out)[1])
+    ship(spark)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.id: r.component_id for r in near_copies(table).collect()}
+    assert [got[i] for i in range(len(texts))] == components(texts)
+    made = dict(reversed(formed))
+    nodes = {r.node: r.fp for r in made["near-nodes"].collect()}
+    alike = {frozenset((r.a, r.b)) for r in made["near-alike"].collect()}
+    near = {frozenset((a, b)) for a in nodes for b in nodes if a < b and ((nodes[a] ^ nodes[b]) & (2**64 - 1)).bit_count() <= 2}
+    roots, expected = {x: x for x in nodes}, {x: x for x in nodes}
+    for pairs, of in ((alike, roots), (near, expected)):
+        for _ in nodes:
+            for a, b in map(sorted, pairs):
+                of[a] = of[b] = min(of[a], of[b])
+    assert near and roots == expected
+    first = {frozenset((r.a, r.b)) for r in made["near-pairs"].collect()}
+    assert alike <= first
+    lists = {}
+    for r in made["near-lists"].collect():
+        lists.setdefault(r.shingle, set()).add(r.x.node)
+    assert len({frozenset(of) for of in lists.values()}) == len(lists)
