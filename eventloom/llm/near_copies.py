@@ -5,9 +5,12 @@ share a shingle among the first few of each (n - ceil(least * n) + 1 of n), so o
 indexed. Pairs that meet in a posting list are held against bit maps of their sets first, which rule
 out most that are not similar and none that are, and then compared shingle by shingle. A first round
 compares the documents whose SimHash fingerprints the index over byte positions links, and each
-document with a few others of its list, drawn by hashes; the second leaves out pairs that are already
-in one component, so that a large group of copies does not give all its pairs. Fingerprints alone miss
-pairs near the threshold; the lists find those.
+document with a few others of its list: those with the fewest rare shingles before it, to which the
+copies of one text are nearest, and some drawn by hashes. The second leaves out pairs that are already
+in one component, so that a large group of copies does not give all its pairs, and looks at a pair
+where its first common shingle is: all that the two share lies behind it in both sets, so copies that
+have too many rare shingles of their own do not meet. Its join holds pairs against the maps itself.
+Fingerprints alone miss pairs near the threshold; the lists find those.
 """
 
 from __future__ import annotations
@@ -24,14 +27,14 @@ from eventloom.llm.common import parts_for, slices, stored
 from eventloom.llm.components import connected_components
 from eventloom.llm.simhash import bit_counts, fingerprint_links, shingle_hashes
 
-#: About so many documents tell which shingles are frequent, and so many shingles are held as such.
-#: Both set the order only, so they change the cost and never the result.
-_SAMPLED, _HOT = 1 << 13, 1 << 16
+#: So many documents tell which shingles are frequent, or one of so many where those are more, and so many
+#: shingles are held as such. All three set the order only, so they change the cost and never the result.
+_SAMPLED, _ONE_IN, _HOT = 1 << 13, 8, 1 << 17
 #: Keys that are sent to every executor at most: 64-bit hashes, some 30 MB as a table there.
 _SENT = 1 << 20
-#: Documents of a list that all others are compared with in the first round. Several, as one may be a copy that
-#: is like few of the others. This too changes the cost only.
-_HUBS = 4
+#: Documents of a list that all others are compared with in the first round, as many by their place in the order
+#: and as many by hashes. Several, as one may be a copy that is like few of the others. This too changes the cost only.
+_HUBS = 2
 #: Bits of a set's map, at least; larger sets have the next power of two, so that long texts are told
 #: apart too. A bit tells whether an odd number of shingles falls on it, so that maps differ in no more
 #: bits than the sets differ in shingles. The halves of a map, XORed, are the map of half its size.
@@ -97,19 +100,28 @@ def text_key(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, least: Fraction) -> DataFrame:
-    """Of pairs (`a`, `b`) of nodes those whose similarity is `least` or more."""
+def _maps_allow(a: str, b: str, least: Fraction) -> Column:
+    """Whether the maps of two sets (structs with `n`, `map`) leave it open that they are similar."""
     p, q = least.numerator, least.denominator
-    mapped = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("map").alias(f"map_{s}"))
+    m, n = F.col(f"{a}.map"), F.col(f"{b}.map")
     # The sizes of similar sets differ by a quarter at most, so one map is twice the other at most.
     half = lambda m, n: F.when(F.size(m) > F.size(n), F.zip_with(
-        F.slice(m, 1, F.size(n)), F.slice(m, F.size(n) + 1, F.size(n)), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(m))
-    apart = F.aggregate(F.zip_with(half("map_a", "map_b"), half("map_b", "map_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+        F.slice(m, 1, F.size(n)), F.slice(m, F.size(n) + 1, F.size(n)), lambda x, y: x.bitwiseXOR(y))).otherwise(m)
+    apart = F.aggregate(F.zip_with(half(m, n), half(n, m), lambda x, y: F.bit_count(x.bitwiseXOR(y))),
                         F.lit(0), lambda total, bits: total + bits)
     # Similar sets differ in (1 - least) / (1 + least) of the sum of their sizes at most.
-    pairs = stored(
-        pairs.join(mapped("a"), "a").join(mapped("b"), "b")
-        .where(apart * (p + q) <= (F.col("n_a") + F.col("n_b")) * (q - p)).select("a", "b"), "near-pairs")
+    return apart * (p + q) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (q - p)
+
+
+def _mapped(pairs: DataFrame, nodes: DataFrame, least: Fraction) -> DataFrame:
+    """Of pairs (`a`, `b`) of nodes those whose maps leave it open that they are similar."""
+    side = lambda s: nodes.select(F.col("node").alias(s), F.struct("n", "map").alias(f"set_{s}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_maps_allow("set_a", "set_b", least)).select("a", "b")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, least: Fraction) -> DataFrame:
+    """Of pairs (`a`, `b`) of nodes those whose similarity is `least` or more."""
+    p, q = least.numerator, least.denominator
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     # Written, so that few of them are known as few, and the texts stay where they are.
     asked = stored(nodes.join(ends, "node", "left_semi").select("node", "key"), "near-asked")
@@ -135,16 +147,22 @@ def _alike(nodes: DataFrame) -> DataFrame:
     return equal.union(linked.join(at("a"), "fp_a").join(at("b"), "fp_b").select("a", "b")).where("a <> b")
 
 
-def _unlike_lists(entries: DataFrame) -> DataFrame:
-    """One `shingle` for each posting list of two nodes or more; of lists with the same nodes, one.
+def _unlike_lists(entries: DataFrame, least: Fraction) -> DataFrame:
+    """One `shingle` for each posting list that can hold similar nodes; of lists with the same nodes, the first.
 
-    All shingles of a passage are in the same documents, which would meet in each of them. What `may` asks
-    holds for similar sets at every shingle they share, so one list finds them. Lists are compared by the
-    number of their nodes and 128 bits of hashes.
+    All shingles of a passage are in the same documents, which would meet in each of them. Similar sets are
+    found at the first shingle they share, and of lists with the same nodes only the first can hold that; as
+    one order holds for all nodes, the sum of places tells which list it is. There, (1 - least) / (1 + least)
+    of the smaller set lies before it at most, so lists without a node of which that is true are left out.
+    Lists are compared by the number of their nodes and 128 bits of hashes.
     """
+    p, q = least.numerator, least.denominator
     seen = entries.groupBy("shingle").agg(
-        F.count("*").alias("many"), *(F.bit_xor(F.xxhash64("node", F.lit(h))).alias(f"nodes_{h}") for h in range(2)))
-    return seen.where("many > 1").groupBy("many", "nodes_0", "nodes_1").agg(F.min("shingle").alias("shingle")).select("shingle")
+        F.count("*").alias("many"), *(F.bit_xor(F.xxhash64("node", F.lit(h))).alias(f"nodes_{h}") for h in range(2)),
+        F.sum("at").alias("places"), F.max(F.col("at") * (p + q) <= F.col("n") * (q - p)).alias("early"))
+    return (
+        seen.where("many > 1").groupBy("many", "nodes_0", "nodes_1")
+        .agg(F.min(F.struct("places", "shingle", "early")).alias("of")).where("of.early").select("of.shingle"))
 
 
 def _among(texts: DataFrame, keys: DataFrame) -> DataFrame:
@@ -171,7 +189,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     p, q = level.numerator, level.denominator
     texts = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     ids = stored(docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key")).distinct(), "near-ids")
-    every = parts_for(ids.count(), _SAMPLED)
+    every = min(parts_for(ids.count(), _SAMPLED), _ONE_IN)
     hot = dict(
         texts.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).mapInArrow(_sets(shingle), _SETS_DDL)
         .select(F.explode("shingles").alias("shingle")).groupBy("shingle").count().where("count > 2")
@@ -187,34 +205,46 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 + F.least(col(a, "n") - col(a, "at"), col(b, "n") - col(b, "at")) - 1)
         return most * (p + q) >= (col(a, "n") + col(b, "n")) * p
 
+    def first_shared(a: str, b: str) -> Column:
+        """Whether similar rows can share this shingle as the first: all the overlap is from here on."""
+        rest = F.least(*(F.col(f"{side}.n") - F.col(f"{side}.at") for side in (a, b)))
+        return rest * (p + q) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * p
+
     row = F.struct("n", "node", F.col("at").cast("long").alias("at"))
     together = Window.partitionBy("shingle")
     entries = nodes.select("node", "n", F.posexplode("shingles").alias("at", "shingle"))
+    drawn = [F.xxhash64("x.node", F.lit(h)) for h in range(2 * _HUBS)]
+    order = [F.struct("x.at", d) for d in drawn[:_HUBS]] + drawn[_HUBS:]
     lists = stored(
-        entries.join(_unlike_lists(entries), "shingle", "left_semi").select("shingle", row.alias("x"))
-        .withColumn("hubs", F.array(*(F.min_by("x", F.xxhash64("x.node", F.lit(h))).over(together) for h in range(_HUBS)))),
-        "near-lists")
+        entries.join(_unlike_lists(entries, level), "shingle", "left_semi").select("shingle", row.alias("x"))
+        .withColumn("hubs", F.array(*(F.min_by("x", o).over(together) for o in order))), "near-lists")
     stars = (
         lists.select("x", F.explode(F.array_distinct("hubs")).alias("hub"))
         .where((F.col("x.node") != F.col("hub.node")) & may("x", "hub")))
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     alike = stored(_alike(nodes), "near-alike").select(*pair(F.col("a"), F.col("b")))
     first = stored(stars.select(*pair(F.col("x.node"), F.col("hub.node"))).union(alike).distinct(), "near-pairs")
-    links = _verified(first, nodes, texts, shingle, level)
+    links = _verified(stored(_mapped(first, nodes, level), "near-pairs"), nodes, texts, shingle, level)
 
+    # Most rows of a list may be in one component: `main`, whose rows are not held against each other.
     placed = stored(
         lists.select("shingle", "x").join(connected_components(links).withColumnRenamed("node", "of"),
                                           F.col("x.node") == F.col("of"), "left")
         .select("shingle", "x", F.coalesce("root", "x.node").alias("root"))
-        .withColumns({"low": F.min("root").over(together), "high": F.max("root").over(together)})
-        .where("low < high").select("shingle", "x", "root"), "near-lists")
-    left = placed.select("shingle", F.col("x").alias("l"), F.col("root").alias("l_root"))
-    right = placed.select(F.col("shingle").alias("met"), F.col("x").alias("r"), F.col("root").alias("r_root"))
+        .withColumns({"low": F.min("root").over(together), "high": F.max("root").over(together),
+                      "main": F.mode("root").over(together)})
+        .where("low < high").select("shingle", "x", "root", "main"), "near-lists")
+    with_map = (
+        placed.join(nodes.select(F.col("node").alias("of"), "map"), F.col("x.node") == F.col("of"))
+        .select("shingle", F.struct("x.*", "map").alias("x"), "root", "main"))
+    left = with_map.where("root <> main").select("shingle", F.col("x").alias("l"), F.col("root").alias("l_root"))
+    right = with_map.select(F.col("shingle").alias("met"), F.col("x").alias("r"), F.col("root").alias("r_root"), "main")
     # The verdict on pairs of the first round is known.
     second = stored(
-        left.join(right, (F.col("shingle") == F.col("met")) & (F.col("l.node") < F.col("r.node"))
-                  & (F.col("l_root") != F.col("r_root")) & may("l", "r"))
-        .select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+        left.join(right, (F.col("shingle") == F.col("met"))
+                  & ((F.col("r_root") == F.col("main")) | (F.col("l.node") < F.col("r.node")))
+                  & (F.col("l_root") != F.col("r_root")) & first_shared("l", "r") & _maps_allow("l", "r", level))
+        .select(*pair(F.col("l.node"), F.col("r.node"))).distinct()
         .join(first, ["a", "b"], "left_anti"), "near-pairs")
     links = links.union(_verified(second, nodes, texts, shingle, level))
 

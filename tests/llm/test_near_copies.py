@@ -150,3 +150,50 @@ def test_fingerprints_and_unlike_lists_give_the_pairs(spark, monkeypatch):
     for r in made["near-lists"].collect():
         lists.setdefault(r.shingle, set()).add(r.x.node)
     assert len({frozenset(of) for of in lists.values()}) == len(lists)
+
+
+def families() -> list[str]:
+    """Copies of a few texts with so many changed words that most are like few others of their family."""
+    rng, out = random.Random(11), []
+    for f in range(3):
+        base = [f"f{f}w{i}" for i in range(150)]
+        for i in range(120):
+            copy = list(base)
+            for at in rng.sample(range(150), rng.randint(1, 7)):
+                copy[at] = f"f{f}c{i}x{at}"
+            out.append(" ".join(copy[:rng.choice([150, 150, 140, 130])]))
+    return out
+
+
+@pytest.mark.parametrize("sampled", [1 << 13, 16])
+def test_families_of_copies_give_few_pairs(spark, monkeypatch, sampled):
+    """Joins of the second round make rows near the number of texts, not of pairs in a family; no link is lost."""
+    texts = families()
+    kept, formed = module.stored, []
+    monkeypatch.setattr(module, "_SAMPLED", sampled)
+    monkeypatch.setattr(module, "stored", lambda df, name: (formed.append((name, out := kept(df, name))), out)[1])
+    ship(spark)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.id: r.component_id for r in near_copies(table).collect()}
+    assert [got[i] for i in range(len(texts))] == components(texts)
+    pairs = [df.count() for name, df in formed if name == "near-pairs"]
+    assert sum(pairs) < 8 * len(texts) and pairs[-1] < len(texts)
+
+
+def test_similar_sets_meet_in_the_lists_that_stay(spark):
+    """Of lists with the same nodes the first is kept: every similar pair has one where all it shares is still to come."""
+    rng, sets = random.Random(2), []
+    for _ in range(60):
+        base = rng.sample(range(100), rng.randint(5, 40))
+        sets += [sorted(base), sorted(set(base[rng.randint(0, 4):]) | {rng.randint(0, 100) for _ in range(rng.randint(0, 4))})]
+    index = [(i, len(s), at, token) for i, s in enumerate(sets) for at, token in enumerate(s[:len(s) - -(-4 * len(s) // 5) + 1])]
+    entries = spark.createDataFrame(index, "node long, n long, at int, shingle long")
+    lists = {r.shingle for r in module._unlike_lists(entries, module.Fraction(4, 5)).collect()}
+    place = {(i, token): at for i, _, at, token in index}
+    similar = [(a, b) for a in range(len(sets)) for b in range(a)
+               if len({*sets[a]} & {*sets[b]}) * 5 >= len({*sets[a]} | {*sets[b]}) * 4]
+    assert len(similar) > 20 and len(lists) < len({token for *_, token in index})
+    for a, b in similar:
+        least = (len(sets[a]) + len(sets[b])) * 4 / 9
+        assert any((a, t) in place and (b, t) in place and min(len(sets[i]) - place[i, t] for i in (a, b)) >= least - 1e-9
+                   for t in lists)
